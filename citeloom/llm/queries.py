@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, chat, exact, fingerprint, packing, quality
+from citeloom.llm import bpe, chat, exact, fingerprint, packing, quality, transducer
 from citeloom.llm.common import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +70,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.count_tokens(read_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
@@ -77,5 +81,6 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_counts": op9_token_counts,
 }
 ORACLE_SQL = {"op5_chat": OP5_SQL, "op8_exact_dedup": OP8_SQL}
