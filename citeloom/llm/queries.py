@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, chat, exact, fingerprint, packing, quality, transducer
+from citeloom.llm import bpe, chat, exact, fingerprint, near, packing, pii, quality, transducer
 from citeloom.llm.common import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -74,13 +74,23 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.count_tokens(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(read_table(spark, sf_dir, "documents"), near.Plan(words=4))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_chat": op5_chat,
+    "op6_minhash": op6_minhash,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL = {"op5_chat": OP5_SQL, "op8_exact_dedup": OP8_SQL}
