@@ -31,8 +31,8 @@ from citeloom.llm.common import slices, text_of
 
 #: Pre-tokens of at most this many bytes share a vectorised tree.
 LANE_BYTES = 64
-#: Bounds of the per-process cache of pre-tokens; a full cache is emptied.
-CACHE_PIECES = 400_000
+#: Bounds of the per-process cache of pre-tokens: entries of a generation, characters of a key.
+CACHE_PIECES = 200_000
 CACHE_CHARS = 48
 ROWS_AT_ONCE = 256
 
@@ -77,7 +77,7 @@ class SegmentTree:
         return self.tree[1]
 
 
-def _quick(pattern: str) -> tuple:
+def quick_pattern(pattern: str) -> tuple:
     """The pattern in the re module's classes, which scan faster, and what it can't be used on.
 
     re has no \\p classes: its letters, digits and blanks differ from the
@@ -94,63 +94,104 @@ def _quick(pattern: str) -> tuple:
     return re.compile(quick), re.compile("[" + "".join(map(re.escape, sorted(differ))) + "\U00010000-\U0010ffff]")
 
 
-class _Memo(dict):
-    """A cache that notes the keys it lacks."""
+class Memo(dict):
+    """A bounded cache in two generations that gathers the keys it lacks.
 
-    pending: set[str]
+    A full cache becomes the old generation; what is looked up there moves
+    into the new one, so words in use outlive the ones seen once.
+    """
 
-    def __missing__(self, key: str) -> None:
-        self.pending.add(key)
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old, self.pending = most, {}, {}
+
+    def __missing__(self, key: str) -> bytes | bytearray:
+        known = self.old.get(key)
+        if known is None:  # a place to be filled once all new keys are known
+            known = self.pending[key] = bytearray()
+        self[key] = known
+        return known
+
+    def joined(self, keys: list[list[str]], learn) -> list[bytes]:
+        """The values of each list of keys, joined; learn(new keys) gives theirs."""
+        self.pending = {}
+        found = [list(map(self.__getitem__, k)) for k in keys]
+        for key, value in learn(self.pending):
+            self.pending[key] += value
+            self[key] = value
+        out = [b"".join(f) for f in found]
+        for key in self.pending:
+            if len(key) > CACHE_CHARS:
+                del self[key]
+        self.pending = {}
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        return out
 
 
 class Bpe:
     """A byte-level BPE vocabulary with cached pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+    def __init__(self, vocabulary: dict[bytes, int], pairs: dict[tuple[int, int], int], made: list[int], whole: bool, pattern: str):
+        """pairs: rank of each pair of ids that merges; made: the id a rank makes.
+
+        whole: a pre-token that is a vocabulary entry is that entry, whatever
+        the merges make of it.
+        """
+        self.vocabulary, self.pairs, self.whole = vocabulary, pairs, vocabulary if whole else {}
         self.pattern = regex.compile(pattern)
-        size = max(ranks.values(), default=-1) + 1
-        self.token_bytes: list[bytes] = [b""] * size
-        for token, rank in ranks.items():
-            self.token_bytes[rank] = token
-        self.decimal = [str(i) for i in range(size)]
-        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        keys, merged = [], []
+        self.token_bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
+        for token, i in vocabulary.items():
+            self.token_bytes[i] = token
+        self.decimal = [str(i) for i in range(len(self.token_bytes))]
+        self.byte_id = np.array([vocabulary[bytes([b])] for b in range(256)], np.int32)
+        self.made = np.array([*made, 0], np.int32)
+        self._hash_pairs()
+        self.pieces = Memo(CACHE_PIECES)
+        self.quick, self.odd = quick_pattern(pattern)
+
+    @classmethod
+    def from_ranks(cls, ranks: dict[bytes, int], pattern: str) -> Bpe:
+        """Of a rank file: any two entries whose bytes make a third merge into it."""
+        pairs = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    keys.append(left << 24 | right)
-                    merged.append(rank)
-        self._hash_pairs(np.array(keys, np.int64), np.array(merged, np.int32))
-        self.pieces = _Memo()
-        self.quick, self.odd = _quick(pattern)
+                    pairs[left, right] = rank
+        return cls(ranks, pairs, list(range(max(ranks.values(), default=-1) + 1)), True, pattern)
+
+    @classmethod
+    def from_merges(cls, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]], pattern: str) -> Bpe:
+        """Of a list of merges, the earliest first."""
+        pairs: dict[tuple[int, int], int] = {}
+        for rank, (left, right) in enumerate(merges):
+            pairs.setdefault((vocabulary[left], vocabulary[right]), rank)
+        return cls(vocabulary, pairs, [vocabulary[a + b] for a, b in merges], False, pattern)
 
     # -- one pre-token -----------------------------------------------------
 
     def encode_long(self, piece: bytes) -> list[int]:
         """Ids of one pre-token by a tree of its own."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n, get = len(piece), self.ranks.get
+        n, rank_of, made = len(piece), self.pairs.get, self.made.tolist()
         width = 1
         while width < n + 1:
             width *= 2
         none = width << 34
+        ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
         def key(i: int) -> int:
             j = after[i]
-            if j >= n:
-                return none
-            rank = get(piece[i : after[j]])
+            rank = rank_of((ids[i], ids[j])) if j < n else None
             return none if rank is None else rank * width + i
 
         tree = SegmentTree([key(i) for i in range(n)], none)
         while (least := tree.least()) < none:
             i = least & (width - 1)
             j = after[i]
+            ids[i] = made[least // width]
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
@@ -160,42 +201,44 @@ class Bpe:
                 tree.put(left, key(left))
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
+            out.append(ids[i])
             i = after[i]
         return out
 
     # -- many short pre-tokens ---------------------------------------------
 
-    def _hash_pairs(self, keys: np.ndarray, merged: np.ndarray) -> None:
-        """An open-addressed table of the pairs that merge, filled in rounds."""
-        self.bits = max(10, 2 + int(len(keys) + 1).bit_length())
-        self.pair_key = np.full(1 << self.bits, -1, np.int64)
-        self.pair_rank = np.full(1 << self.bits, _NONE, np.int32)
+    def _hash_pairs(self) -> None:
+        """An open-addressed table of the pairs that merge, filled in rounds.
+
+        A cell holds the pair's key, shifted, and its rank; -1 is empty.
+        """
+        keys = np.array([a << 22 | b for a, b in self.pairs], np.int64)
+        ranks = np.array(list(self.pairs.values()), np.int64)
+        self.bits = max(10, 3 + len(keys).bit_length())
+        self.cells = np.full(1 << self.bits, -1, np.int64)
         self.probes, left = 0, np.arange(len(keys))
         while len(left):
             at = (self._slot(keys[left]) + self.probes) & ((1 << self.bits) - 1)
-            free = self.pair_key[at] == -1
-            self.pair_key[at[free]] = keys[left[free]]
-            won = self.pair_key[at] == keys[left]
-            self.pair_rank[at[won]] = merged[left[won]]
-            left, self.probes = left[~won], self.probes + 1
+            free = self.cells[at] == -1
+            self.cells[at[free]] = keys[left[free]] << 20 | ranks[left[free]]
+            left, self.probes = left[self.cells[at] >> 20 != keys[left]], self.probes + 1
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair (which is the id of the merged token), or _NONE."""
-        key = left.astype(np.int64) << 24 | right
+        """Rank of each pair, or _NONE."""
+        key = left.astype(np.int64) << 22 | right
         at = self._slot(key)
-        found = self.pair_key[at]
-        out = np.where(found == key, self.pair_rank[at], _NONE)
-        for probe in range(1, self.probes):
-            go = (found != key) & (found != -1)
-            if not go.any():
-                break
-            at = (at + 1) & ((1 << self.bits) - 1)
-            found = np.where(go, self.pair_key[at], found)
-            out = np.where(go & (found == key), self.pair_rank[at], out)
+        cell = self.cells[at]
+        out = np.where(cell >> 20 == key, cell & 0xFFFFF, _NONE).astype(np.int32)
+        go = np.nonzero((cell >> 20 != key) & (cell != -1))[0]
+        while len(go):
+            at[go] = (at[go] + 1) & ((1 << self.bits) - 1)
+            cell = self.cells[at[go]]
+            hit = cell >> 20 == key[go]
+            out[go[hit]] = cell[hit] & 0xFFFFF
+            go = go[~hit & (cell != -1)]
         return out
 
     def encode_lanes(self, pieces: list[bytes]) -> list[bytes]:
@@ -222,7 +265,8 @@ class Bpe:
         before = np.tile(spots - 1, m)
         none = np.int32(_NONE * width) if width <= 64 else None
         base, end = np.arange(m) * width, sizes.astype(np.int32)
-        pair = self._pair(ids.reshape(m, width)[:, :-1], ids.reshape(m, width)[:, 1:])
+        pair = self._pair(ids[:-1], ids[1:])
+        pair = np.append(pair, _NONE).reshape(m, width)[:, :-1]
         tree = np.full((m, 2 * width), none, np.int32)
         tree[:, width:-1] = np.where((pair < _NONE) & live.reshape(m, width)[:, 1:], pair * width + spots[:-1], none)
         level = width
@@ -246,7 +290,7 @@ class Bpe:
             here = base[active] + i
             j = after[here]
             k = after[base[active] + j]
-            ids[here] = least // width
+            ids[here] = self.made[least // width]
             live[base[active] + j] = False
             after[here] = k
             inside = k < end[active]
@@ -275,37 +319,23 @@ class Bpe:
         """The pattern's matches; most texts need only the re module's classes."""
         return (self.pattern if self.odd.search(text) else self.quick).findall(text)
 
-    def _learn(self, pieces: set[str]) -> None:
-        short, known = [], self.pieces
+    def _learn(self, pieces: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        short, raws = [], []
         for p in pieces:
             raw = p.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                known[p] = whole.to_bytes(4, "little")
+            entry = self.whole.get(raw)
+            if entry is not None:
+                yield p, entry.to_bytes(4, "little")
             elif len(raw) <= LANE_BYTES:
-                short.append((p, raw))
+                short.append(p)
+                raws.append(raw)
             else:
-                known[p] = np.array(self.encode_long(raw), "<u4").tobytes()
-        if short:
-            known.update(zip([p for p, _ in short], self.encode_lanes([raw for _, raw in short]), strict=True))
+                yield p, np.array(self.encode_long(raw), "<u4").tobytes()
+        yield from zip(short, self.encode_lanes(raws), strict=True)
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit numbers."""
-        cut = [self.pretokens(t) for t in texts]
-        memo = self.pieces
-        memo.pending = set()
-        found = [list(map(memo.__getitem__, c)) for c in cut]
-        if not memo.pending:
-            return [b"".join(f) for f in found]
-        # The cache is emptied only between calls, so what was found stays.
-        self._learn(memo.pending)
-        out = [b"".join(map(memo.__getitem__, c)) if None in f else b"".join(f) for c, f in zip(cut, found, strict=True)]
-        for p in memo.pending:
-            if len(p) > CACHE_CHARS:
-                del memo[p]
-        if len(memo) > CACHE_PIECES:
-            memo.clear()
-        return out
+        return self.pieces.joined([self.pretokens(t) for t in texts], self._learn)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
@@ -318,7 +348,7 @@ def bpe(digest: str, data: bytes, pattern: str) -> Bpe:
     """The vocabulary of a rank file, once for each process."""
     if digest not in _LOADED:
         _LOADED.clear()
-        _LOADED[digest] = Bpe(load_ranks(data), pattern)
+        _LOADED[digest] = Bpe.from_ranks(load_ranks(data), pattern)
     return _LOADED[digest]
 
 

@@ -29,7 +29,6 @@ for the whole batch at once.
 from __future__ import annotations
 
 import gc
-import json
 import re
 from collections.abc import Iterator
 
@@ -41,6 +40,7 @@ from pyspark.sql import types as T
 
 from citeloom.llm.bpe import read_vocabulary
 from citeloom.llm.common import text_of
+from citeloom.llm.hf import byte_level_spec
 
 CHUNK = 256
 BATCH_BYTES = 4 << 20
@@ -65,23 +65,16 @@ class Transducer:
     """A byte-level BPE with the ByteLevel pre-tokeniser, compiled as it runs."""
 
     def __init__(self, data: bytes):
-        spec = json.loads(data)
-        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
+        if (spec := byte_level_spec(data)) is None:
             raise ValueError("only byte-level BPE vocabularies compile to a transducer")
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        raw = lambda token: bytes(byte_of[c] for c in token)
-        added = {t["content"] for t in spec.get("added_tokens", [])}
-        vocab = {raw(token): i for token, i in model["vocab"].items() if token not in added}
+        added, vocab, merges = spec
         # Entries are numbered by age: bytes first, then merges in their order.
         self.age = {bytes([b]): b for b in range(256)}
         self.joined: dict[tuple[int, int], int] = {}
         self.halves = [(b, b) for b in range(256)]
-        for left, right in (pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]):
-            a, b = self.age[raw(left)], self.age[raw(right)]
-            made = self.age.setdefault(raw(left) + raw(right), len(self.halves))
+        for left, right in merges:
+            a, b = self.age[left], self.age[right]
+            made = self.age.setdefault(left + right, len(self.halves))
             if made == len(self.halves):
                 self.halves.append((a, b))
             self.joined.setdefault((a, b), made)
