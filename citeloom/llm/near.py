@@ -10,10 +10,10 @@
    memory, blocks of a large bucket being spread over tasks, and are not
    emitted: of the survivors only a maximum spanning forest is, since pairs
    inside one verified tree add nothing to the components.
-4. Emitted pairs are verified on the full sets. Where a pair fails, its bucket
-   is gone through again with what is known, leaving out pairs inside one
-   component and pairs that failed, until no pair is left; after MOST_TREES
-   rounds a bucket emits all its remaining survivors at once.
+4. Emitted pairs are verified on the full sets. Where one fails, the forest may
+   have hidden a link, so its bucket is gone through once more with the full
+   sets at hand: every surviving pair between components is verified there,
+   and a forest of the links is emitted.
 5. Verified links give components.
 
 Chance of missing a link: bands miss a pair of similarity 0.8 with probability
@@ -39,12 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import materialise, slices, text_of
+from citeloom.llm.common import materialise, rows_of, slices, text_of
 from citeloom.llm.components import components
 
 ROWS_AT_ONCE = 256
 BLOCK = 2048
-MOST_TREES = 6
+MATRIX_CELLS = 4 << 20
 CACHE_WORDS = 400_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _FINAL = np.uint64(0xD6E8FEB86659FD93)
@@ -164,87 +164,112 @@ def signatures(items: DataFrame, plan: Plan) -> DataFrame:
 
 
 def survivors(a: np.ndarray, b: np.ndarray | None, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pairs that no batch prunes, with their matches; b None: pairs within a."""
-    other = a if b is None else b
-    n, least = steps[0]
-    left, right = [], []
-    rows = max(1, (4 << 20) // max(1, len(other) * n))
-    for at, size in slices(len(a), rows):
-        same = np.count_nonzero(a[at : at + size, None, :n] == other[None, :, :n], axis=2)
-        i, j = np.nonzero(same >= least)
-        i = i + at
-        if b is None:
-            i, j = i[i < j], j[i < j]
-        left.append(i)
-        right.append(j)
-    i, j = np.concatenate(left), np.concatenate(right)
-    count = np.empty(0, np.int64)
-    for n, least in steps:
-        count = np.empty(len(i), np.int64)
-        for at, size in slices(len(i), 1 << 16):
-            s = slice(at, at + size)
-            count[s] = np.count_nonzero(a[i[s], :n] == other[j[s], :n], axis=1)
-        stay = count >= least
-        i, j, count = i[stay], j[stay], count[stay]
-    return i, j, count
-
-
-def spanning_pairs(ids: np.ndarray, labels: np.ndarray, pairs: tuple, failed: set) -> list[tuple[int, int]]:
-    """A maximum spanning forest over the labels, from the likeliest pair down."""
-    i, j, count = pairs
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = x = root.get(up, up)
-        return x
+    """Row pairs that no batch prunes, with their matches; b None: pairs within a.
 
+    While many pairs of a stretch of rows are left they are compared column by
+    column as a matrix, then one by one.
+    """
+    other = a if b is None else b
     out = []
-    open_ = len(set(labels.tolist())) - 1
-    for k in np.argsort(-count, kind="stable").tolist():
-        a, b = int(ids[i[k]]), int(ids[j[k]])
-        pair = (a, b) if a < b else (b, a)
-        if a == b or pair in failed:
-            continue
-        u, v = find(int(labels[i[k]])), find(int(labels[j[k]]))
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            out.append(pair)
-            open_ -= 1
-            if not open_:
-                break
+    for at, size in slices(len(a), max(1, MATRIX_CELLS // max(1, len(other)))):
+        rows = a[at : at + size]
+        count, open_ = np.zeros((len(rows), len(other)), np.uint8), None
+        if b is None:
+            open_ = np.arange(len(other))[None, :] > (at + np.arange(len(rows)))[:, None]
+        i = j = few = None
+        done = 0
+        for n, least in steps:
+            if i is None:
+                for c in range(done, n):
+                    count += (rows[:, c, None] == other[None, :, c]).view(np.uint8)
+                stay = count >= least if open_ is None else (count >= least) & open_
+                open_ = stay
+                if np.count_nonzero(stay) * 20 < stay.size or n == steps[-1][0]:
+                    i, j = np.nonzero(stay)
+                    few = count[i, j].astype(np.int64)
+            else:
+                for s, k in slices(len(i), 1 << 16):
+                    few[s : s + k] += np.count_nonzero(rows[i[s : s + k], done:n] == other[j[s : s + k], done:n], axis=1)
+                stay = few >= least
+                i, j, few = i[stay], j[stay], few[stay]
+            done = n
+        out.append((i + at, j, few))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def forest(labels: np.ndarray, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which pairs form a maximum spanning forest over the labels (Boruvka's rounds)."""
+    _, comp = np.unique(labels, return_inverse=True)
+    order = weight.astype(np.int64) * (len(i) + 1) + np.arange(len(i))  # no ties
+    alive, chosen = np.arange(len(i)), []
+    while True:
+        x, y = comp[i[alive]], comp[j[alive]]
+        apart = x != y
+        alive, x, y = alive[apart], x[apart], y[apart]
+        if not len(alive):
+            return np.array(sorted(chosen), np.int64)
+        best = np.full(comp.max() + 1, -1, np.int64)
+        np.maximum.at(best, x, order[alive])
+        np.maximum.at(best, y, order[alive])
+        picked = np.unique(best[best >= 0]) % (len(i) + 1)
+        root: dict[int, int] = {}
+
+        def find(c: int, root: dict[int, int] = root) -> int:
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
+        for k in picked.tolist():
+            u, v = find(int(comp[i[k]])), find(int(comp[j[k]]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                chosen.append(k)
+        comp = np.array([find(c) for c in range(comp.max() + 1)], np.int64)[comp]
+
+
+def exact_links(sets: list[bytes], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs are links, by exact intersections, one row against all at a time."""
+    sizes = np.array([len(s) // 8 for s in sets])
+    _, codes = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+    ends = np.cumsum(sizes)
+    begins, mark = ends - sizes, np.zeros(codes.max() + 1, bool)
+    if len(np.unique(i)) > len(np.unique(j)):
+        i, j = j, i
+    out, order = np.zeros(len(i), bool), np.argsort(i, kind="stable")
+    rows, at = np.unique(i[order], return_index=True)
+    for row, mine in zip(rows.tolist(), np.split(order, at[1:]), strict=True):
+        own = codes[begins[row] : ends[row]]
+        mark[own] = True
+        if len(mine) * 4 > len(sets):
+            both = np.add.reduceat(mark[codes], begins, dtype=np.int64)[j[mine]]
+        else:
+            both = np.array([np.count_nonzero(mark[codes[begins[k] : ends[k]]]) for k in j[mine].tolist()])
+        mark[own] = False
+        out[mine] = 100 * both >= percent * (sizes[row] + sizes[j[mine]] - both)
     return out
 
 
-def open_pairs(ids: np.ndarray, labels: np.ndarray, pairs: tuple, failed: set) -> list[tuple[int, int]]:
-    i, j, _ = pairs
-    i, j = i[labels[i] != labels[j]], j[labels[i] != labels[j]]
-    return list({(min(p), max(p)) for p in zip(ids[i].tolist(), ids[j].tolist(), strict=True)} - failed)
-
+def bucket_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (key, i, j, a, b) from units of rows.
 
-def bucket_pairs(rows: DataFrame, plan: Plan, all_pairs: bool) -> DataFrame:
-    """Pairs (key, i, j, a, b) to verify from units of rows.
-
-    rows: (key, i, j, block, id, label, brief, fail): a unit (key, i, j) holds the
-    pairs between blocks i and j of bucket key. fail, where set, marks a row
-    that is no member but a pair (id, fail) known to be no link.
+    rows: (key, i, j, block, id, label, brief, hashes): a unit (key, i, j)
+    holds the pairs between blocks i and j of bucket key; pairs of one label
+    are left out. Without hashes the pairs are the forest of what survives the
+    comparison of signatures, with them that of the survivors that are links.
     """
     schema = "key long, i int, j int, a long, b long"
     steps = plan.least_matches()
 
     def work(unit: tuple, held: list[tuple]) -> list[tuple]:
-        failed = {(min(r[1], r[4]), max(r[1], r[4])) for r in held if r[4] is not None}
-        held = [r for r in held if r[4] is None]
         if len(held) < 2:
             return []
-        brief = np.frombuffer(b"".join([r[3] for r in held]), np.uint8).reshape(len(held), -1)
-        if len(held) == 2:
-            (_, x, u, _, _), (_, y, v, _, _) = held
-            pair = (x, y) if x < y else (y, x)
-            if x == y or u == v or pair in failed:
+        if len(held) == 2 and held[0][4] is None:
+            (_, x, u, first, _), (_, y, v, second, _) = held
+            if x == y or u == v:
                 return []
-            same = brief[0] == brief[1]
-            return [(*unit, *pair)] if all(np.count_nonzero(same[:n]) >= m for n, m in steps) else []
+            same = np.frombuffer(first, np.uint8) == np.frombuffer(second, np.uint8)
+            return [(*unit, min(x, y), max(x, y))] if all(np.count_nonzero(same[:n]) >= m for n, m in steps) else []
+        brief = np.frombuffer(b"".join([r[3] for r in held]), np.uint8).reshape(len(held), -1)
         block, ids, labels = (np.array(c, np.int64) for c in zip(*[r[:3] for r in held], strict=True))
         if unit[1] == unit[2]:
             i, j, count = survivors(brief, None, steps)
@@ -254,8 +279,16 @@ def bucket_pairs(rows: DataFrame, plan: Plan, all_pairs: bool) -> DataFrame:
                 return []
             i, j, count = survivors(brief[first], brief[second], steps)
             i, j = first[i], second[j]
-        choose = open_pairs if all_pairs else spanning_pairs
-        return [(*unit, *p) for p in choose(ids, labels, (i, j, count), failed)]
+        apart = (labels[i] != labels[j]) & (ids[i] != ids[j])
+        i, j, count = i[apart], j[apart], count[apart]
+        if held[0][4] is not None and len(i):
+            link = exact_links([r[4] for r in held], i, j, plan.percent)
+            i, j, count = i[link], j[link], count[link]
+        if not len(i):
+            return []
+        k = forest(labels, i, j, count)
+        a, b = ids[i[k]], ids[j[k]]
+        return [(*unit, *p) for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
@@ -264,22 +297,21 @@ def bucket_pairs(rows: DataFrame, plan: Plan, all_pairs: bool) -> DataFrame:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["key", "i", "j", "a", "b"])
 
-        for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", "block", "id", "label", "brief", "fail")], strict=True):
-                if row[:3] != unit:
-                    if unit is not None:
-                        out += work(unit, held)
-                    unit, held = row[:3], []
-                held.append(row[3:])
-                if len(out) >= 10_000:
-                    yield batch_of(out)
-                    out = []
+        for row in rows_of(batches, columns):
+            if row[:3] != unit:
+                if unit is not None:
+                    out += work(unit, held)
+                unit, held = row[:3], []
+            held.append(row[3:])
+            if len(out) >= 10_000:
+                yield batch_of(out)
+                out = []
         if unit is not None:
             out += work(unit, held)
         if out:
             yield batch_of(out)
 
-    columns = ["key", "i", "j", "block", "id", "label", "brief", "fail"]
+    columns = ("key", "i", "j", "block", "id", "label", "brief", "hashes")
     return rows.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
@@ -306,7 +338,7 @@ def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+            for x, y in rows_of([batch], ("sa", "sb")):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 out.append(both > 0 and 100 * both >= plan.percent * (len(s) + len(t) - both))
@@ -337,39 +369,26 @@ def similar_components(items: DataFrame, plan: Plan = Plan()) -> DataFrame:
     met = spread.join(reps.select("id", "brief"), "id")
     unit = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     members = materialise(met.select("key", "block", "id", "brief", F.explode(unit).alias("u")).select("key", "u.i", "u.j", "block", "id", "brief"), "members")
-    links, labels, failed, every = None, None, None, None
-    work = members.withColumn("label", F.col("id")).withColumn("fail", F.lit(None).cast("long"))
-    turn = 0
-    while True:
-        turn += 1
-        pairs = materialise(bucket_pairs(work, plan, turn > MOST_TREES), "pairs")
-        if pairs.isEmpty():
-            break
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        if every is None:
-            known = every = materialise(text_sets(items.join(wanted, "id", "left_semi"), plan), "sets")
-        else:
-            lacking = wanted.join(every.select("id"), "id", "left_anti")
-            more = materialise(text_sets(items.join(lacking, "id", "left_semi"), plan), "sets")
-            known = every = every.unionByName(more)
-        judged = materialise(verified(pairs, known, plan), "judged")
-        good = judged.filter("linked").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        bad = pairs.join(judged.filter("not linked").select("a", "b"), ["a", "b"])
-        failed = bad if failed is None else failed.unionByName(bad)
-        labels = materialise(components(links), "labels")
-        again = bad.select("key", "i", "j").distinct()
-        if again.isEmpty():
-            break
+    first = members.withColumn("label", F.col("id")).withColumn("hashes", F.lit(None).cast("binary"))
+    pairs = materialise(bucket_pairs(first, plan), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = materialise(text_sets(items.join(wanted, "id", "left_semi"), plan), "sets")
+    judged = materialise(verified(pairs, known, plan), "judged")
+    links = judged.filter("linked").select("a", "b")
+    labels = components(links)
+    open_ = materialise(pairs.join(judged.filter("not linked"), ["a", "b"]).select("key", "i", "j").distinct(), "open")
+    if not open_.isEmpty():
         named = labels.select(F.col("node").alias("id"), F.col("component").alias("label"))
-        rows = members.join(again, ["key", "i", "j"], "left_semi").join(named, "id", "left").withColumn("label", F.coalesce("label", "id")).withColumn("fail", F.lit(None).cast("long"))
-        marks = failed.join(again, ["key", "i", "j"], "left_semi").select("key", "i", "j", F.lit(0).alias("block"), F.col("a").alias("id"), F.col("a").alias("label"), F.lit(None).cast("binary").alias("brief"), F.col("b").alias("fail"))
-        work = materialise(rows.select(*marks.columns).unionByName(marks), "again")
+        rest = members.join(open_, ["key", "i", "j"], "left_semi").join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        # Buckets whose members have come into one component have no pair left.
+        mixed = rest.groupBy("key", "i", "j").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("key", "i", "j")
+        rest = materialise(rest.join(mixed, ["key", "i", "j"], "left_semi"), "rest")
+        full = materialise(text_sets(items.join(rest.select("id").distinct(), "id", "left_semi"), plan), "full")
+        more = materialise(bucket_pairs(rest.join(full, "id"), plan), "more").select("a", "b")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
     out = signed.select("id", *sets).join(groups, sets, "left")
-    if labels is not None:
-        out = out.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+    out = out.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("id", "n", F.coalesce("component", "rep", "id").alias("component"))
 
 
