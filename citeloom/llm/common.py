@@ -13,17 +13,38 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Session settings that name the folder all executors share, and the local
 #: stand-in used only where the session names none (tests, local mode).
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+ARROW_ROWS, MOST_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/citeloom"
 
 
+def prepare(spark: SparkSession) -> None:
+    """Settings that every operator needs of the session.
+
+    Lets Python workers on this machine import the package from where the driver has it.
+
+    On a cluster the package is shipped with the job (--py-files) instead; a
+    path that doesn't exist there does no harm.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+    # Batches of the default 10,000 rows are too much memory for long texts.
+    if int(spark.conf.get(ARROW_ROWS)) > MOST_ARROW_ROWS:
+        spark.conf.set(ARROW_ROWS, str(MOST_ARROW_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +70,14 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def rows_of(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...], size: int = 256) -> Iterator[tuple]:
+    """Rows of record batches as Python values, a few at a time."""
+    for batch in batches:
+        for at, n in slices(batch.num_rows, size):
+            part = batch.slice(at, n)
+            yield from zip(*[part.column(c).to_pylist() for c in columns], strict=True)
+
+
 def slices(n: int, size: int):
     for at in range(0, n, size):
         yield at, min(size, n - at)
