@@ -67,10 +67,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A repeated (id, text) row is kept once.
     """
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     fate = exact_groups(docs, id_col, text_col, normalise, keep)
-    stay = fate.filter("kept").select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_digest"))
+    stay = fate.filter("kept").select(known(id_col).alias("_key"), F.col("text_sha256").alias("_digest"))
     text = text_of(docs[text_col]) if normalise is None else F.coalesce(normalise, F.lit(""))
-    left = docs.withColumn("_digest", F.sha2(text, 256))
-    kept = left.join(stay, left[id_col].eqNullSafe(stay["_keep_id"]) & (left["_digest"] == stay["_keep_digest"]), "left_semi")
-    numbered = kept.withColumn("_at", F.row_number().over(W.partitionBy(id_col, "_digest").orderBy(F.lit(0))))
+    # Join and window share their keys, so the texts are shuffled once.
+    kept = docs.withColumn("_key", known(id_col)).withColumn("_digest", F.sha2(text, 256)).join(stay, ["_key", "_digest"], "left_semi")
+    numbered = kept.withColumn("_at", F.row_number().over(W.partitionBy("_key", "_digest").orderBy(F.lit(0))))
     return numbered.filter("_at = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
