@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, chat, exact, fingerprint, near, packing, pii, quality, transducer
+from citeloom.llm import bpe, chat, exact, fingerprint, near, packing, passages, pii, quality, transducer
 from citeloom.llm.common import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -21,6 +21,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), TOKENIZER, with_ids=False)
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(read_table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
+    "op3_passages": op3_passages,
     "op4_fingerprints": op4_fingerprints,
     "op5_chat": op5_chat,
     "op6_minhash": op6_minhash,
