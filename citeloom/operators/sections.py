@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.identifiers import strip
+from citeloom.session import reach_workers
 
 DOI, PMCID, PMID = r"(?i)10\.\d{4,9}/[\w\.\-/:;()<>]+", r"(?i)PMC\d{4,}", r"(?i)\bpmid[:\s]*(\d{4,9})\b"
 #: Elements without readable content (fixed values).
@@ -211,6 +212,7 @@ def parse_jats(raw: DataFrame, content: str = "content", default_id: str = "pape
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
+    reach_workers(raw.sparkSession)
     section = pa.struct([("section_title", pa.string()), ("section_text", pa.string()), ("section_path", pa.string()), ("page", pa.int32())])
     arrow = pa.schema([(n, pa.string()) for n in ("paper_id", "paper_doi", "pmcid", "pmid", "source_path", "title", "abstract", "full_text")] + [("sections", pa.list_(section))])
     return raw.select(F.col(content).alias("content"), F.col(default_id).alias("paper_id"), "source_path").mapInArrow(run, PAPER)
