@@ -371,7 +371,9 @@ def similar_components(items: DataFrame, plan: Plan = Plan()) -> DataFrame:
     members = materialise(met.select("key", "block", "id", "brief", F.explode(unit).alias("u")).select("key", "u.i", "u.j", "block", "id", "brief"), "members")
     first = members.withColumn("label", F.col("id")).withColumn("hashes", F.lit(None).cast("binary"))
     pairs = materialise(bucket_pairs(first, plan), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # Full sets of all members of buckets with a pair: the texts are read for them once.
+    paired = pairs.select("key", "i", "j").distinct()
+    wanted = members.join(paired, ["key", "i", "j"], "left_semi").select("id").distinct()
     known = materialise(text_sets(items.join(wanted, "id", "left_semi"), plan), "sets")
     judged = materialise(verified(pairs, known, plan), "judged")
     links = judged.filter("linked").select("a", "b")
@@ -383,8 +385,7 @@ def similar_components(items: DataFrame, plan: Plan = Plan()) -> DataFrame:
         # Buckets whose members have come into one component have no pair left.
         mixed = rest.groupBy("key", "i", "j").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("key", "i", "j")
         rest = materialise(rest.join(mixed, ["key", "i", "j"], "left_semi"), "rest")
-        full = materialise(text_sets(items.join(rest.select("id").distinct(), "id", "left_semi"), plan), "full")
-        more = materialise(bucket_pairs(rest.join(full, "id"), plan), "more").select("a", "b")
+        more = materialise(bucket_pairs(rest.join(known, "id"), plan), "more").select("a", "b")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     out = signed.select("id", *sets).join(groups, sets, "left")
