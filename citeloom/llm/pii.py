@@ -167,7 +167,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     revealing = materialise(revealing_terms(docs, text_col), "revealing")
     if revealing.isEmpty():
         return out.withColumn(spans, F.col(base))
-    holding = docs.select(F.xxhash64(text).alias(key), F.explode(words(text)).alias("term")).distinct().join(revealing, "term")
+    # Only words that reveal something are told apart by text, after the join.
+    holding = docs.select(F.xxhash64(text).alias(key), F.explode(words(text)).alias("term")).join(revealing, "term")
     per_text = materialise(holding.groupBy(key).agg(F.collect_set("term").alias(terms)), "holding")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort(terms), "|"), F.lit(r")(?!\p{L})"))
     where = bare(matches(text, pattern, len(PATTERNS)))
