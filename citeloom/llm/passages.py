@@ -1,27 +1,32 @@
-"""Repeated passages across documents (operator 3).
-
-Paragraph MinHash banding where the paragraphs are windows of ``width`` words
-whose starts the text itself sets: of every ``width`` consecutive starts the
-one whose next five words have the least hash is taken. Lines and documents
-play no part, so a passage pasted into the middle of other text is cut like
-its original: of any 2 * width - 1 words that two documents share, at least
-one window is taken in both. The least hash, the MinHash value of the words
-around, is also the window's band.
-
-1. Every document gives its windows: band, digest of the words, document and
-   place. Repeats of a window inside its document are left out.
-2. Bands with windows of one document only are dropped. What is left holds all
-   exact repeats (one digest, two documents) and all candidates (one band, two
-   digests). One window of each candidate digest is compared and verified by
-   exact Jaccard similarity, and linked digests are joined into components
-   (the machinery of operator 6).
-3. A component with windows in two documents or more is a repeated passage.
-   The least document id keeps it; in the others its words go.
-
-One band of one value is tuned for recall over passages, not windows: a window
-of similarity 0.8 is met with 0.8, but a passage gives several, so one of four
-windows is missed with 0.2**4 = 0.0016; exact repeats are always found. Counts
-are aggregated before they are shuffled; nothing is collected or capped.
+"""Repeated passages across documents, and inside them (operator 3).
+
+Paragraph MinHash banding with exact verification. A paragraph is every run of
+RUN consecutive GRAM-word shingles, wherever it starts; its band is the least
+hash of its shingles, and the place of that shingle is an anchor. Lines and
+documents play no part. Two texts that share GRAM + RUN - 1 = 20 words have an
+anchor in common there, whatever stands around.
+
+1. Anchors of one place only are dropped.
+2. Every window of ``width`` words that holds a shared anchor is compared by its
+   digest, at every place, so exact repeats come out at their full length: a
+   repeat of ``width`` words or more holds an anchor in each of its windows.
+3. Near copies: at an anchor whose words step 2 doesn't remove, or which is the
+   first or last of what it removes, the words around are compared with those
+   of the other places of the anchor. Where 20 words or more agree, the
+   stretch is carried on word by word over edits of up to EDIT words, and the
+   longest aligned passage of ``width`` words and Jaccard similarity 0.8 (sets
+   of five-word shingles) is a repeat. A passage of n words with k words
+   changed has that similarity if n >= 45 k + 4, so its longest unchanged
+   stretch has 24 words, with words put in or left out 22: both hold an anchor.
+   Up to AROUND words on each side of one anchor are looked at; passages found
+   from several anchors merge.
+4. The least place (document, then word) of a repeat keeps it; in the others
+   its words go. Each removed word has a like word at a lesser place, so the
+   words at the least place always stay.
+
+Repeats inside one document count like others where the two places are
+``width`` words apart and don't overlap. Places of one anchor in step 3 are
+compared in pairs; nothing is collected on the driver or capped.
 
 Defined cases: null and empty texts and texts shorter than a window have no
 windows. Rows with a null id are left out. Rows that repeat an id count as one
@@ -36,15 +41,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import materialise, rows_of, slices, text_of
-from citeloom.llm.near import CACHE_WORDS, _WORDS, Plan, _mixed, similar_components
+from citeloom.llm.near import CACHE_WORDS, _WORDS, _mixed
 
 WIDTH, SHINGLE = 25, 5
+GRAM, RUN = 8, 13
+AROUND, EDIT, PERCENT = 64, 3, 80
 ROWS_AT_ONCE = 256
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-
+#: Skips (in one text, in the other) tried at an edit, the smallest first.
+SKIPS = sorted(((x, y) for x in range(EDIT + 1) for y in range(EDIT + 1) if x or y), key=lambda s: (max(s), sum(s)))
+PLACE = "doc long, start int, stop int, n int, keeper long, kept boolean"
 
 def _runs(w: np.ndarray, n: int) -> np.ndarray:
     """Polynomial hashes of all runs of n values, by doubling."""
@@ -77,102 +87,234 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def windows(text: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, digests, bands) of a text's windows."""
+def windows(text: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, digests) of all windows of a text."""
+    w = word_hashes(text)
+    if len(w) < width:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    digests = _mixed(_runs(w, width)).view(np.int64)
+    return np.arange(len(digests)), digests
+
+
+def anchors(text: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(places, bands) of a text's anchors: the least shingle of each paragraph."""
     w = word_hashes(text)
-    n = len(w) - width + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    grams = _mixed(_runs(w, SHINGLE))
-    v = grams[:n]
-    run = min(width, n)
-    low = _least(v, run)
-    # A start is taken if it is the least of some run that it stands in.
-    padded = np.concatenate([np.zeros(run - 1, np.uint64), low, np.zeros(run - 1, np.uint64)])
-    taken = np.nonzero(~_least(~padded, run)[:n] == v)[0]
-    digests = _mixed(_runs(w, width))[taken]
-    digests, first = np.unique(digests, return_index=True)
-    taken = taken[first]
-    return taken, digests.view(np.int64), v[taken].view(np.int64)
+    n = len(w) - GRAM + 1
+    if len(w) < width:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    v = _mixed(_runs(w, GRAM))
+    low = _least(v, RUN)
+    # A shingle is taken if it is the least of some run that it stands in.
+    padded = np.concatenate([np.zeros(RUN - 1, np.uint64), low, np.zeros(RUN - 1, np.uint64)])
+    taken = np.nonzero(~_least(~padded, RUN)[:n] == v)[0]
+    return taken, v[taken].view(np.int64)
+
+
+def _by_text(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], work, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Record batches of the columns that work gives for each few rows."""
+    gc.disable()
+    for batch in batches:
+        for at, size in slices(batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(at, size)
+            got = [work(*row) for row in zip(*[part.column(c).to_pylist() for c in columns], strict=True)]
+            cols = zip(*got, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(c) for c in col]).astype(t.to_pandas_dtype()), t) for col, t in zip(cols, types, strict=True)], names)
+
+
+def anchor_rows(docs: DataFrame, width: int) -> DataFrame:
+    """(doc, pos, band) of all anchors of docs(doc, text)."""
+
+    def one(doc: int, text: str) -> tuple:
+        pos, band = anchors(text, width)
+        return np.full(len(pos), doc), pos, band
+
+    run = lambda batches: _by_text(batches, ("doc", "text"), one, ["doc", "pos", "band"], [pa.int64(), pa.int32(), pa.int64()])
+    return docs.mapInArrow(run, "doc long, pos int, band long")
 
 
 def window_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, start, digest, band) of all windows of docs(doc, text)."""
+    """(doc, start, digest) of the windows that hold an anchor; docs has the anchors' places (at)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        for batch in batches:
-            for at, size in slices(batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, size)
-                found = [windows(t, width) for t in part.column("text").to_pylist()]
-                doc = np.repeat(part.column("doc").to_numpy(), [len(f[0]) for f in found])
-                starts, digests, bands = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(starts.astype(np.int32)), pa.array(digests), pa.array(bands)], ["doc", "start", "digest", "band"])
+    def one(doc: int, text: str, at: list[int]) -> tuple:
+        start, digest = windows(text, width)
+        # Windows from pos + GRAM - width to pos hold the anchor at pos.
+        edge, pos = np.zeros(len(start) + 1, np.int64), np.array(at)
+        pos = pos[pos < len(start) + width - GRAM]
+        np.add.at(edge, np.maximum(pos + GRAM - width, 0), 1)
+        np.add.at(edge, np.minimum(pos + 1, len(start)), -1)
+        held = np.cumsum(edge)[:-1] > 0
+        return np.full(np.count_nonzero(held), doc), start[held], digest[held]
 
-    return docs.mapInArrow(run, "doc long, start int, digest long, band long")
+    run = lambda batches: _by_text(batches, ("doc", "text", "at"), one, ["doc", "start", "digest"], [pa.int64(), pa.int32(), pa.int64()])
+    return docs.mapInArrow(run, "doc long, start int, digest long")
 
 
-def window_texts(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(id, text): the words of each wanted (digest, doc, start)."""
-    places = wanted.groupBy("doc").agg(F.collect_list(F.struct("digest", "start")).alias("places"))
-    met = docs.join(places, "doc").select("places", "text")
+def merged(places: DataFrame) -> DataFrame:
+    """Places (PLACE) of one document and one ``kept`` that meet, as one."""
+    order = W.partitionBy("doc", "kept").orderBy("start", "stop")
+    before = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
+    numbered = places.withColumn("fresh", (before.isNull() | (F.col("start") > before)).cast("int"))
+    numbered = numbered.withColumn("span", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    spans = numbered.groupBy("doc", "kept", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").cast("int").alias("n"), F.min("keeper").alias("keeper"))
+    return spans.select("doc", "start", "stop", "n", "keeper", "kept")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, list] = ([], [])
-            for places, text in rows_of([batch], ("places", "text")):
-                tokens = text.encode().split()
-                for place in places:
-                    out[0].append(place["digest"])
-                    out[1].append(b" ".join(tokens[place["start"] : place["start"] + width]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], ["id", "text"])
 
-    return met.mapInArrow(run, "id long, text string").dropDuplicates(["id"])
+def several(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """Rows of keys with more than one place (doc, at), with the least place."""
+    group = W.partitionBy(key)
+    rows = rows.select("*", F.min(F.struct("doc", at)).over(group).alias("first"), F.max(F.struct("doc", at)).over(group).alias("last"))
+    return rows.filter("first <> last").drop("last")
+
 
+def exact_places(docs: DataFrame, shared: DataFrame, width: int) -> DataFrame:
+    """Places (PLACE) of exact repeats, merged."""
+    met = docs.join(shared.groupBy("doc").agg(F.collect_set("pos").alias("at")), "doc")
+    found = several(window_rows(met, width), "digest", "start")
+    own = (F.col("doc") == F.col("first.doc")) & (F.col("start") - F.col("first.start") < width)
+    found = found.select("doc", "start", (F.col("start") + width).alias("stop"), F.lit(1).alias("n"), F.col("first.doc").alias("keeper"), own.alias("kept"))
+    return merged(found)
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, plan: Plan = Plan(words=SHINGLE, bands=16, rows=2)) -> DataFrame:
-    """(doc, start, passage, keeper) of every window of a repeated passage.
 
-    docs: (doc long, text string), no nulls. passage identifies the component,
-    keeper is the least doc that holds it.
+def open_anchors(shared: DataFrame, exact: DataFrame) -> DataFrame:
+    """(doc, pos, band, root) of the anchors that near copies are looked for at.
+
+    root: the anchor is not inside a removed span; the first and the last
+    anchor of a removed span are given too.
     """
-    rows = materialise(window_rows(docs, width), "windows")
-    spread = lambda c: (F.min(c).alias("l"), F.max(c).alias("h"))
-    common = materialise(rows.groupBy("band").agg(*spread("doc")).filter("l <> h").select("band"), "bands")
-    shared = materialise(rows.join(common, "band"), "shared")
-    mixed = shared.groupBy("band").agg(*spread("digest")).filter("l <> h").select("band")
-    near = shared.join(mixed, "band").groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("at")).select("digest", "at.doc", "at.start")
-    texts = materialise(window_texts(near, docs, width), "windowtexts")
-    joined = similar_components(texts, plan)
-    joined = joined.select(F.col("id").alias("digest"), F.col("component").alias("passage"))
-    groups = joined.groupBy("passage").agg(F.count("*").alias("n")).filter("n > 1").select("passage")
-    linked = joined.join(groups, "passage").select("digest", "passage")
-    held = materialise(shared.join(linked, "digest", "left").select("doc", "start", F.coalesce("passage", "digest").alias("passage")), "held")
-    across = held.groupBy("passage").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).filter("keeper <> last").select("passage", "keeper")
-    return held.join(across, "passage")
+    lists = shared.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("pos", "band"))).alias("at"))
+    gone = exact.filter("not kept").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone"))
+
+    def one(doc: int, at: list[dict], gone: list[dict] | None) -> tuple:
+        pos, band = np.array([a["pos"] for a in at]), np.array([a["band"] for a in at])
+        root, want = np.ones(len(pos), bool), np.ones(len(pos), bool)
+        for g in gone or []:
+            low, high = np.searchsorted(pos, g["start"]), np.searchsorted(pos, g["stop"] - GRAM, "right")
+            root[low:high] = False
+            want[low + 1 : high - 1] = False
+        return np.full(np.count_nonzero(want), doc), pos[want], band[want], root[want]
+
+    run = lambda batches: _by_text(batches, ("doc", "at", "gone"), one, ["doc", "pos", "band", "root"], [pa.int64(), pa.int32(), pa.int64(), pa.bool_()])
+    return lists.join(gone, "doc", "left").mapInArrow(run, "doc long, pos int, band long, root boolean")
+
+
+def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(doc, pos, band, root) with the hashes of the words around each anchor, 0 beyond the text."""
+    met = docs.join(wanted.groupBy("doc").agg(F.collect_list(F.struct("pos", "band", "root")).alias("at")), "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for doc, text, at in rows_of([batch], ("doc", "text", "at")):
+                none = np.zeros(AROUND, np.uint32)
+                w = np.concatenate([none, (word_hashes(text) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), none])
+                for a in at:
+                    if a["pos"] + GRAM + 2 * AROUND <= len(w):
+                        for column, x in zip(out, (doc, a["pos"], a["band"], a["root"], w[a["pos"] : a["pos"] + GRAM + 2 * AROUND].tobytes()), strict=True):
+                            column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["doc", "pos", "band", "root", "words"])
+
+    return met.mapInArrow(run, "doc long, pos int, band long, root boolean, words binary")
+
+
+def _ends(a: list[int], b: list[int], at: int, by: int) -> list[tuple[int, int]]:
+    """Where stretches of equal words from ``at`` end in the two, going by 1 or -1 over edits."""
+    size, i, j, out = len(a), at, at, []
+    inside = lambda k: 0 <= k < size
+    while True:
+        while inside(i) and inside(j) and a[i] == b[j] != 0:
+            i, j = i + by, j + by
+        out.append((i, j))
+        for x, y in SKIPS:
+            u, v = i + by * x, j + by * y
+            if all(inside(u + by * k) and inside(v + by * k) and a[u + by * k] == b[v + by * k] != 0 for k in range(SHINGLE)):
+                i, j = u, v
+                break
+        else:
+            return out
+
+
+def _similar(a: list[int], b: list[int]) -> bool:
+    s, t = ({tuple(x[k : k + SHINGLE]) for k in range(len(x) - SHINGLE + 1)} for x in (a, b))
+    return 100 * len(s & t) >= PERCENT * len(s | t)
+
+
+def aligned(a: list[int], b: list[int], width: int) -> tuple[int, int, int, int] | None:
+    """The longest similar passage around the anchor: its ends in a and in b."""
+    lefts, rights = _ends(a, b, AROUND, -1), _ends(a, b, AROUND, 1)
+    spans = [(i + 1, k, j + 1, m) for i, j in lefts for k, m in rights]
+    for i, k, j, m in sorted(spans, key=lambda s: s[0] - s[1] + s[2] - s[3]):
+        if min(k - i, m - j) >= width and _similar(a[i:k], b[j:m]):
+            return i, k, j, m
+    return None
+
+
+def near_pairs(held: list[tuple], width: int) -> list[tuple]:
+    """Places (PLACE) of the similar passages around one anchor; held: (doc, pos, root, words)."""
+    held = sorted(set(held))
+    table = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(len(held), -1)
+    root = np.array([h[2] for h in held])
+    out, lists = set(), {}
+    words = lambda k: lists[k] if k in lists else lists.setdefault(k, table[k].tolist())
+    for q in range(1, len(held)):
+        # Pairs of two places that aren't roots are left out: each has its keeper among the roots.
+        other = np.arange(q) if root[q] else np.nonzero(root[:q])[0]
+        for part in np.array_split(other, len(other) // 4096 + 1):
+            same = (table[part] == table[q]) & (table[q] != 0)
+            left = np.cumprod(same[:, AROUND - 1 :: -1], axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
+            right = np.cumprod(same[:, AROUND:], axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
+            for p in part[left + right >= GRAM + RUN - 1].tolist():
+                span = aligned(words(p), words(q), width)
+                if span is None:
+                    continue
+                (d, x), (e, y) = held[p][:2], held[q][:2]
+                i, k, j, m = span[0] + x - AROUND, span[1] + x - AROUND, span[2] + y - AROUND, span[3] + y - AROUND
+                if d != e or (k <= j and y - x >= width):
+                    out |= {(d, i, k, 1, d, True), (e, j, m, 1, d, False)}
+    return sorted(out)
+
+
+def near_places(docs: DataFrame, shared: DataFrame, exact: DataFrame, width: int) -> DataFrame:
+    """Places (PLACE) of near copies."""
+    group = W.partitionBy("band")
+    wanted = open_anchors(shared, exact).select("*", F.count("*").over(group).alias("places"), F.bool_or("root").over(group).alias("rooted"))
+    wanted = materialise(wanted.filter("places > 1 and rooted").drop("places", "rooted"), "openanchors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, held, out = None, [], []
+        names = ["doc", "start", "stop", "n", "keeper", "kept"]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        for row in rows_of(batches, ("band", "doc", "pos", "root", "words")):
+            if row[0] != band:
+                out += near_pairs(held, width) if len(held) > 1 else []
+                band, held = row[0], []
+                if len(out) >= 10_000:
+                    yield batch_of(out)
+                    out = []
+            held.append(row[1:])
+        out += near_pairs(held, width) if len(held) > 1 else []
+        if out:
+            yield batch_of(out)
+
+    return contexts(docs, wanted).repartition("band").sortWithinPartitions("band").mapInArrow(run, PLACE)
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans of words that other documents hold too, one row for each span.
+    """Spans of words that stand elsewhere too, one row for each span.
 
     Returns (id_col, first_word, n_words, n_windows, keep_id, kept): words are
-    runs of non-blank characters, numbered from 0. Overlapping windows merge
-    into one span if they agree on ``kept``: True where this document keeps
-    the passage, else keep_id is the least document that does.
+    runs of non-blank characters, numbered from 0. Overlapping repeats merge
+    into one span if they agree on ``kept``: True where this place keeps the
+    passage, else keep_id is the least document that does (this one, if the
+    passage stands in it before).
     """
-    found = repeated_windows(docs.select(docs[id_col].cast("long").alias("doc"), text_of(docs[text_col]).alias("text")).filter("doc is not null"), width)
-    places = found.select("doc", F.struct("start", "keeper").alias("w"), (F.col("doc") == F.col("keeper")).alias("kept"))
-    lists = places.groupBy("doc", "kept").agg(F.array_sort(F.collect_set("w")).alias("ws"))
-    none = F.array().cast("array<struct<start:int,stop:int,n:int,keeper:bigint>>")
-
-    def step(spans, w):
-        last = F.try_element_at(spans, F.lit(-1))
-        fresh = F.struct(w["start"].alias("start"), (w["start"] + width).alias("stop"), F.lit(1).alias("n"), w["keeper"].alias("keeper"))
-        longer = F.struct(last["start"].alias("start"), (w["start"] + width).alias("stop"), (last["n"] + 1).alias("n"), F.least(last["keeper"], w["keeper"]).alias("keeper"))
-        return F.when((F.size(spans) > 0) & (w["start"] <= last["stop"]), F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(longer))).otherwise(F.concat(spans, F.array(fresh)))
-
-    spans = lists.select("doc", "kept", F.explode(F.aggregate("ws", none, step)).alias("s"))
-    return spans.select(F.col("doc").alias(id_col), F.col("s.start").cast("long").alias("first_word"), (F.col("s.stop") - F.col("s.start")).cast("long").alias("n_words"), F.col("s.n").cast("long").alias("n_windows"), F.col("s.keeper").alias("keep_id"), "kept")
+    if width < GRAM + RUN - 1:
+        raise ValueError(f"width must be {GRAM + RUN - 1} words or more")
+    docs = docs.select(docs[id_col].cast("long").alias("doc"), text_of(docs[text_col]).alias("text")).filter("doc is not null")
+    shared = materialise(several(anchor_rows(docs, width), "band", "pos").drop("first"), "shared")
+    exact = materialise(exact_places(docs, shared, width), "exact")
+    spans = merged(exact.unionByName(near_places(docs, shared, exact, width)))
+    return spans.select(F.col("doc").alias(id_col), F.col("start").cast("long").alias("first_word"), (F.col("stop") - F.col("start")).cast("long").alias("n_words"), F.col("n").cast("long").alias("n_windows"), F.col("keeper").alias("keep_id"), "kept")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

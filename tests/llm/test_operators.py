@@ -292,3 +292,31 @@ def test_revealing_terms(spark):
     assert [r.term for r in pii.revealing_terms(docs).collect()] == ["zebrafish"]
     spans = {r.doc_id: r.spans for r in pii.report(docs.filter("doc_id < 300").unionByName(docs.filter("doc_id >= 300"))).filter("doc_id < 12").collect()}
     assert all("term:" in s and "email:" in s for s in spans.values())
+
+
+def test_edited_passages_are_found_whole(spark):
+    rng, filler = random.Random(3), iter(range(10**9))
+    fresh = lambda n: [f"x{next(filler)}" for _ in range(n)]
+    rows, spans = [], {}
+    for k in range(120):
+        size = rng.randint(50, 100)
+        one = fresh(size)
+        two, at = list(one), rng.randint(0, size - 1) if k % 3 else size // 2
+        two[at : at + (k % 4 > 0)] = [] if k % 4 == 1 else fresh(1)
+        for doc, words in ((2 * k, one), (2 * k + 1, two)):
+            before = rng.randint(0, 60)
+            rows.append((doc, " ".join(fresh(before) + words + fresh(rng.randint(0, 60)))))
+            spans[doc] = (before, words)
+    got = {}
+    for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).filter("not kept").collect():
+        assert r.keep_id == r.doc_id - 1
+        got.setdefault(r.doc_id, set()).update(range(r.first_word, r.first_word + r.n_words))
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k in range(120):
+        (_, one), (before, two) = spans[2 * k], spans[2 * k + 1]
+        a, b = shingles(one), shingles(two)
+        assert len(a & b) >= 0.8 * len(a | b) or len(one) < 54
+        held = [before + i for i, w in enumerate(two) if w in set(one)]
+        # Whole but for what lies beyond an edit fewer than five words from an end.
+        found = sum(h in got.get(2 * k + 1, ()) for h in held)
+        assert found >= len(held) - 4 if len(a & b) >= 0.8 * len(a | b) else found >= 25
