@@ -320,3 +320,20 @@ def test_edited_passages_are_found_whole(spark):
         # Whole but for what lies beyond an edit fewer than five words from an end.
         found = sum(h in got.get(2 * k + 1, ()) for h in held)
         assert found >= len(held) - 4 if len(a & b) >= 0.8 * len(a | b) else found >= 25
+
+
+def test_exact_repeats_are_found_whole(spark):
+    filler = iter(range(10**9))
+    fresh = lambda n: " ".join(f"y{next(filler)}" for _ in range(n))
+    rows, want = [], set()
+    for k, size in enumerate((25, 26, 37, 48, 51, 60, 80, 300)):
+        p = fresh(size)
+        rows += [(3 * k, f"{fresh(30)} {p} {fresh(9)}"), (3 * k + 1, f"{fresh(7)} {p} {fresh(40)} {p} {fresh(3)}"), (3 * k + 2, f"{p} {fresh(30)} {p}")]
+        want |= {(3 * k, 30, size, 3 * k, True), (3 * k + 1, 7, size, 3 * k, False), (3 * k + 1, 47 + size, size, 3 * k, False), (3 * k + 2, 0, size, 3 * k, False), (3 * k + 2, size + 30, size, 3 * k, False)}
+    p, a, b, c = fresh(40), fresh(5), fresh(50), fresh(5)
+    rows.append((900, f"{a} {p} {b} {p} {c}"))
+    want |= {(900, 5, 40, 900, True), (900, 95, 40, 900, False)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.first_word, r.n_words, r.keep_id, r.kept) for r in passages.repeats(docs).collect()} == want
+    clean = {r.doc_id: r.text for r in passages.remove_repeats(docs).collect()}
+    assert clean[900] == f"{a} {p} {b} {c}"
