@@ -8,10 +8,16 @@ independent contexts (mentions with other neighbouring words),
     disclosure = log2( P(entity | term) / P(entity) )
 
 with P(entity | term) the share of the texts holding the term that hold it
-near the entity, and P(entity) the entity's share of all texts. A term whose
-disclosure, conditional probability and number of contexts all reach their
-thresholds is generalised wherever it occurs. Counts are over all texts,
-copies of a text counting once.
+near the entity, and P(entity) the entity's share of all texts. An entity can
+give away log2(1 / P(entity)) at most, and a term is held against that part,
+so neither frequent entities nor small corpora are left out. That it isn't
+chance is judged by the evidence of all texts holding the term,
+
+    n * KL(P(entity | term) || P(entity)) bits, n = texts holding the term.
+
+A term whose part, evidence, conditional probability and number of contexts
+all reach their thresholds is generalised wherever it occurs. Counts are over
+all texts, copies of a text counting once.
 
 Defined cases: null and empty texts have no spans; spans of different kinds
 may overlap and are all reported; sanitised texts replace overlapping spans by
@@ -38,7 +44,7 @@ KINDS = (*PATTERNS, "term")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: Thresholds of the corpus part.
 CONTEXT_CHARS, MIN_TERM_CHARS = 80, 4
-MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 5, 0.9, 8.0
+MIN_CONTEXTS, MIN_SHARE, MIN_PART, MIN_EVIDENCE = 5, 0.9, 0.5, 20.0
 
 
 def digits(text: Column) -> Column:
@@ -153,8 +159,12 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     held = texts.select(F.xxhash64("text").alias("copy"), F.explode(words(F.col("text"))).alias("term")).join(known, "term").groupBy("term").agg(F.count_distinct("copy").alias("holding"))
     judged = candidates.join(held, "term").crossJoin(F.broadcast(total))
     share = F.col("together") / F.col("holding")
-    bits = F.log2(share) - F.log2(F.col("copies") / F.col("total"))
-    return judged.filter((share >= MIN_SHARE) & (bits >= MIN_BITS)).select("term").distinct()
+    prior = F.col("copies") / F.col("total")
+    bits = F.log2(share) - F.log2(prior)
+    apart = F.col("holding") - F.col("together")
+    against = F.when((apart > 0) & (prior < 1), apart * (F.log2(1 - share) - F.log2(1 - prior))).otherwise(0.0)
+    evidence = F.col("together") * bits + against
+    return judged.filter((share >= MIN_SHARE) & (bits >= -MIN_PART * F.log2(prior)) & (evidence >= MIN_EVIDENCE)).select("term").distinct()
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

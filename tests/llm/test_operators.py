@@ -337,3 +337,14 @@ def test_exact_repeats_are_found_whole(spark):
     assert {(r.doc_id, r.first_word, r.n_words, r.keep_id, r.kept) for r in passages.repeats(docs).collect()} == want
     clean = {r.doc_id: r.text for r in passages.remove_repeats(docs).collect()}
     assert clean[900] == f"{a} {p} {b} {c}"
+
+
+def test_revealing_terms_of_hot_entities_and_small_corpora(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    hot = [(i, f"{word()} zebrafish {word()} mail joe@lab.org {word()} today" if i < 40 else f"{word()} mail joe@lab.org {word()}" if i < 300 else f"mail and today {word()}") for i in range(900)]
+    small = [(i, f"{word()} zebrafish {word()} mail joe@lab.org {word()} today" if i < 5 else f"mail and today {word()}") for i in range(200)]
+    everywhere = [(i, f"{word()} zebrafish {word()} mail joe@lab.org {word()}") for i in range(100)]
+    for rows, want in ((hot, ["zebrafish"]), (small, ["zebrafish"]), (everywhere, [])):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert [r.term for r in pii.revealing_terms(docs).collect()] == want
