@@ -43,7 +43,7 @@ PATTERNS = {
 KINDS = (*PATTERNS, "term")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: Thresholds of the corpus part.
-CONTEXT_CHARS, MIN_TERM_CHARS = 80, 4
+CONTEXT_CHARS = 80
 MIN_CONTEXTS, MIN_SHARE, MIN_PART, MIN_EVIDENCE = 5, 0.9, 0.5, 20.0
 
 
@@ -126,8 +126,8 @@ def show_spans(spans: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Distinct lower-cased runs of letters of at least MIN_TERM_CHARS."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"\p{{L}}{{{MIN_TERM_CHARS},}}+"), F.lit(0)), F.lower))
+    """Distinct lower-cased runs of letters, however short."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}++"), F.lit(0)), F.lower))
 
 
 def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -146,8 +146,10 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     value = F.substr(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     entity = F.when(F.col("s.kind") >= 2, digits(value)).otherwise(F.lower(value))
     beside = F.xxhash64(F.regexp_extract(left, r"(\S+)\s*$", 1), F.regexp_extract(right, r"^\s*(\S+)", 1))
-    # A word cut by the window's edge is not a term.
-    around = F.concat_ws(" ", F.regexp_replace(left, r"^\S*", ""), F.regexp_replace(right, r"\S*$", ""))
+    # A word cut by the window's edge is not a term; beyond the text's ends the character is empty.
+    cut_left = (F.col("s.start") > CONTEXT_CHARS) & F.substr(F.col("text"), F.greatest(F.lit(1), F.col("s.start") - CONTEXT_CHARS), F.lit(1)).rlike(r"\S")
+    cut_right = F.substr(F.col("text"), F.col("s.end") + CONTEXT_CHARS + 1, F.lit(1)).rlike(r"\S")
+    around = F.concat_ws(" ", F.when(cut_left, F.regexp_replace(left, r"^\S*", "")).otherwise(left), F.when(cut_right, F.regexp_replace(right, r"\S*$", "")).otherwise(right))
     near = mention.select(F.col("s.kind").alias("kind"), entity.alias("entity"), beside.alias("context"), F.xxhash64("text").alias("copy"), words(around).alias("terms"))
     per_entity = near.groupBy("kind", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("copy").alias("copies")).filter(F.col("contexts") >= MIN_CONTEXTS)
     together = near.select("kind", "entity", "context", "copy", F.explode("terms").alias("term"))

@@ -348,3 +348,15 @@ def test_revealing_terms_of_hot_entities_and_small_corpora(spark):
     for rows, want in ((hot, ["zebrafish"]), (small, ["zebrafish"]), (everywhere, [])):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         assert [r.term for r in pii.revealing_terms(docs).collect()] == want
+
+
+def test_revealing_terms_at_the_edges_and_short_ones(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    rows = [(i, f"Zebrafish mail {word()} joe@lab.org {word()}") for i in range(8)] + [(10 + i, f"{word()} ann@lab.org {word()} Quokka") for i in range(8)]
+    rows += [(20 + i, f"{word()} Kim {word()} kk@lab.org {word()}") for i in range(8)] + [(30 + i, f"{word()} mail and today {word()}") for i in range(400)]
+    # Words that the window cuts are no terms: 80 characters before the mail begin inside "axolotl", those after end inside "pangolin".
+    rows += [(500 + i, f"{word()} axolotl{'.' * 60} {word()} x: cut@lab.org {word()} {'.' * 62} pangolin {word()}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.term for r in pii.revealing_terms(docs).collect()}
+    assert {"zebrafish", "quokka", "kim"} <= got and not got & {"mail", "and", "today", "axolotl", "pangolin"} and all(a not in got for a in ("axol", "lotl", "pango", "pangol"))
