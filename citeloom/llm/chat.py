@@ -35,13 +35,23 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\c"), F.lit("")), F.lit("\\b"), F.lit("\\"))
 
 
+def keyed(messages: DataFrame) -> DataFrame:
+    """messages with tree in a struct, which joins on a null tree as on any other."""
+    return messages.withColumn("tree", F.struct("tree"))
+
+
 def tree_paths(messages: DataFrame) -> DataFrame:
     """Root-to-leaf paths of messages(tree, node, parent, score).
 
     Returns (tree, leaf, node, up, score): up counts steps from the leaf. A
     message without a parent, or whose parent isn't in its tree, is a root. A
     cycle has no leaf, so it gives no path. node must be unique in its tree.
+    Messages of a null tree are one tree.
     """
+    return _walk(keyed(messages)).withColumn("tree", F.col("tree.tree"))
+
+
+def _walk(messages: DataFrame) -> DataFrame:
     nodes = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("has"))
     links = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("has"), F.col("parent")).alias("parent"))
@@ -71,7 +81,8 @@ def format_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     scores; ties go to the smaller leaf. Null roles and texts count as empty.
     best=None keeps every path.
     """
-    paths = tree_paths(messages)
+    messages = keyed(messages)
+    paths = _walk(messages)
     if best is not None:
         scored = paths.groupBy("tree", "leaf").agg(F.sum("score").alias("total"))
         ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.col("total").desc(), F.col("leaf")))).filter(F.col("rank") <= best)
@@ -93,7 +104,7 @@ def format_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
         lambda a, t: F.struct((a["end"] + size(t)).alias("end"), F.when(t["learn"], F.concat(a["spans"], F.array(F.struct((a["end"] + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length"))))).otherwise(a["spans"]).alias("spans")),
         lambda a: a["spans"],
     )
-    return whole.select("tree", "leaf", "rank", F.col("total").alias("score"), formatted.alias("formatted"), spans.alias("loss"))
+    return whole.select("tree.tree", "leaf", "rank", F.col("total").alias("score"), formatted.alias("formatted"), spans.alias("loss"))
 
 
 def read_turns(formatted: Column) -> Column:

@@ -360,3 +360,10 @@ def test_revealing_terms_at_the_edges_and_short_ones(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.term for r in pii.revealing_terms(docs).collect()}
     assert {"zebrafish", "quokka", "kim"} <= got and not got & {"mail", "and", "today", "axolotl", "pangolin"} and all(a not in got for a in ("axol", "lotl", "pango", "pangol"))
+
+
+def test_chat_with_a_null_conversation(spark):
+    flat = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    out = chat.format_paths(chat.thread_messages(flat)).select("tree", chat.read_turns(F.col("formatted")).alias("turns")).collect()
+    assert {r.tree: [tuple(t) for t in r.turns] for r in out} == {None: [("user", "a"), ("assistant", "b")], 1: [("user", "c")]}
+    assert {(r.tree, r.leaf, r.node) for r in chat.tree_paths(chat.thread_messages(flat)).collect()} == {(None, 2, 1), (None, 2, 2), (1, 1, 1)}
