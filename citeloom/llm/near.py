@@ -3,18 +3,24 @@
 1. Each text becomes its set of distinct word shingles. Equal sets collapse to
    one representative (the least id), so exact copies cost nothing further.
 2. MinHash values are cut into bands; representatives that agree on a band are
-   candidates. Buckets of one are dropped before anything heavier is joined.
-3. Inside a bucket the signatures are compared batch by batch. With a uniform
+   candidates. Buckets of one are dropped and buckets of the same members are
+   one bucket before anything heavier than ids is joined.
+3. Candidates are compared by their signatures, batch by batch. With a uniform
    prior, m matches of n leave P(similarity >= t) = P(Bin(n + 1, t) <= m); a
-   pair is pruned as soon as that falls below ``miss``. Pairs are compared in
-   memory, blocks of a large bucket being spread over tasks, and are not
+   pair is pruned as soon as that falls below ``miss``. Survivors are verified
+   on the full sets.
+4. First each member of a bucket is compared with the bucket's leader (its
+   least id), which is linear in the bucket and settles most of it: the links
+   give components, the leader has no pair left, and a bucket whose other
+   members are of one component is done.
+5. In what is left all pairs between different components are compared in
+   memory, blocks of a large bucket being spread over tasks. Pairs are not
    emitted: of the survivors only a maximum spanning forest is, since pairs
-   inside one verified tree add nothing to the components.
-4. Emitted pairs are verified on the full sets. Where one fails, the forest may
-   have hidden a link, so its bucket is gone through once more with the full
-   sets at hand: every surviving pair between components is verified there,
-   and a forest of the links is emitted.
-5. Verified links give components.
+   inside one verified tree add nothing to the components. Where one of these
+   fails verification, the forest may have hidden a link, so its bucket is gone
+   through once more with the full sets at hand: every surviving pair between
+   components is verified there, and a forest of the links is emitted.
+6. Verified links give components.
 
 Chance of missing a link: bands miss a pair of similarity 0.8 with probability
 (1 - 0.8**6)**32 = 6e-5 and fewer above; each of six comparisons adds 1e-6.
@@ -39,15 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import materialise, rows_of, slices, text_of
+from citeloom.llm.common import fresh, materialise, rows_of, slices, text_of
 from citeloom.llm.components import components
+from citeloom.llm.hashing import ODD, mixed, word_hashes
 
 ROWS_AT_ONCE = 256
-BLOCK = 2048
+BLOCK = 512
 MATRIX_CELLS = 4 << 20
-CACHE_WORDS = 400_000
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_FINAL = np.uint64(0xD6E8FEB86659FD93)
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -76,34 +81,17 @@ class Plan:
         return out
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _FINAL
-    return h ^ (h >> np.uint64(29))
-
-
 def shingle_set(text: str, words: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles, A-Z lower-cased."""
-    tokens = text.encode().lower().split()
-    if not tokens:
+    w = word_hashes(text)
+    if not len(w):
         return np.empty(0, np.uint64)
-    if len(_WORDS) > CACHE_WORDS:
-        _WORDS.clear()
-    w = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
     size = min(words, len(w))
     m = len(w) - size + 1
     h = np.full(m, np.uint64(size), np.uint64)
     for i in range(size):
-        h = h * _MULT + w[i : i + m]
-    return np.unique(_mixed(h))
+        h = h * ODD + w[i : i + m]
+    return np.unique(mixed(h))
 
 
 class Hasher:
@@ -112,7 +100,7 @@ class Hasher:
         seeds = np.array([xxhash.xxh64_intdigest(f"minhash {i}".encode()) for i in range(plan.hashes)], np.uint64)
         self.times = (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         self.plus = seeds.astype(np.uint32)
-        self.salt = _mixed(np.arange(1, plan.bands + 1, dtype=np.uint64) * _MULT)
+        self.salt = mixed(np.arange(1, plan.bands + 1, dtype=np.uint64) * ODD)
 
     def values(self, hashes: np.ndarray) -> np.ndarray:
         x = (hashes >> np.uint64(16)).astype(np.uint32)
@@ -126,8 +114,8 @@ class Hasher:
     def keys(self, values: np.ndarray) -> np.ndarray:
         h = self.salt.copy()
         for column in values.reshape(self.plan.bands, self.plan.rows).T:
-            h = h * _MULT + column
-        return _mixed(h).view(np.int64)
+            h = h * ODD + column
+        return mixed(h).view(np.int64)
 
     @staticmethod
     def brief(values: np.ndarray) -> bytes:
@@ -348,6 +336,37 @@ def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return met.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
 
 
+def likely(pairs: DataFrame, briefs: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) that no batch of their signatures prunes; briefs: (id, brief)."""
+    one, two = (briefs.select(F.col("id").alias(c), F.col("brief").alias(f"s{c}")) for c in "ab")
+    steps = plan.least_matches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, plan.hashes) for c in ("sa", "sb"))
+            left, count, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
+            for n, least in steps:
+                count[left] += np.count_nonzero(x[left, done:n] == y[left, done:n], axis=1)
+                left, done = left[count[left] >= least], n
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(left)) for c in "ab"], ["a", "b"])
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+
+
+def same_sets(signed: DataFrame) -> DataFrame:
+    """(id, n, rep) of rows (id, n, low, high) with a set: the least id of each set.
+
+    Copies of one set are spread over SALTS keys and meet in two levels, so a
+    set with a third of all rows gives no task more than its share.
+    """
+    sets = ["low", "high", "n"]
+    rows = signed.select("id", *sets, F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    first = rows.groupBy("salt", *sets).agg(F.min("id").alias("least"))
+    root = first.groupBy(*sets).agg(F.min("least").alias("rep"))
+    told = first.select("salt", *sets).join(root, sets)
+    return rows.join(told, ["salt", *sets]).select("id", *sets, "rep")
+
+
 def similar_components(items: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """(id, n, component) for every row of items(id long, text string).
 
@@ -356,41 +375,54 @@ def similar_components(items: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """
     items = items.select("id", text_of("text").alias("text"))
     signed = materialise(signatures(items, plan), "signed")
-    sets = ["low", "high", "n"]
-    groups = signed.filter("n > 0").groupBy(*sets).agg(F.min("id").alias("rep"))
-    groups = materialise(groups, "groups")
+    known_sets = signed.filter("n > 0")
+    owned = materialise(same_sets(known_sets), "owned")
     # A representative is found by its own id, so a set with many copies is no hot key.
-    reps = signed.filter("n > 0").join(groups.select(F.col("rep").alias("id"), *sets), ["id", *sets], "left_semi")
+    lead = ["id", "low", "high", "n"]
+    reps = known_sets.join(owned.filter("id = rep").select(*lead), lead, "left_semi")
     reps = materialise(reps.select("id", "brief", "keys").dropDuplicates(["id", "brief"]), "reps")
-    banded = reps.select("id", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    spread = banded.join(shared, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = spread.join(reps.select("id", "brief"), "id")
-    unit = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    members = materialise(met.select("key", "block", "id", "brief", F.explode(unit).alias("u")).select("key", "u.i", "u.j", "block", "id", "brief"), "members")
-    first = members.withColumn("label", F.col("id")).withColumn("hashes", F.lit(None).cast("binary"))
-    pairs = materialise(bucket_pairs(first, plan), "pairs")
-    # Full sets of all members of buckets with a pair: the texts are read for them once.
-    paired = pairs.select("key", "i", "j").distinct()
-    wanted = members.join(paired, ["key", "i", "j"], "left_semi").select("id").distinct()
-    known = materialise(text_sets(items.join(wanted, "id", "left_semi"), plan), "sets")
-    judged = materialise(verified(pairs, known, plan), "judged")
-    links = judged.filter("linked").select("a", "b")
+    briefs, banded = reps.select("id", "brief"), reps.select("id", F.explode("keys").alias("key"))
+    mark = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead"), mark(1).alias("x"), mark(2).alias("y")).filter("size > 1")
+    # Buckets of the same members, told by two 64-bit sums of them, are one.
+    buckets = buckets.groupBy("size", "lead", "x", "y").agg(F.min("key").alias("key"))
+    members = materialise(banded.join(buckets.select("key", "lead"), "key"), "members").filter("id <> lead")
+    # The texts of all members are read once, for their full sets. The ids grow
+    # with the input, so the join is the same at every size: no broadcast.
+    wanted = members.select(F.explode(F.array("id", "lead")).alias("id")).distinct()
+    known = materialise(text_sets(items.join(wanted.hint("merge"), "id", "left_semi"), plan), "sets")
+    judged = verified(likely(members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), briefs, plan), known, plan)
+    links = materialise(judged.filter("linked").select("a", "b"), "links")
     labels = components(links)
-    open_ = materialise(pairs.join(judged.filter("not linked"), ["a", "b"]).select("key", "i", "j").distinct(), "open")
-    if not open_.isEmpty():
-        named = labels.select(F.col("node").alias("id"), F.col("component").alias("label"))
-        rest = members.join(open_, ["key", "i", "j"], "left_semi").join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # Buckets whose members have come into one component have no pair left.
-        mixed = rest.groupBy("key", "i", "j").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("key", "i", "j")
-        rest = materialise(rest.join(mixed, ["key", "i", "j"], "left_semi"), "rest")
-        more = materialise(bucket_pairs(rest.join(known, "id"), plan), "more").select("a", "b")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
-    out = signed.select("id", *sets).join(groups, sets, "left")
-    out = out.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select("id", "n", F.coalesce("component", "rep", "id").alias("component"))
+    # The leaders have no pair left; what they have brought together needs none.
+    rest = labelled(members, labels)
+    if not rest.isEmpty():
+        sized = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        spread = rest.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        unit = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+        placed = materialise(spread.select("key", "block", "id", "label", F.explode(unit).alias("u")).select("key", "u.i", "u.j", "block", "id", "label"), "placed")
+        none = F.lit(None).cast("binary")
+        pairs = materialise(bucket_pairs(placed.join(briefs, "id").withColumn("hashes", none), plan), "pairs")
+        judged = materialise(verified(pairs, known, plan), "judged")
+        links = links.unionByName(judged.filter("linked").select("a", "b"))
+        labels = components(links)
+        open_ = pairs.join(judged.filter("not linked"), ["a", "b"]).select("key", "i", "j").distinct()
+        hidden = labelled(placed.drop("label").join(open_, ["key", "i", "j"], "left_semi"), labels, ("key", "i", "j"))
+        if not hidden.isEmpty():
+            more = materialise(bucket_pairs(hidden.join(briefs, "id").join(known, "id"), plan), "more").select("a", "b")
+            if not more.isEmpty():
+                labels = components(links.unionByName(more))
+    out = owned.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    out = out.select("id", "n", F.coalesce("component", "rep", "id").alias("component"))
+    return out.unionByName(signed.filter("n = 0").select("id", "n", F.col("id").alias("component")))
+
+
+def labelled(members: DataFrame, labels: DataFrame, unit: tuple[str, ...] = ("key",)) -> DataFrame:
+    """members with the component of each (label), of units that hold several components."""
+    named = labels.select(F.col("node").alias("id"), F.col("component").alias("label"))
+    rows = materialise(members.join(named, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+    several = rows.groupBy(*unit).agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select(*unit)
+    return materialise(rows.join(several, list(unit), "left_semi"), "several")
 
 
 def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,5 +433,6 @@ def near_groups(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
 
 def near_dedup(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows (all columns) that stay: the least id of each component."""
-    stay = near_groups(docs, plan, id_col, text_col).filter("kept").select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
+    name = fresh(docs, "stay")
+    stay = near_groups(docs, plan, id_col, text_col).filter("kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(stay[name]), "left_semi")

@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import materialise, rows_of, slices, text_of
-from citeloom.llm.near import CACHE_WORDS, _WORDS, _mixed
+from citeloom.llm.hashing import CACHE_WORDS, _WORDS, mixed as _mixed
 
 WIDTH, SHINGLE = 25, 5
 GRAM, RUN = 8, 13
