@@ -1,36 +1,39 @@
 """Repeated passages across documents, and inside them (operator 3).
 
-Paragraph MinHash banding with exact verification. A paragraph is every run of
-RUN consecutive GRAM-word shingles, wherever it starts; its band is the least
-hash of its shingles, and the place of that shingle is an anchor. Lines and
-documents play no part. Two texts that share GRAM + RUN - 1 = 20 words have an
-anchor in common there, whatever stands around.
-
-1. Anchors of one place only are dropped.
-2. Every window of ``width`` words that holds a shared anchor is compared by its
-   digest, at every place, so exact repeats come out at their full length: a
-   repeat of ``width`` words or more holds an anchor in each of its windows.
-3. Near copies: at an anchor whose words step 2 doesn't remove, or which is the
-   first or last of what it removes, the words around are compared with those
-   of the other places of the anchor. Where 20 words or more agree, the
-   stretch is carried on word by word over edits of up to EDIT words, and the
-   longest aligned passage of ``width`` words and Jaccard similarity 0.8 (sets
-   of five-word shingles) is a repeat. A passage of n words with k words
-   changed has that similarity if n >= 45 k + 4, so its longest unchanged
-   stretch has 24 words, with words put in or left out 22: both hold an anchor.
-   Up to AROUND words on each side of one anchor are looked at; passages found
-   from several anchors merge.
-4. The least place (document, then word) of a repeat keeps it; in the others
-   its words go. Each removed word has a like word at a lesser place, so the
-   words at the least place always stay.
-
-Repeats inside one document count like others where the two places are
-``width`` words apart and don't overlap. Places of one anchor in step 3 are
-compared in pairs; nothing is collected on the driver or capped.
-
-Defined cases: null and empty texts and texts shorter than a window have no
-windows. Rows with a null id are left out. Rows that repeat an id count as one
-document, so a text and its repetition under one id are no repeat.
+Paragraph MinHash banding with exact verification. Lines and documents play no
+part: paragraphs are cut by what they say, so a passage is cut alike wherever
+it stands.
+
+1. An anchor is the least of RUN consecutive GRAM-word shingles (the MinHash of
+   that stretch); any 24 words have one. Around an anchor stand three
+   paragraphs of PARAGRAPH words, which begin 0, 6 and 12 words before it; each
+   is a band: anchor hash and a digest of the paragraph's words. Any WIDTH words
+   hold one of the paragraphs of an anchor whole, so two texts that share
+   WIDTH words meet in a band, and so do near copies of 50 words and more,
+   since between their edits long enough stretches stay.
+2. Places of a band are linked with its least place (document, word), which is
+   linear in the band. Anchors of one place only end here.
+3. Links of one document with another that lie on one diagonal, or near it,
+   with gaps of GAP words at most are a run: a passage that may be a repeat.
+4. Each run is verified on the words of both texts, AROUND words beyond its
+   ends included: stretches of equal words are carried on to their full length
+   and joined over edits as long as the passage keeps a Jaccard similarity of
+   PERCENT (exact sets of SHINGLE-word shingles); passages have WIDTH words or
+   more.
+5. The lesser place of a verified pair keeps the passage, in the other its
+   words go: the least place of a passage always stays. Passages joined by
+   verified pairs form components, each a cluster of removals.
+
+Hot anchors: a sample of about SAMPLE_DOCS documents tells which hold more than
+HOT_SHARE of all anchors. Their places are dealt over SALTS keys, and the least
+places of these meet in a second round; only the routing depends on the sample.
+Nothing is capped, and only the hot anchors' hashes (1 / HOT_SHARE at most) come
+to the driver.
+
+Defined cases: null and empty texts and texts shorter than WIDTH words have no
+passages. Rows that share an id (null ids too) are one document, each row with
+its own text; between them nothing is removed. Inside one text a passage must
+lie WIDTH words or more after the place that keeps it, without overlap.
 """
 
 from __future__ import annotations
@@ -44,287 +47,351 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import materialise, rows_of, slices, text_of
-from citeloom.llm.hashing import CACHE_WORDS, _WORDS, mixed as _mixed
+from citeloom.llm.common import fresh, materialise, rows_of, slices, text_of
+from citeloom.llm.components import components
+from citeloom.llm.hashing import least, mixed, runs, word_hashes
 
-WIDTH, SHINGLE = 25, 5
-GRAM, RUN = 8, 13
-AROUND, EDIT, PERCENT = 64, 3, 80
+WIDTH, SHINGLE, PERCENT = 25, 5, 80
+GRAM, RUN = 8, 17
+PARAGRAPH, OFFSETS, MARK_BITS = 20, (0, 6, 12), 21
+GAP, EDIT, AROUND = 64, 8, 32
+SALTS, SAMPLE_DOCS, HOT_SHARE, HOT_LEAST = 64, 10_000, 1e-4, 64
 ROWS_AT_ONCE = 256
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-#: Skips (in one text, in the other) tried at an edit, the smallest first.
-SKIPS = sorted(((x, y) for x in range(EDIT + 1) for y in range(EDIT + 1) if x or y), key=lambda s: (max(s), sum(s)))
-PLACE = "doc long, start int, stop int, n int, keeper long, kept boolean"
-
-def _runs(w: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hashes of all runs of n values, by doubling."""
-    count = len(w) - n + 1
-    have, size, base, out, at, left = w, 1, int(_MULT), None, 0, n
-    while True:
-        if left & 1:
-            piece = have[at : at + count]
-            out = piece if out is None else out * np.uint64(base) + piece
-            at += size
-        left >>= 1
-        if not left:
-            return out
-        have, size, base = have[:-size] * np.uint64(base) + have[size:], 2 * size, base * base % (1 << 64)
-
-
-def _least(v: np.ndarray, n: int) -> np.ndarray:
-    """Minimum of every n consecutive values."""
-    low, width = v, 1
-    while 2 * width <= n:
-        low, width = np.minimum(low[:-width], low[width:]), 2 * width
-    count = len(v) - n + 1
-    return np.minimum(low[:count], low[n - width : n - width + count])
-
-
-def word_hashes(text: str) -> np.ndarray:
-    tokens = text.encode().lower().split()
-    if len(_WORDS) > CACHE_WORDS:
-        _WORDS.clear()
-    return np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
-
-
-def windows(text: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, digests) of all windows of a text."""
-    w = word_hashes(text)
-    if len(w) < width:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    digests = _mixed(_runs(w, width)).view(np.int64)
-    return np.arange(len(digests)), digests
-
-
-def anchors(text: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(places, bands) of a text's anchors: the least shingle of each paragraph."""
-    w = word_hashes(text)
-    n = len(w) - GRAM + 1
-    if len(w) < width:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    v = _mixed(_runs(w, GRAM))
-    low = _least(v, RUN)
-    # A shingle is taken if it is the least of some run that it stands in.
-    padded = np.concatenate([np.zeros(RUN - 1, np.uint64), low, np.zeros(RUN - 1, np.uint64)])
-    taken = np.nonzero(~_least(~padded, RUN)[:n] == v)[0]
-    return taken, v[taken].view(np.int64)
-
-
-def _by_text(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], work, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """Record batches of the columns that work gives for each few rows."""
-    gc.disable()
-    for batch in batches:
-        for at, size in slices(batch.num_rows, ROWS_AT_ONCE):
-            part = batch.slice(at, size)
-            got = [work(*row) for row in zip(*[part.column(c).to_pylist() for c in columns], strict=True)]
-            cols = zip(*got, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(c) for c in col]).astype(t.to_pandas_dtype()), t) for col, t in zip(cols, types, strict=True)], names)
-
-
-def anchor_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, pos, band) of all anchors of docs(doc, text)."""
-
-    def one(doc: int, text: str) -> tuple:
-        pos, band = anchors(text, width)
-        return np.full(len(pos), doc), pos, band
-
-    run = lambda batches: _by_text(batches, ("doc", "text"), one, ["doc", "pos", "band"], [pa.int64(), pa.int32(), pa.int64()])
-    return docs.mapInArrow(run, "doc long, pos int, band long")
-
-
-def window_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, start, digest) of the windows that hold an anchor; docs has the anchors' places (at)."""
-
-    def one(doc: int, text: str, at: list[int]) -> tuple:
-        start, digest = windows(text, width)
-        # Windows from pos + GRAM - width to pos hold the anchor at pos.
-        edge, pos = np.zeros(len(start) + 1, np.int64), np.array(at)
-        pos = pos[pos < len(start) + width - GRAM]
-        np.add.at(edge, np.maximum(pos + GRAM - width, 0), 1)
-        np.add.at(edge, np.minimum(pos + 1, len(start)), -1)
-        held = np.cumsum(edge)[:-1] > 0
-        return np.full(np.count_nonzero(held), doc), start[held], digest[held]
-
-    run = lambda batches: _by_text(batches, ("doc", "text", "at"), one, ["doc", "start", "digest"], [pa.int64(), pa.int32(), pa.int64()])
-    return docs.mapInArrow(run, "doc long, start int, digest long")
-
-
-def merged(places: DataFrame) -> DataFrame:
-    """Places (PLACE) of one document and one ``kept`` that meet, as one."""
-    order = W.partitionBy("doc", "kept").orderBy("start", "stop")
-    before = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
-    numbered = places.withColumn("fresh", (before.isNull() | (F.col("start") > before)).cast("int"))
-    numbered = numbered.withColumn("span", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    spans = numbered.groupBy("doc", "kept", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").cast("int").alias("n"), F.min("keeper").alias("keeper"))
-    return spans.select("doc", "start", "stop", "n", "keeper", "kept")
-
+NO_ID = -(2**63)
 
-def several(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """Rows of keys with more than one place (doc, at), with the least place."""
-    group = W.partitionBy(key)
-    rows = rows.select("*", F.min(F.struct("doc", at)).over(group).alias("first"), F.max(F.struct("doc", at)).over(group).alias("last"))
-    return rows.filter("first <> last").drop("last")
-
-
-def exact_places(docs: DataFrame, shared: DataFrame, width: int) -> DataFrame:
-    """Places (PLACE) of exact repeats, merged."""
-    met = docs.join(shared.groupBy("doc").agg(F.collect_set("pos").alias("at")), "doc")
-    found = several(window_rows(met, width), "digest", "start")
-    own = (F.col("doc") == F.col("first.doc")) & (F.col("start") - F.col("first.start") < width)
-    found = found.select("doc", "start", (F.col("start") + width).alias("stop"), F.lit(1).alias("n"), F.col("first.doc").alias("keeper"), own.alias("kept"))
-    return merged(found)
-
-
-def open_anchors(shared: DataFrame, exact: DataFrame) -> DataFrame:
-    """(doc, pos, band, root) of the anchors that near copies are looked for at.
-
-    root: the anchor is not inside a removed span; the first and the last
-    anchor of a removed span are given too.
-    """
-    lists = shared.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("pos", "band"))).alias("at"))
-    gone = exact.filter("not kept").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone"))
 
-    def one(doc: int, at: list[dict], gone: list[dict] | None) -> tuple:
-        pos, band = np.array([a["pos"] for a in at]), np.array([a["band"] for a in at])
-        root, want = np.ones(len(pos), bool), np.ones(len(pos), bool)
-        for g in gone or []:
-            low, high = np.searchsorted(pos, g["start"]), np.searchsorted(pos, g["stop"] - GRAM, "right")
-            root[low:high] = False
-            want[low + 1 : high - 1] = False
-        return np.full(np.count_nonzero(want), doc), pos[want], band[want], root[want]
+# -- candidates --------------------------------------------------------------
 
-    run = lambda batches: _by_text(batches, ("doc", "at", "gone"), one, ["doc", "pos", "band", "root"], [pa.int64(), pa.int32(), pa.int64(), pa.bool_()])
-    return lists.join(gone, "doc", "left").mapInArrow(run, "doc long, pos int, band long, root boolean")
 
+def anchors(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, marks) of a text's anchors; marks pack the digests of the paragraphs, 0 where one doesn't fit."""
+    w = word_hashes(text)
+    if len(w) < WIDTH:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    v = mixed(runs(w, GRAM))
+    # A shingle is an anchor if it is the least of some run that it stands in.
+    edge = np.zeros(RUN - 1, np.uint64)
+    pos = np.nonzero(~least(~np.concatenate([edge, least(v, RUN), edge]), RUN)[: len(v)] == v)[0]
+    if len(pos) * 3 > len(v):  # the same few words again and again: one place of a shingle a run will do
+        pos = _thinned(pos, v[pos])
+    digest = mixed(runs(w, PARAGRAPH))
+    marks = np.zeros(len(pos), np.uint64)
+    for k, offset in enumerate(OFFSETS):
+        start = pos - offset
+        fits = (start >= 0) & (start < len(digest))
+        mark = (digest[np.where(fits, start, 0)] >> np.uint64(65 - MARK_BITS)) + np.uint64(1)
+        marks |= np.where(fits, mark, np.uint64(0)) << np.uint64(MARK_BITS * k)
+    return pos, v[pos].view(np.int64), marks.view(np.int64)
+
+
+def _thinned(pos: np.ndarray, value: np.ndarray) -> np.ndarray:
+    last, kept = {}, []
+    for p, v in zip(pos.tolist(), value.tolist(), strict=True):
+        if p - last.get(v, -RUN) >= RUN:
+            last[v] = p
+            kept.append(p)
+    return np.array(kept, np.int64)
+
+
+def anchor_rows(docs: DataFrame) -> DataFrame:
+    """(doc, pos, band, marks) of all anchors of docs(doc, text)."""
 
-def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(doc, pos, band, root) with the hashes of the words around each anchor, 0 beyond the text."""
-    met = docs.join(wanted.groupBy("doc").agg(F.collect_list(F.struct("pos", "band", "root")).alias("at")), "doc")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        for batch in batches:
+            for at, size in slices(batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, size)
+                got = [anchors(t) for t in part.column("text").to_pylist()]
+                counts = [len(g[0]) for g in got]
+                if sum(counts):
+                    pos, band, marks = (np.concatenate(c) for c in zip(*got, strict=True))
+                    doc = part.column("doc").take(pa.array(np.repeat(np.arange(size), counts)))
+                    yield pa.RecordBatch.from_arrays([doc, pa.array(pos, pa.int32()), pa.array(band), pa.array(marks)], ["doc", "pos", "band", "marks"])
+
+    return docs.mapInArrow(run, "doc long, pos int, band long, marks long")
+
+
+def hot_anchors(docs: DataFrame) -> list[int]:
+    """Hashes of the anchors that hold more than HOT_SHARE of a sample's."""
+    share = max(1, docs.count() // SAMPLE_DOCS)
+    seen = anchor_rows(docs.filter(F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(share)) == 0) if share > 1 else docs)
+    counts = materialise(seen.groupBy("band").count().filter(F.col("count") >= HOT_LEAST), "hot")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return [r["band"] for r in counts.filter(F.col("count") >= max(HOT_LEAST, HOT_SHARE * total)).select("band").collect()]
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """(doc, start, stop, ldoc, diagonal): words of doc that stand in ldoc too, diagonal words before."""
+    salt = F.when(F.col("band").isin(hot), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")) if (hot := hot_anchors(docs)) else F.lit(None).cast("int")
+    rows = anchor_rows(docs).withColumn("salt", F.coalesce(salt, F.lit(-1))).repartition("band", "salt")
+    rows = rows.withColumn("places", F.count("*").over(W.partitionBy("band", "salt"))).filter("places > 1 or salt >= 0")
+    mark = lambda k: F.shiftrightunsigned("marks", MARK_BITS * k).bitwiseAND((1 << MARK_BITS) - 1)
+    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), mark(k).alias("mark"), (F.col("pos") - offset).alias("start")) for k, offset in enumerate(OFFSETS)]))
+    rows = rows.select("band", "salt", "doc", "pos", bands.alias("b")).select("band", "salt", "doc", "pos", "b.*").filter("mark <> 0")
+    rows = rows.withColumn("lead", F.min(F.struct("doc", "start")).over(W.partitionBy("band", "salt", "kind", "mark")))
+    own = (F.col("doc") == F.col("lead.doc")) & (F.col("start") == F.col("lead.start"))
+    # Least places go on only where others of their band stand under other salts.
+    rows = rows.withColumn("own", own).filter("not own or salt >= 0").withColumn("diagonal", F.col("start") - F.col("lead.start"))
+    key = [F.when(F.col("own"), F.col(c)).alias(f"{c}_") for c in ("kind", "mark")]
+    rows = rows.groupBy("band", "salt", "doc", "pos", F.col("lead.doc").alias("ldoc"), "diagonal", "own", *key).agg(F.min("start").alias("start"), (F.max("start") + PARAGRAPH).alias("stop"))
+    rows = materialise(rows, "links")
+    found = rows.filter("not own").select("doc", "start", "stop", "ldoc", "diagonal")
+    if hot:
+        over = F.min(F.struct("doc", "start")).over(W.partitionBy("band", "kind_", "mark_"))
+        roots = rows.filter("own").withColumn("lead", over).filter("doc <> lead.doc or start <> lead.start")
+        found = found.unionByName(roots.select("doc", "start", "stop", F.col("lead.doc").alias("ldoc"), (F.col("start") - F.col("lead.start")).alias("diagonal")))
+    return found.filter(f"doc <> ldoc or diagonal >= {WIDTH}")
+
+
+RUN_SCHEMA = "doc long, ldoc long, start int, stop int, lstart int, lstop int, seeds binary"
+
+
+def candidate_runs(found: DataFrame) -> DataFrame:
+    """Links of two documents near one diagonal as one run; seeds: (start, stop, diagonal) of its stretches, as int32."""
+    columns = ("doc", "ldoc", "start", "stop", "diagonal")
+
+    def cut(rows: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray]]:
+        doc, ldoc, start, stop, diagonal = rows
+        other = np.ones(len(doc), bool)  # where a run begins
+        other[1:] = (np.diff(doc) != 0) | (np.diff(ldoc) != 0) | (start[1:] - stop[:-1] > GAP) | (np.abs(np.diff(diagonal)) > EDIT)
+        if not last:  # the last run may go on
+            done = int(np.nonzero(other)[0][-1])
+            rest, rows = [c[done:] for c in rows], [c[:done] for c in rows]
+            doc, ldoc, start, stop, diagonal = rows
+            other = other[:done]
+        if not len(doc):
+            return None, rest
+        turn = other.copy()  # where a run or its diagonal changes
+        turn[1:] |= np.diff(diagonal) != 0
+        at = np.nonzero(turn)[0]
+        seeds = np.column_stack([start[at], np.maximum.reduceat(stop, at), diagonal[at]]).astype(np.int32)
+        begin = np.nonzero(other[at])[0]
+        end = np.append(begin[1:], len(at))
+        low, high = seeds[begin], seeds[end - 1]
+        raw = [seeds[i:j].tobytes() for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+        lstart = np.minimum.reduceat(seeds[:, 0] - seeds[:, 2], begin)
+        lstop = np.maximum.reduceat(seeds[:, 1] - seeds[:, 2], begin)
+        out = [pa.array(doc[at[begin]]), pa.array(ldoc[at[begin]]), pa.array(low[:, 0]), pa.array(np.maximum.reduceat(seeds[:, 1], begin)), pa.array(lstart), pa.array(lstop), pa.array(raw, pa.binary())]
+        return pa.RecordBatch.from_arrays(out, ["doc", "ldoc", "start", "stop", "lstart", "lstop", "seeds"]), [] if last else rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text, at in rows_of([batch], ("doc", "text", "at")):
-                none = np.zeros(AROUND, np.uint32)
-                w = np.concatenate([none, (word_hashes(text) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), none])
-                for a in at:
-                    if a["pos"] + GRAM + 2 * AROUND <= len(w):
-                        for column, x in zip(out, (doc, a["pos"], a["band"], a["root"], w[a["pos"] : a["pos"] + GRAM + 2 * AROUND].tobytes()), strict=True):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["doc", "pos", "band", "root", "words"])
-
-    return met.mapInArrow(run, "doc long, pos int, band long, root boolean, words binary")
-
-
-def _ends(a: list[int], b: list[int], at: int, by: int) -> list[tuple[int, int]]:
-    """Where stretches of equal words from ``at`` end in the two, going by 1 or -1 over edits."""
-    size, i, j, out = len(a), at, at, []
-    inside = lambda k: 0 <= k < size
-    while True:
-        while inside(i) and inside(j) and a[i] == b[j] != 0:
-            i, j = i + by, j + by
-        out.append((i, j))
-        for x, y in SKIPS:
-            u, v = i + by * x, j + by * y
-            if all(inside(u + by * k) and inside(v + by * k) and a[u + by * k] == b[v + by * k] != 0 for k in range(SHINGLE)):
-                i, j = u, v
-                break
+            now = [batch.column(c).to_numpy() for c in columns]
+            held = [np.concatenate(c) for c in zip(held, now, strict=True)] if held else now
+            if len(held[0]) > 4096:
+                out, held = cut(held, False)
+                if out is not None:
+                    yield out
+        if held and len(held[0]):
+            yield cut(held, True)[0]
+
+    return found.select(*columns).repartition("doc").sortWithinPartitions("doc", "ldoc", "start", "diagonal").mapInArrow(run, RUN_SCHEMA)
+
+
+# -- verification ------------------------------------------------------------
+
+
+def short(text: str) -> np.ndarray:
+    """32-bit hashes of a text's words."""
+    return (word_hashes(text) >> np.uint64(32)).astype(np.uint32)
+
+
+def stretches(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, words) of stretches of SHINGLE equal words or more, along the seeds' diagonals."""
+    out, end_a, end_b = [], 0, 0
+    for k, (_, _, shift) in enumerate(seeds):
+        low = max(end_a, end_b + shift, shift)
+        high = min(len(a), len(b) + shift)
+        if k + 1 < len(seeds):
+            high = min(high, max(seeds[k][1], seeds[k + 1][0]))
+        if low >= high:
+            continue
+        same = a[low:high] == b[low - shift : high - shift]
+        if same.all():
+            found = [(low, high)] if high - low >= SHINGLE else []
         else:
-            return out
-
-
-def _similar(a: list[int], b: list[int]) -> bool:
-    s, t = ({tuple(x[k : k + SHINGLE]) for k in range(len(x) - SHINGLE + 1)} for x in (a, b))
-    return 100 * len(s & t) >= PERCENT * len(s | t)
-
-
-def aligned(a: list[int], b: list[int], width: int) -> tuple[int, int, int, int] | None:
-    """The longest similar passage around the anchor: its ends in a and in b."""
-    lefts, rights = _ends(a, b, AROUND, -1), _ends(a, b, AROUND, 1)
-    spans = [(i + 1, k, j + 1, m) for i, j in lefts for k, m in rights]
-    for i, k, j, m in sorted(spans, key=lambda s: s[0] - s[1] + s[2] - s[3]):
-        if min(k - i, m - j) >= width and _similar(a[i:k], b[j:m]):
-            return i, k, j, m
-    return None
-
-
-def near_pairs(held: list[tuple], width: int) -> list[tuple]:
-    """Places (PLACE) of the similar passages around one anchor; held: (doc, pos, root, words)."""
-    held = sorted(set(held))
-    table = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(len(held), -1)
-    root = np.array([h[2] for h in held])
-    out, lists = set(), {}
-    words = lambda k: lists[k] if k in lists else lists.setdefault(k, table[k].tolist())
-    for q in range(1, len(held)):
-        # Pairs of two places that aren't roots are left out: each has its keeper among the roots.
-        other = np.arange(q) if root[q] else np.nonzero(root[:q])[0]
-        for part in np.array_split(other, len(other) // 4096 + 1):
-            same = (table[part] == table[q]) & (table[q] != 0)
-            left = np.cumprod(same[:, AROUND - 1 :: -1], axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
-            right = np.cumprod(same[:, AROUND:], axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
-            for p in part[left + right >= GRAM + RUN - 1].tolist():
-                span = aligned(words(p), words(q), width)
-                if span is None:
-                    continue
-                (d, x), (e, y) = held[p][:2], held[q][:2]
-                i, k, j, m = span[0] + x - AROUND, span[1] + x - AROUND, span[2] + y - AROUND, span[3] + y - AROUND
-                if d != e or (k <= j and y - x >= width):
-                    out |= {(d, i, k, 1, d, True), (e, j, m, 1, d, False)}
-    return sorted(out)
+            edge = np.nonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))[0].reshape(-1, 2)
+            found = (edge[edge[:, 1] - edge[:, 0] >= SHINGLE] + low).tolist()
+        out += [(i, i - shift, j - i) for i, j in found]
+        if found:
+            end_a, end_b = found[-1][1], found[-1][1] - shift
+    return out
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if min(len(a), len(b)) < SHINGLE:
+        return False
+    s, t = (np.unique(mixed(runs(x.astype(np.uint64), SHINGLE))) for x in (a, b))
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= PERCENT * (len(s) + len(t) - both)
+
+
+def similar_passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int, int]], width: int) -> list[tuple[int, int, int, int]]:
+    """(start, stop in a, start, stop in b) of the passages along the seeds that are similar, the longest first tried."""
+    parts = stretches(a, b, seeds)
+    out, todo = [], [(0, len(parts))]
+    while todo:
+        low, high = todo.pop()
+        if low == high:
+            continue
+        (i, j, _), (k, m, n) = parts[low], parts[high - 1]
+        if min(k + n - i, m + n - j) < width:
+            continue
+        if high - low == 1 or similar(a[i : k + n], b[j : m + n]):
+            out.append((i, k + n, j, m + n))
+            continue
+        gaps = [max(y[0] - x[0] - x[2], y[1] - x[1] - x[2]) for x, y in zip(parts[low : high - 1], parts[low + 1 : high], strict=True)]
+        cut = low + 1 + max(range(len(gaps)), key=gaps.__getitem__)
+        todo += [(low, cut), (cut, high)]
+    return out
+
+
+PAIR_SCHEMA = "doc long, tkey long, start int, stop int, ldoc long, ltkey long, lstart int, lstop int"
+
+
+def verified_pairs(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """Passages (PAIR_SCHEMA) of doc that stand in ldoc too, of runs found (RUN_SCHEMA); tkey tells texts of one id apart."""
+    texts = docs.select("doc", "text", F.xxhash64("text").alias("tkey"))
+    # A document's runs are at most a few for each of its anchors.
+    listed = found.groupBy("doc").agg(F.collect_list(F.struct("ldoc", "start", "stop", "lstart", "lstop", "seeds")).alias("runs"))
+    own_schema = RUN_SCHEMA + ", tkey long, words binary"
+    names = [f.split()[0] for f in own_schema.split(", ")]
+    types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.int64(), pa.binary()]
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        out: list[tuple] = []
+        make = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        for doc, text, tkey, mine in rows_of(batches, ("doc", "text", "tkey", "runs"), 64):
+            w = short(text)
+            for r in mine:
+                part = w[max(0, r["start"] - AROUND) : r["stop"] + AROUND]
+                out.append((doc, r["ldoc"], r["start"], r["stop"], r["lstart"], r["lstop"], r["seeds"], tkey, part.tobytes()))
+            if len(out) >= 2000:
+                yield make()
+                out = []
+        if out:
+            yield make()
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        known, theirs = None, None
+        columns = (*names, "ltkey", "ltext")
+        for batch in batches:
+            out = []
+            for doc, ldoc, start, stop, lstart, lstop, seeds, tkey, words, ltkey, ltext in rows_of([batch], columns, 64):
+                if doc == ldoc and tkey != ltkey:
+                    continue
+                if known != (ldoc, ltkey):
+                    known, theirs = (ldoc, ltkey), short(ltext)
+                a, low, llow = np.frombuffer(words, np.uint32), max(0, start - AROUND), max(0, lstart - AROUND)
+                b = theirs[llow : lstop + AROUND]
+                own_seeds = [(s - low, e - low, d + llow - low) for s, e, d in np.frombuffer(seeds, np.int32).reshape(-1, 3).tolist()]
+                for i, k, j, m in similar_passages(a, b, own_seeds, width):
+                    i, k, j, m = i + low, k + low, j + llow, m + llow
+                    if doc == ldoc and m > i:  # it runs into itself: as much as doesn't
+                        if k - i != m - j or i - j < width:
+                            continue
+                        k, m = i + (i - j), i
+                    out.append((doc, tkey, i, k, ldoc, ltkey, j, m))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), pair_types, strict=True)], pair_names)
+
+    pair_names = [f.split()[0] for f in PAIR_SCHEMA.split(", ")]
+    pair_types = [pa.int64() if f.endswith("long") else pa.int32() for f in PAIR_SCHEMA.split(", ")]
+    # Both joins move the texts by document, so one exchange serves both; the
+    # plan is the same at every size.
+    mine = texts.join(listed.hint("merge"), "doc").mapInArrow(own, own_schema)
+    theirs = texts.select(F.col("doc").alias("ldoc"), F.col("text").alias("ltext"), F.col("tkey").alias("ltkey"))
+    return mine.hint("merge").join(theirs, "ldoc").mapInArrow(check, PAIR_SCHEMA).distinct()
+
+
+# -- removals ----------------------------------------------------------------
+
+
+def joined(places: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """places with the first word (name) of the stretch of overlapping places that each lies in."""
+    order = W.partitionBy(*keys).orderBy("start", "stop")
+    before = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
+    first = F.when(before.isNull() | (F.col("start") >= before), F.col("start"))
+    return places.withColumn("first", first).withColumn(name, F.max("first").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("first")
 
-def near_places(docs: DataFrame, shared: DataFrame, exact: DataFrame, width: int) -> DataFrame:
-    """Places (PLACE) of near copies."""
-    group = W.partitionBy("band")
-    wanted = open_anchors(shared, exact).select("*", F.count("*").over(group).alias("places"), F.bool_or("root").over(group).alias("rooted"))
-    wanted = materialise(wanted.filter("places > 1 and rooted").drop("places", "rooted"), "openanchors")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, held, out = None, [], []
-        names = ["doc", "start", "stop", "n", "keeper", "kept"]
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
-        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-        for row in rows_of(batches, ("band", "doc", "pos", "root", "words")):
-            if row[0] != band:
-                out += near_pairs(held, width) if len(held) > 1 else []
-                band, held = row[0], []
-                if len(out) >= 10_000:
-                    yield batch_of(out)
-                    out = []
-            held.append(row[1:])
-        out += near_pairs(held, width) if len(held) > 1 else []
-        if out:
-            yield batch_of(out)
+def clusters(pairs: DataFrame) -> DataFrame:
+    """(doc, tkey, start, stop, kept, cluster) of all places of the pairs.
 
-    return contexts(docs, wanted).repartition("band").sortWithinPartitions("band").mapInArrow(run, PLACE)
+    cluster is the least (doc, tkey, node) of the places that pairs and overlaps join.
+    """
+    text = ["doc", "tkey"]
+    taken = pairs.select(*text, "start", "stop").distinct().withColumn("kept", F.lit(False))
+    held = pairs.select(F.col("ldoc").alias("doc"), F.col("ltkey").alias("tkey"), F.col("lstart").alias("start"), F.col("lstop").alias("stop")).distinct()
+    held = held.withColumn("kept", F.lit(True))
+    places = materialise(joined(taken.unionByName(held), text, "node"), "places")
+    ends = places.select(*text, "start", "stop", "kept", F.struct(*text, "node").alias("at"))
+    one = ends.filter("not kept").select(*text, "start", "stop", F.col("at").alias("a"))
+    two = ends.filter("kept").select(F.col("doc").alias("ldoc"), F.col("tkey").alias("ltkey"), F.col("start").alias("lstart"), F.col("stop").alias("lstop"), F.col("at").alias("b"))
+    edges = pairs.join(one, [*text, "start", "stop"]).join(two, ["ldoc", "ltkey", "lstart", "lstop"]).select("a", "b").distinct()
+    named = components(edges).select("node.doc", "node.tkey", "node.node", F.col("component").alias("cluster"))
+    return places.join(named, [*text, "node"], "left").withColumn("cluster", F.coalesce("cluster", F.struct(*text, "node")))
+
+
+def passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc, tkey, first_word, n_words, n_pairs, kept, cluster) of docs(doc, text)."""
+    found = materialise(candidate_runs(links(docs)), "runs")
+    pairs = materialise(verified_pairs(docs, found, width), "pairs")
+    text = ["doc", "tkey"]
+    places = joined(clusters(pairs), [*text, "kept"], "span")
+    spans = places.groupBy(*text, "kept", "span").agg(F.max("stop").alias("stop"), F.count("*").alias("n_pairs"), F.min("cluster").alias("cluster"))
+    spans = materialise(spans, "spans")
+    # A place that keeps a passage for others may itself lose it to a lesser one:
+    # it counts where a passage's length stays.
+    gone = spans.filter("not kept").select(*text, F.col("span").alias("s"), F.col("stop").alias("e"))
+    overlap = F.greatest(F.lit(0), F.least("e", "stop") - F.greatest("s", "span"))
+    held = spans.filter("kept").join(gone, text, "left").groupBy(*spans.columns).agg(F.coalesce(F.sum(overlap), F.lit(0)).alias("lost"))
+    held = held.filter(F.col("stop") - F.col("span") - F.col("lost") >= width)
+    spans = spans.filter("not kept").unionByName(held.drop("lost"))
+    return spans.select(*text, F.col("span").cast("long").alias("first_word"), (F.col("stop") - F.col("span")).cast("long").alias("n_words"), "n_pairs", "kept", "cluster")
+
+
+def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), text_of(docs[text_col]).alias("text"))
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of words that stand elsewhere too, one row for each span.
 
-    Returns (id_col, first_word, n_words, n_windows, keep_id, kept): words are
+    Returns (id_col, first_word, n_words, keep_id, kept, n_pairs): words are
     runs of non-blank characters, numbered from 0. Overlapping repeats merge
     into one span if they agree on ``kept``: True where this place keeps the
-    passage, else keep_id is the least document that does (this one, if the
-    passage stands in it before).
+    passage. keep_id is then this document, else the least document of the
+    cluster of removals (this one, if the passage stands in it before).
+    n_pairs says how many repeats the span was merged of. Documents without
+    repeats have no row.
     """
-    if width < GRAM + RUN - 1:
-        raise ValueError(f"width must be {GRAM + RUN - 1} words or more")
-    docs = docs.select(docs[id_col].cast("long").alias("doc"), text_of(docs[text_col]).alias("text")).filter("doc is not null")
-    shared = materialise(several(anchor_rows(docs, width), "band", "pos").drop("first"), "shared")
-    exact = materialise(exact_places(docs, shared, width), "exact")
-    spans = merged(exact.unionByName(near_places(docs, shared, exact, width)))
-    return spans.select(F.col("doc").alias(id_col), F.col("start").cast("long").alias("first_word"), (F.col("stop") - F.col("start")).cast("long").alias("n_words"), F.col("n").cast("long").alias("n_windows"), F.col("keeper").alias("keep_id"), "kept")
+    if width < WIDTH:
+        raise ValueError(f"width must be {WIDTH} words or more")
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    out = passages(_known(docs, id_col, text_col), width)
+    return out.select(real("doc").alias(id_col), "first_word", "n_words", F.when(F.col("kept"), real("doc")).otherwise(real("cluster.doc")).alias("keep_id"), "kept", "n_pairs")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, texts without the passages that another document keeps.
+    """All columns of docs, texts without the passages that a lesser place keeps.
 
-    A changed text has its words joined by single blanks where words went;
-    rows without repeats, or with a null id, are as they were.
+    A changed text has its words joined by single blanks; rows without repeats
+    are as they were.
     """
-    gone = repeats(docs, width, id_col, text_col).filter("not kept").groupBy(F.col(id_col).alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("_spans"))
-    met = docs.join(gone, docs[id_col] == gone["_doc"], "left").drop("_doc")
+    doc, key, spans = (fresh(docs, n) for n in ("doc", "tkey", "spans"))
+    gone = passages(_known(docs, id_col, text_col), width).filter("not kept").groupBy(F.col("doc").alias(doc), F.col("tkey").alias(key))
+    gone = gone.agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias(spans))
+    rows = docs.withColumn(doc, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))).withColumn(key, F.xxhash64(text_of(docs[text_col])))
+    met = rows.join(gone, [doc, key], "left")
     tokens = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda t: t != "")
-    kept = F.filter(F.transform(tokens, lambda t, i: F.when(~F.exists(F.col("_spans"), lambda s: (i >= s["first_word"]) & (i < s["first_word"] + s["n_words"])), t)), lambda t: t.isNotNull())
-    return met.withColumn(text_col, F.when(F.col("_spans").isNotNull(), F.array_join(kept, " ")).otherwise(F.col(text_col))).drop("_spans")
+    # The spans lie apart and in order, so what stays are the slices between them.
+    start = lambda i: F.when(i > 0, F.try_element_at(F.col(spans), i)["first_word"] + F.try_element_at(F.col(spans), i)["n_words"]).otherwise(F.lit(0))
+    between = lambda s, i: F.slice(tokens, (start(i) + 1).cast("int"), (s["first_word"] - start(i)).cast("int"))
+    last = start(F.size(spans))
+    tail = F.slice(tokens, (last + 1).cast("int"), F.greatest(F.lit(0), F.size(tokens) - last.cast("int")))
+    kept = F.concat(F.flatten(F.transform(F.col(spans), between)), tail)
+    return met.withColumn(text_col, F.when(F.col(spans).isNotNull(), F.array_join(kept, " ")).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])

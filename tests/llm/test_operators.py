@@ -106,25 +106,71 @@ def test_repeated_passages(spark, odd):
     rows.append((50, say(80) + " " + " ".join(words) + " " + say(80)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = passages.repeats(docs).collect()
-    assert set(range(12)) <= {r.doc_id for r in got} <= set(range(12)) | {50}
+    assert {r.doc_id for r in got} == set(range(12)) | {50}
     assert {r.doc_id for r in got if r.kept} == {0} and all(r.keep_id == 0 for r in got)
     text = dict(rows)
     for r in got:
         if r.doc_id != 50:
+            assert r.n_words >= 60
             assert " ".join(text[r.doc_id].split()[r.first_word : r.first_word + r.n_words]) in passage
     clean = {r.doc_id: r.text for r in passages.remove_repeats(docs).collect()}
-    assert clean[0] == text[0] and len(clean[5].split()) <= len(text[5].split()) - 25 and clean[30] == text[30]
+    assert clean[0] == text[0] and len(clean[5].split()) == len(text[5].split()) - 60 and clean[30] == text[30]
     assert {r.doc_id for r in passages.repeats(odd).collect()} <= {5, 6}
     assert passages.repeats(odd.limit(0)).count() == 0
 
 
-def test_windows_meet():
-    for _ in range(60):
-        shared = [random.choice(WORDS) for _ in range(2 * passages.WIDTH - 1)]
+def test_texts_that_share_a_passage_meet_in_a_band():
+    def bands(text):
+        pos, band, marks = passages.anchors(text)
+        low = (1 << passages.MARK_BITS) - 1
+        return {(b, k, m >> passages.MARK_BITS * k & low) for b, m in zip(band.tolist(), marks.tolist()) for k in range(3) if m >> passages.MARK_BITS * k & low}
+
+    for _ in range(300):
+        shared = [random.choice(WORDS) for _ in range(passages.WIDTH)]
         a, b = ([random.choice(WORDS) for _ in range(random.randint(0, 200))] for _ in range(2))
         i, j = random.randint(0, len(a)), random.randint(0, len(b))
-        one, two = passages.windows(" ".join(a[:i] + shared + a[i:])), passages.windows(" ".join(b[:j] + shared + b[j:]))
-        assert set(one[1].tolist()) & set(two[1].tolist())
+        assert bands(" ".join(a[:i] + shared + a[i:])) & bands(" ".join(b[:j] + shared + b[j:]))
+    assert len(passages.anchors("spam " * 5000)[0]) < 400
+
+
+def test_near_passages_against_brute_force(spark):
+    rng, filler = random.Random(9), iter(range(10**9))
+    fresh = lambda n: [f"z{next(filler)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(600):
+        size = (rng.randint(50, 60), rng.randint(100, 110), rng.randint(200, 220))[k % 3]
+        one = fresh(size)
+        two = list(one)
+        for at in rng.sample(range(size), (1, 2, 4)[k % 3]):
+            two[at] = fresh(1)[0]
+        rows += [(2 * k, " ".join(fresh(rng.randint(0, 90)) + one + fresh(rng.randint(0, 90)))), (2 * k + 1, " ".join(fresh(rng.randint(0, 90)) + two + fresh(rng.randint(0, 90))))]
+        grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        a, b = grams(one), grams(two)
+        if len(a & b) >= 0.8 * len(a | b):
+            want[2 * k + 1] = (k % 3, size)
+    got = {}
+    for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).filter("not kept").collect():
+        assert r.doc_id % 2 and r.keep_id == r.doc_id - 1
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_words
+    for kind in range(3):
+        of = {d: n for d, (k, n) in want.items() if k == kind}
+        assert sum(got.get(d, 0) >= 0.9 * n for d, n in of.items()) >= 0.9 * len(of) > 20
+
+
+def test_hot_passages_and_odd_columns(spark, monkeypatch):
+    monkeypatch.setattr(passages, "HOT_LEAST", 2)
+    passage = say(60)
+    rows = [(i, f"{say(random.randint(0, 40))} {passage} {say(random.randint(0, 40))}", i, "x", 1) for i in range(150)] + [(None, f"{passage} tail", 0, "x", 1), (None, say(200), 0, "x", 1), (151, None, 0, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc int, spans string, tkey int")
+    assert passages.hot_anchors(passages._known(docs, "doc_id", "text"))
+    got = passages.repeats(docs).collect()
+    least = min(range(150))
+    # A null id stands before all others.
+    assert {r.doc_id for r in got if not r.kept} == set(range(150)) and {r.doc_id for r in got if r.kept} == {None}
+    assert {r.keep_id for r in got} == {None} and len({r.doc_id for r in got if r.n_words >= 60}) == 151 and least == 0
+    clean = passages.remove_repeats(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    assert clean.filter(F.col("text").contains(" ".join(passage.split()[10:20]))).count() == 1
 
 
 def brute_syncmers(text, k, s):
