@@ -347,7 +347,7 @@ def passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # A place that keeps a passage for others may itself lose it to a lesser one:
     # it counts where a passage's length stays.
     gone = spans.filter("not kept").select(*text, F.col("span").alias("s"), F.col("stop").alias("e"))
-    overlap = F.greatest(F.lit(0), F.least("e", "stop") - F.greatest("s", "span"))
+    overlap = F.when(F.col("s").isNotNull(), F.greatest(F.lit(0), F.least("e", "stop") - F.greatest("s", "span")))
     held = spans.filter("kept").join(gone, text, "left").groupBy(*spans.columns).agg(F.coalesce(F.sum(overlap), F.lit(0)).alias("lost"))
     held = held.filter(F.col("stop") - F.col("span") - F.col("lost") >= width)
     spans = spans.filter("not kept").unionByName(held.drop("lost"))
