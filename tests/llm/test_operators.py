@@ -331,6 +331,35 @@ def test_pii(spark, odd):
     assert pii.report(odd).count() == odd.count() and pii.find(odd).columns[:6] == odd.columns and pii.report(odd.limit(0)).count() == 0
 
 
+def test_personal_data_of_very_long_texts(spark):
+    import time
+
+    numbers = ", ".join(str(random.randint(10, 10**9)) for _ in range(150_000))
+    hosts = " ".join(f"10.{random.randint(0, 255)}.{random.randint(0, 300)}.7" for _ in range(20_000)) + " é😀 end a@b.c"
+    docs = spark.createDataFrame([(1, numbers), (2, hosts)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    assert time.time() - began < 120
+    for d, text in ((1, numbers), (2, hosts)):
+        assert got[d].base_sha256 == hashlib.sha256(brute_spans(text).encode()).hexdigest()
+    clean = pii.find(docs.filter("doc_id = 2")).select(pii.sanitise(common.text_of("text"), F.col("spans"))).first()[0]
+    assert clean == re.sub(r"\S+@\S+", "[EMAIL]", re.sub(r"[0-9]+(?:\.[0-9]+){3}", lambda m: "[IP]" if int(m[0].split(".")[2]) < 256 else m[0], hosts))
+
+
+def test_personal_data_in_odd_columns(spark):
+    rows = [(i, "mail joe@lab.org now", 1, "x", "y", 2) for i in range(3)] + [(None, None, 1, "x", "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key int, base string, spans string, terms int")
+    got = pii.find(docs)
+    assert got.columns == [*docs.columns, "base_1", "spans_1"] and got.filter("size(spans_1) = 1").count() == 3
+
+
+def test_running_totals(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        values = [random.randint(0, 9) for _ in range(n)]
+        row = spark.createDataFrame([(values,)], "v array<int>").select(pii.running(F.col("v"), lambda a, b: a + b), pii.running(F.col("v"), lambda a, b: F.greatest(a, b))).first()
+        assert list(row[0]) == np.cumsum(values).tolist() and list(row[1]) == (np.maximum.accumulate(values).tolist() if n else [])
+
+
 def test_revealing_terms(spark):
     rows = [(i, f"{random.choice(WORDS)} {say(3)} zebrafish {random.choice(WORDS)} mail joe@lab.org {random.choice(WORDS)}{i} today") for i in range(12)]
     rows += [(100 + i, f"mail and today {say(30)}") for i in range(4000)]
