@@ -17,10 +17,16 @@ rebuilt from the states in use when full.
 Running. A batch of texts is laid end to end and cut into chunks of equal
 size. All chunks advance together, one byte a step. The map of a chunk, from
 the state it is entered with to the state it is left with and the tokens
-counted, is constant from its first pre-token on; a prefix scan composes the
-maps, which gives each chunk the state it is entered with, and then the bytes
-before that first pre-token are run from there. Chunks inside one very long
-pre-token have no constant part and are run one after the other.
+counted, is constant from its first pre-token on. A chunk inside one long
+pre-token has a map of its own: it is run from a guessed state and from the
+states that the chunk before may be left with, until no new ones come up (BPE
+forgets quickly, so that is two rounds; chunks of like bytes share their map).
+A parallel prefix scan then composes the maps by doubling and tells the state
+that each chunk is really entered with, and the bytes before a chunk's first
+pre-token are run from there. Texts that never settle go on chunk by chunk.
+
+A text longer than a batch runs in slices that hand on their state, so memory
+doesn't grow with the text.
 
 Pre-token starts follow from the classes of neighbouring characters, computed
 for the whole batch at once.
@@ -43,8 +49,12 @@ from citeloom.llm.common import text_of
 from citeloom.llm.hf import byte_level_spec
 
 CHUNK = 256
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 MOST_STATES = 1 << 17
+#: Code points that a pre-token's start can depend on, on either side.
+NEAR = 4
+#: Rounds in which chunks inside one pre-token find their states.
+ROUNDS = 24
 _LETTER, _NUMBER, _BLANK, _OTHER = 0, 1, 2, 3
 
 
@@ -85,13 +95,14 @@ class Transducer:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.classes = _classes()
+        self.most = MOST_STATES
         self._empty()
 
     # -- compiling -----------------------------------------------------------
 
     def _empty(self) -> None:
         # A cell holds (next state + 1) << 8 | (weight + 128); 0 is not built yet.
-        self.table = np.zeros((MOST_STATES, 256), np.uint32)
+        self.table = np.zeros((self.most, 256), np.uint32)
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.start = self._state(((0, None, 0),), b"")
@@ -101,6 +112,8 @@ class Transducer:
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
+            if len(self.states) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         return self.number[key]
 
     def _encode(self, text: bytes) -> list[int]:
@@ -165,16 +178,17 @@ class Transducer:
         return (cell >> 8).astype(np.int64) - 1, (cell & 255).astype(np.int64) - 128
 
     def _room(self, *held: np.ndarray) -> None:
-        """Empty a nearly full table, keeping the states in use (in place)."""
-        if len(self.states) < MOST_STATES - MOST_STATES // 4:
+        """Empty a nearly full table, keeping the states in use (in place); a larger one if these fill it."""
+        if len(self.states) < self.most - self.most // 4:
             return
-        kept = [np.unique(h[h >= 0]).tolist() for h in held]
+        used = np.unique(np.concatenate([h[h >= 0].ravel() for h in held]))
         old = self.states
+        self.most = max(self.most, 4 * len(used))
         self._empty()
-        for h, states in zip(held, kept, strict=True):
-            new = np.zeros(len(old), np.int64)
-            for s in states:
-                new[s] = self._state(old[s][1], old[s][0])
+        new = np.zeros(len(old), np.int64)
+        for s in used.tolist():
+            new[s] = self._state(old[s][1], old[s][0])
+        for h in held:
             h[h >= 0] = new[h[h >= 0]]
 
     # -- running -------------------------------------------------------------
@@ -223,28 +237,60 @@ class Transducer:
                 pieces = [text] if text else []
             owner += [i] * len(pieces)
             parts += pieces
-        if parts:
-            np.add.at(totals, np.array(owner), self._count(parts))
+        at = 0
+        while at < len(parts):
+            end, held = at + 1, len(parts[at])
+            while end < len(parts) and held + len(parts[end]) <= BATCH_BYTES // 2:
+                held += len(parts[end])
+                end += 1
+            if end == at + 1 and held > BATCH_BYTES // 2:
+                totals[owner[at]] += self._count_long(parts[at])
+            else:
+                np.add.at(totals, np.array(owner[at:end]), self._count(parts[at:end]))
+            at = end
         return totals
 
+    def _marks(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each code point's bytes begin, and the bytes that begin a pre-token."""
+        width = (1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)).astype(np.int64)
+        offset = np.cumsum(width) - width
+        mark = np.zeros(int(width.sum()), bool)
+        mark[offset[self.starts(codes, first)]] = True
+        return offset, mark
+
     def _count(self, parts: list[str]) -> np.ndarray:
-        codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4").astype(np.int64)
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
         lengths = np.array([len(p) for p in parts])
         begin = np.cumsum(lengths) - lengths
         first = np.zeros(len(codes), bool)
         first[begin] = True
-        width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-        offset = np.cumsum(width) - width
+        offset, mark = self._marks(codes, first)
         data = np.frombuffer("".join(parts).encode(), np.uint8)
-        mark = np.zeros(len(data), bool)
-        mark[offset[self.starts(codes, first)]] = True
-        weight = self.run(data, mark)
-        sums = np.concatenate([[0], np.cumsum(weight)])
+        weight, _ = self.run(data, mark, self.start)
+        sums = np.concatenate([[0], np.cumsum(weight, dtype=np.int64)])
         ends = np.concatenate([offset[begin[1:]], [len(data)]])
         return sums[ends] - sums[offset[begin]]
 
-    def run(self, data: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        """The weight of each byte's transition; mark says where pre-tokens start."""
+    def _count_long(self, text: str) -> int:
+        """Slice by slice, each with a few code points more to tell pre-token starts by."""
+        total, state, size = 0, self.start, BATCH_BYTES // 4
+        for at in range(0, len(text), size):
+            low, high = max(0, at - NEAR), min(len(text), at + size)
+            codes = np.frombuffer(text[low : high + NEAR].encode("utf-32-le"), "<u4")
+            first = np.zeros(len(codes), bool)
+            first[0] = low == 0
+            offset, mark = self._marks(codes, first)
+            data = np.frombuffer(text[at:high].encode(), np.uint8)
+            begin = int(offset[at - low])
+            weight, state = self.run(data, mark[begin : begin + len(data)], state)
+            total += int(weight.sum(dtype=np.int64))
+        return total
+
+    def run(self, data: np.ndarray, mark: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
+        """Weights by byte and the state at the end; mark says where pre-tokens start.
+
+        Weights up to a chunk's first start are summed at the chunk's first byte.
+        """
         n = len(data)
         chunks = -(-n // CHUNK)
         padded = chunks * CHUNK
@@ -252,32 +298,93 @@ class Transducer:
         sym[:n] = data
         cut = np.zeros(padded, bool)
         cut[:n] = mark
-        sym, cut = np.ascontiguousarray(sym.reshape(chunks, CHUNK).T), np.ascontiguousarray(cut.reshape(chunks, CHUNK).T)
-        weight = np.zeros((CHUNK, chunks), np.int64)
-        head = np.where(cut.any(0), cut.argmax(0), CHUNK)
-        state = np.full(chunks, -1, np.int64)
+        rows = sym.reshape(chunks, CHUNK)
+        sym, cut = np.ascontiguousarray(rows.T), np.ascontiguousarray(cut.reshape(chunks, CHUNK).T)
+        size = np.full(chunks, CHUNK)
+        size[-1] = n - (chunks - 1) * CHUNK
+        weight = np.zeros((CHUNK, chunks), np.int32)
+        head = np.where(cut.any(0), cut.argmax(0), size)
+        state, given = np.full(chunks, -1, np.int64), np.array([entry])
         for t in range(CHUNK):
-            self._room(state)
+            self._room(state, given)
             state[cut[t]] = self.start
-            on = np.nonzero(state >= 0)[0]
+            on = np.nonzero((state >= 0) & (t < size))[0]
             if len(on):
                 state[on], weight[t, on] = self._advance(state[on], sym[t, on])
-        # Prefix scan: the nearest chunk before with a constant map gives the entry.
-        while True:
-            open_ = np.nonzero(head > 0)[0]
-            open_ = open_[open_ > 0]
-            ready = open_[state[open_ - 1] >= 0]
-            if not len(ready):
+        open_ = np.nonzero(state < 0)[0]
+        if len(open_):
+            state[open_], weight[0, open_] = self._through(rows, sym, size, open_, state, given)
+        # What stands before a chunk's first start, from the state it is entered with.
+        lanes = np.nonzero((head > 0) & cut.any(0))[0]
+        if len(lanes):
+            _, total = self._lanes(sym, lanes, np.where(lanes > 0, state[lanes - 1], given[0]), head[lanes], state, given)
+            weight[0, lanes] = total
+        return weight.T.reshape(-1)[:n], int(state[-1])
+
+    def _lanes(self, sym: np.ndarray, chunk: np.ndarray, entry: np.ndarray, stop: np.ndarray, *held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States and total weights after the first ``stop`` bytes of chunks."""
+        state, total = entry.astype(np.int64), np.zeros(len(entry), np.int64)
+        for t in range(int(stop.max())):
+            self._room(state, *held)
+            on = np.nonzero(stop > t)[0]
+            state[on], w = self._advance(state[on], sym[t, chunk[on]])
+            total[on] += w
+        return state, total
+
+    def _through(self, rows: np.ndarray, sym: np.ndarray, size: np.ndarray, open_: np.ndarray, state: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and weights of the chunks that lie inside one pre-token."""
+        m = len(open_)
+        lead = np.concatenate([[True], np.diff(open_) > 1])  # the chunk before has a known state
+        _, like = np.unique(np.column_stack([rows[open_], size[open_] == CHUNK]), axis=0, return_inverse=True)
+        like = like.reshape(-1)
+        before = lambda: np.where(open_ > 0, state[open_ - 1], given[0])
+        enter = np.where(lead, before(), self.start)[:, None]
+        leave, total = np.full((m, 1), -1, np.int64), np.zeros((m, 1), np.int64)
+        for _ in range(ROUNDS):
+            # Run what has not been run, chunks of like bytes and state once.
+            r, k = np.nonzero((enter >= 0) & (leave < 0))
+            _, one, same = np.unique(np.column_stack([like[r], enter[r, k]]), axis=0, return_index=True, return_inverse=True)
+            got, w = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
+            got[:] = -1
+            for at in range(0, len(one), 4096):
+                lane = one[at : at + 4096]
+                got[at : at + 4096], w[at : at + 4096] = self._lanes(sym, open_[r[lane]], enter[r[lane], k[lane]], size[open_[r[lane]]], state, given, enter, leave, got)
+            leave[r, k], total[r, k] = got[same.reshape(-1)], w[same.reshape(-1)]
+            # A state that the chunk before may be left with is one to be entered with.
+            fresh = [np.where(~lead & (prior >= 0) & (enter != prior[:, None]).all(1), prior, -1) for prior in np.concatenate([np.full((1, leave.shape[1]), -1), leave[:-1]]).T]
+            more = [f for f in fresh if (f >= 0).any()]
+            if not more:
                 break
-            entry = state[ready - 1].copy()
-            for t in range(int(head[ready].max())):
-                self._room(state, entry)
-                on = np.nonzero(head[ready] > t)[0]
-                entry[on], weight[t, ready[on]] = self._advance(entry[on], sym[t, ready[on]])
-            through = head[ready] == CHUNK
-            state[ready[through]] = entry[through]
-            head[ready] = 0
-        return weight.T.reshape(-1)[:n]
+            extra = np.full((m, len(more)), -1, np.int64)
+            for c, f in enumerate(more):
+                known = (extra == f[:, None]).any(1)
+                extra[:, c] = np.where(known, -1, f)
+            enter = np.concatenate([enter, extra], 1)
+            leave, total = (np.concatenate([x, np.full(extra.shape, fill, np.int64)], 1) for x, fill in ((leave, -1), (total, 0)))
+        else:
+            return self._one_by_one(sym, size, open_, lead, before(), state, given)
+        # Maps between the places of states in neighbouring chunks' lists, composed by doubling.
+        prior = np.concatenate([np.zeros((1, leave.shape[1]), np.int64), leave[:-1]])
+        maps = (enter[:, None, :] == prior[:, :, None]).argmax(2) if m * leave.shape[1] ** 2 < 1 << 24 else np.stack([(enter == prior[:, j, None]).argmax(1) for j in range(leave.shape[1])], 1)
+        maps[lead] = 0
+        step = 1
+        while step < m:
+            maps[step:] = np.take_along_axis(maps[step:], maps[:-step], 1)
+            step *= 2
+        at = maps[:, 0]
+        return leave[np.arange(m), at], total[np.arange(m), at]
+
+    def _one_by_one(self, sym: np.ndarray, size: np.ndarray, open_: np.ndarray, lead: np.ndarray, entry: np.ndarray, state: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _through, along each pre-token's chunks in order."""
+        total, now = np.zeros(len(open_), np.int64), np.nonzero(lead)[0]
+        leave = np.full(len(open_), -1, np.int64)
+        enter = entry[now].astype(np.int64)
+        while len(now):
+            out, total[now] = self._lanes(sym, open_[now], enter, size[open_[now]], state, given, leave)
+            leave[now] = out
+            goes = (now + 1 < len(open_)) & ~lead[np.minimum(now + 1, len(open_) - 1)]
+            now, enter = now[goes] + 1, out[goes]
+        return leave, total
 
 
 _LOADED: dict[str, Transducer] = {}
@@ -303,15 +410,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
         for batch in batches:
             texts = batch.column("text").to_pylist()
             sizes = [len(t.encode()) for t in texts]
-            counts: list[np.ndarray] = []
-            at = 0
-            while at < len(texts):
-                end, held = at + 1, sizes[at]
-                while end < len(texts) and held + sizes[end] <= BATCH_BYTES:
-                    held += sizes[end]
-                    end += 1
-                counts.append(machine.count(texts[at:end]))
-                at = end
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(np.concatenate(counts) if counts else [], pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(machine.count(texts), pa.int64())], schema.names)
 
     return rows.mapInArrow(run, schema).select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

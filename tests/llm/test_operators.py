@@ -98,6 +98,30 @@ def test_token_counts_when_the_table_is_full(monkeypatch, library):
     assert machine.count(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_token_counts_of_very_long_texts(monkeypatch, library):
+    import time
+
+    letters = "".join(random.choice("etaoinshrdlu") for _ in range(300_000))
+    n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    machine = transducer.Transducer(open(JSON, "rb").read())
+    texts = [letters, "a" * 700_000, "ab" * 50_000 + "é" * 30_000, say(20) + letters[:5000] + " it's" + letters[:3000], "中文字" * 9000 + "\n\n 12 " * 900]
+    assert machine.count(texts).tolist() == [n(t) for t in texts]
+    began = time.time()
+    assert machine.count(["q" * 10_000_000])[0] > 0 and time.time() - began < 60
+    # Slices hand on their state wherever they are cut, and a text that never settles goes on chunk by chunk.
+    monkeypatch.setattr(transducer, "BATCH_BYTES", 1200)
+    odd = [say(300) + " 's it's" * 40 + "!" * 700 + "\n" * 400 + letters[:2000], *[t * 20 for t in strings(60)]]
+    assert machine.count(odd).tolist() == [n(t) for t in odd]
+    monkeypatch.undo()
+    monkeypatch.setattr(transducer, "ROUNDS", 1)
+    assert machine.count(texts[2:4]).tolist() == [n(t) for t in texts[2:4]]
+    monkeypatch.undo()
+    monkeypatch.setattr(transducer, "MOST_STATES", 4096)
+    machine = transducer.Transducer(open(JSON, "rb").read())
+    words = [letters[:200_000], " ".join(letters[i : i + 3000] for i in range(0, 300_000, 3000))]
+    assert machine.count(words).tolist() == [n(t) for t in words]
+
+
 def test_repeated_passages(spark, odd):
     passage = say(60)
     rows = [(i, say(random.randint(0, 200)) + " " + passage + "\n" + say(random.randint(0, 200))) for i in range(0, 12)] + [(i, say(150)) for i in range(20, 40)]
