@@ -50,7 +50,7 @@ from citeloom.llm.components import components
 from citeloom.llm.hashing import ODD, mixed, word_hashes
 
 ROWS_AT_ONCE = 256
-BLOCK = 512
+BLOCK = 2048
 MATRIX_CELLS = 4 << 20
 SALTS = 64
 
