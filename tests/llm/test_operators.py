@@ -9,9 +9,10 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, chat, common, components, exact, fingerprint, hf, near, packing, passages, pii, quality, transducer
+from citeloom.llm import bpe, chat, common, components, exact, fingerprint, hashing, hf, near, packing, passages, pii, quality, transducer
 
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 random.seed(7)
@@ -199,29 +200,61 @@ def test_hot_passages_and_odd_columns(spark, monkeypatch):
 
 def brute_syncmers(text, k, s):
     hashes = {}
-    inner = lambda t: fingerprint._mix(fingerprint._rolled(np.array([ord(c) for c in t], np.uint64), len(t)))[0]
+    inner = lambda t: int(hashing.mixed(hashing.runs(np.array([ord(c) for c in t], np.uint64), len(t)))[0])
+    of = lambda t: hashes.setdefault(t, inner(t))
     out = []
     for i in range(len(text) - k + 1):
-        mers = [hashes.setdefault(text[i + j : i + j + s], inner(text[i + j : i + j + s])) for j in range(k - s + 1)]
+        mers = [of(text[i + j : i + j + s]) for j in range(k - s + 1)]
         if min(mers) in (mers[0], mers[-1]):
-            out.append(i)
+            out.append((of(text[i : i + k]), i))
     return out
 
 
+def brute_sketch(text):
+    """(entries, whole): the least hashes with their first places."""
+    found = brute_syncmers(text, fingerprint.K, fingerprint.S) or ([(xxhash.xxh64_intdigest(text.encode()), 0)] if text else [])
+    first = {}
+    for h, i in found:
+        first.setdefault(h, i)
+    keep = fingerprint.KEEP + len(text) // fingerprint.PER_ANCHOR
+    return sorted(first.items())[:keep], len(first) <= keep
+
+
+def brute_likeness(one, two):
+    (a, whole_a), (b, whole_b) = one, two
+    if not a or not b:
+        return float(len(a) == len(b))
+    limit = min([v[-1][0] for v, whole in ((a, whole_a), (b, whole_b)) if not whole], default=1 << 64)
+    a, b = ({h: i for h, i in v if h <= limit} for v in (a, b))
+    matched = sorted((a[h], b[h]) for h in a.keys() & b.keys())
+    best = [1] * len(matched)  # longest chain that goes forward in both
+    for j in range(len(matched)):
+        best[j] = 1 + max([best[i] for i in range(j) if matched[i][1] < matched[j][1]], default=0)
+    return max(best, default=0) / len(a.keys() | b.keys())
+
+
 def test_fingerprints(spark, odd):
     text = say(60) + " é中😀"
-    assert fingerprint.positions(text)[1].tolist() == brute_syncmers(text, fingerprint.K, fingerprint.S)
-    rows = [(i, say(200)) for i in range(30)] + [(31, None), (32, "")]
+    assert fingerprint.positions(text)[1].tolist() == [i for _, i in brute_syncmers(text, fingerprint.K, fingerprint.S)]
+    rows = [(i, say(200)) for i in range(30)] + [(31, None), (32, ""), (33, "short"), (34, say(6)), (35, "ab" * 3000), (36, say(1500))]
+    # Null and repeated ids: nulls last, ties by text.
+    rows += [(None, "b" + say(20)), (None, "a" + say(20)), (None, None), (12, "again " + say(30)), (12, "again " + say(30)), (0, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r for r in fingerprint.compare_edits(docs, rows_per_part=7).collect()}
-    order = sorted((d for d, _ in rows), reverse=True)
-    text = {d: t or "" for d, t in rows}
-    for a, b in zip(order, [*order[1:], order[0]], strict=True):
-        changed = fingerprint.edited(text[a], text[b])
-        assert got[a].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest() and got[a].n_chars == len(text[a])
-        assert got[a].fingerprint == fingerprint.show(fingerprint.sketch(text[a])) and got[a].edited_fingerprint == fingerprint.show(fingerprint.sketch(changed))
-        assert got[a].near_next == fingerprint.likeness(fingerprint.sketch(text[a]), fingerprint.sketch(text[b]))
-    assert min(got[d].near_edited for d in range(30)) > 0.25 > max(got[d].near_next for d in range(1, 30))
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    known = {t: brute_sketch(t) for _, t in order}
+    for per_part in (4, 7, 1000):
+        got = [tuple(r) for r in fingerprint.compare_edits(docs, rows_per_part=per_part).collect()]
+        want = []
+        for (doc, text), (_, following) in zip(order, [*order[1:], order[0]], strict=True):
+            changed = fingerprint.edited(text, following)
+            other = brute_sketch(changed)
+            show = lambda entries: "".join(f"{h:016x}{i:08x}" for h, i in entries)
+            want.append((doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), show(known[text][0]), show(other[0]), brute_likeness(known[text], other), brute_likeness(known[text], known[following])))
+        key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+        assert sorted(got, key=key) == sorted(want, key=key)
+    assert all(r[5] > 0.25 > r[6] for r in got if r[0] in set(range(1, 30)) - {12})
+    moved = fingerprint.likeness(fingerprint.Sketch(say(10) + text * 1), fingerprint.Sketch(text[200:] + text[:200]))
+    assert 0 < moved < 1
     assert fingerprint.compare_edits(odd, rows_per_part=3).count() == odd.count()
     assert fingerprint.compare_edits(odd.limit(0)).count() == 0
     assert fingerprint.compare_edits(odd.limit(1)).count() == 1
