@@ -32,6 +32,7 @@ from citeloom.llm.hf import cached_encoder
 
 WINDOW, END_ID = 1024, 0
 ROWS_AT_ONCE = 256
+BROADCAST_PARTS = 1_000_000
 
 
 def padded_length(length: int, window: int = WINDOW) -> int:
@@ -75,10 +76,15 @@ def place(tokens: DataFrame) -> DataFrame:
 
     The totals are one row for each partition of the first pass, a number that
     the input's splits set and its rows do not; they are summed in one task.
+    While there are BROADCAST_PARTS of them at most (24 bytes each) they are
+    broadcast, so that the ids stay where they are; more are joined by a shuffle.
     """
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    offsets = materialise(offsets, "offsets")
+    if offsets.count() <= BROADCAST_PARTS:
+        offsets = F.broadcast(offsets)
     return tokens.join(offsets, "part").withColumn("origin", F.col("base") + F.col("begin"))
 
 
