@@ -49,21 +49,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session."""
-    named = spark.conf.get(CHECKPOINT_CONF, None)
-    return named or f"file://{LOCAL_CHECKPOINT_DIR}"
+    """The folder that driver and executors share, from the session; a local one only where both are one process."""
+    if named := spark.conf.get(CHECKPOINT_CONF, None):
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+    return f"file://{LOCAL_CHECKPOINT_DIR}"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs a re-read, not a re-computation,
-    and freezes row placement for operators that take several passes.
+    and freezes row placement for operators that take several passes. What
+    forget() has not removed before goes when the application ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{tag}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what materialise() wrote, once nothing to come reads it."""
+    for df in frames:
+        if path := getattr(df, "stored_at", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -1,14 +1,16 @@
 """Exact deduplication (operator 8), DataFrame operations only.
 
-A tree merge of digest runs. Rows are dealt to ``runs`` runs by a hash of
-their id, so copies of one text spread over all runs. In a run a text is one
-entry (digest, best id, rows). Runs then merge in rounds, ``fan_in`` of them at
-a time, each round keeping the best id and summing the rows of a digest, until
-one run is left. The way back goes down the same tree: the final entry of a
-digest meets at most ``runs`` entries of the first level, and each of those
-meets the rows of its own run only. No step joins or groups a hot text's rows
-by its digest alone, so a text with a third of all rows costs each task a
-1/(3 * runs) share at most.
+A tree merge of sorted digest runs. Rows are dealt to ``runs`` runs by a hash of
+their id, so copies of one text spread over all runs. In a run, sorted by
+digest, a text is one entry (digest, best id, rows). Runs then merge in binomial
+rounds: those whose numbers agree but for the last bits are exchanged, sorted
+together, and of a digest's entries the one with the best id stays, with the
+sum of their rows, until one run is left. A run is spread over all partitions by
+digest, so the last round is no single task. The way back goes down the same
+tree: the final entry of a digest meets at most ``runs`` entries of the first
+level, and each of those meets the rows of its own run only. No step joins or
+groups a hot text's rows by its digest alone, so a text with a third of all rows
+costs each task a 1/(3 * runs) share at most.
 
 An entry's key is the SHA-256 digest and, to verify it, the byte length and an
 independent 64-bit hash: two texts share an entry only if all three agree.
@@ -20,17 +22,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import text_of
+from citeloom.llm.common import fresh, text_of
 
-RUNS, FAN_IN = 64, 8
+RUNS, FAN_IN = 64, 2
 
 
 def merge_runs(entries: DataFrame, keys: list[str], best: str, runs: int, fan_in: int, largest: bool) -> DataFrame:
-    """Merge entries (run, keys, best, rows) round by round down to one run."""
-    pick = F.max if largest else F.min
+    """Merge sorted entries (run, keys, best, rows) round by round down to one run, fan_in runs at a time."""
+    order = F.col(best).desc_nulls_last() if largest else F.col(best).asc_nulls_last()
     while runs > 1:
         runs = -(-runs // fan_in)
-        entries = entries.groupBy(F.expr(f"run div {fan_in}").cast("int").alias("run"), *keys).agg(pick(best).alias(best), F.sum("rows").alias("rows"))
+        entries = entries.withColumn("run", F.expr(f"run div {fan_in}").cast("int"))
+        same = W.partitionBy("run", *keys)
+        entries = entries.withColumn("place", F.row_number().over(same.orderBy(order))).withColumn("rows", F.sum("rows").over(same))
+        entries = entries.filter("place = 1").drop("place")
     return entries
 
 
@@ -67,11 +72,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A repeated (id, text) row is kept once.
     """
+    key, digest, at = (fresh(docs, n) for n in ("key", "digest", "at"))
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     fate = exact_groups(docs, id_col, text_col, normalise, keep)
-    stay = fate.filter("kept").select(known(id_col).alias("_key"), F.col("text_sha256").alias("_digest"))
+    stay = fate.filter("kept").select(known(id_col).alias(key), F.col("text_sha256").alias(digest))
     text = text_of(docs[text_col]) if normalise is None else F.coalesce(normalise, F.lit(""))
     # Join and window share their keys, so the texts are shuffled once.
-    kept = docs.withColumn("_key", known(id_col)).withColumn("_digest", F.sha2(text, 256)).join(stay, ["_key", "_digest"], "left_semi")
-    numbered = kept.withColumn("_at", F.row_number().over(W.partitionBy("_key", "_digest").orderBy(F.lit(0))))
-    return numbered.filter("_at = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.withColumn(key, known(id_col)).withColumn(digest, F.sha2(text, 256)).join(stay, [key, digest], "left_semi")
+    numbered = kept.withColumn(at, F.row_number().over(W.partitionBy(key, digest).orderBy(F.lit(0))))
+    return numbered.filter(F.col(at) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
