@@ -81,7 +81,8 @@ def format_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     scores; ties go to the smaller leaf. Null roles and texts count as empty.
     best=None keeps every path.
     """
-    messages = keyed(messages)
+    # Written once: threads are cut by a window, and the walk reads them again and again.
+    messages = materialise(keyed(messages).select("tree", "node", "parent", "role", "text", "score"), "messages")
     paths = _walk(messages)
     if best is not None:
         scored = paths.groupBy("tree", "leaf").agg(F.sum("score").alias("total"))
