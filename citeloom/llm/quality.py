@@ -113,7 +113,10 @@ def fold(id_col: str, folds: int = 4):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_fold: int = 2, sample: int = SAMPLE) -> Model:
-    """Fit on labelled rows outside the held-out fold; null texts and labels don't teach."""
+    """Fit on labelled rows outside the held-out fold; null texts and labels don't teach.
+
+    Where an id repeats, each of its texts has its label; an id with both labels teaches both.
+    """
     texts = {}
     for label in (1, 0):
         known = labels.filter((F.col(label_col) == label) & (fold(id_col) != held_fold)).select(F.col(id_col).alias("_id")).distinct()
@@ -126,7 +129,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
-    """All columns of docs and the score of each text, 0 to 1; null counts as empty."""
+    """All columns of docs and the score of each text, 0 to 1; null counts as empty.
+
+    A column of docs that is called score_col is replaced.
+    """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != score_col.lower()])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit(0.0).alias(score_col)).schema
     at = docs.columns.index(text_col)
