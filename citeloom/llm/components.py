@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import materialise
+from citeloom.llm.common import forget, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if (state["n"], state["x"]) == mark or not state["n"]:
             break
         mark = (state["n"], state["x"])
-        now = materialise(_small_star(_large_star(now)), "edges")
+        before, now = now, materialise(_small_star(_large_star(now)), "edges")
+        forget(before)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.common import fresh, materialise, rows_of, slices, text_of
+from citeloom.llm.common import forget, fresh, materialise, rows_of, slices, text_of
 from citeloom.llm.components import components
 from citeloom.llm.hashing import ODD, mixed, word_hashes
 
@@ -376,17 +376,20 @@ def similar_components(items: DataFrame, plan: Plan = Plan()) -> DataFrame:
     items = items.select("id", text_of("text").alias("text"))
     signed = materialise(signatures(items, plan), "signed")
     known_sets = signed.filter("n > 0")
-    owned = materialise(same_sets(known_sets), "owned")
+    empty = signed.filter("n = 0").select("id", "low", "high", "n", F.lit(None).cast("long").alias("rep"))
+    owned = materialise(same_sets(known_sets).unionByName(empty), "owned")
     # A representative is found by its own id, so a set with many copies is no hot key.
     lead = ["id", "low", "high", "n"]
     reps = known_sets.join(owned.filter("id = rep").select(*lead), lead, "left_semi")
     reps = materialise(reps.select("id", "brief", "keys").dropDuplicates(["id", "brief"]), "reps")
+    forget(signed)
     briefs, banded = reps.select("id", "brief"), reps.select("id", F.explode("keys").alias("key"))
     mark = lambda seed: F.bit_xor(F.xxhash64("id", F.lit(seed)))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead"), mark(1).alias("x"), mark(2).alias("y")).filter("size > 1")
     # Buckets of the same members, told by two 64-bit sums of them, are one.
     buckets = buckets.groupBy("size", "lead", "x", "y").agg(F.min("key").alias("key"))
-    members = materialise(banded.join(buckets.select("key", "lead"), "key"), "members").filter("id <> lead")
+    met = materialise(banded.join(buckets.select("key", "lead"), "key"), "members")
+    members = met.filter("id <> lead")
     # The texts of all members are read once, for their full sets. The ids grow
     # with the input, so the join is the same at every size: no broadcast.
     wanted = members.select(F.explode(F.array("id", "lead")).alias("id")).distinct()
@@ -412,9 +415,10 @@ def similar_components(items: DataFrame, plan: Plan = Plan()) -> DataFrame:
             more = materialise(bucket_pairs(hidden.join(briefs, "id").join(known, "id"), plan), "more").select("a", "b")
             if not more.isEmpty():
                 labels = components(links.unionByName(more))
+        forget(placed, pairs, judged)
+    forget(reps, met, known, rest)
     out = owned.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = out.select("id", "n", F.coalesce("component", "rep", "id").alias("component"))
-    return out.unionByName(signed.filter("n = 0").select("id", "n", F.col("id").alias("component")))
+    return out.select("id", "n", F.coalesce("component", "rep", "id").alias("component"))
 
 
 def labelled(members: DataFrame, labels: DataFrame, unit: tuple[str, ...] = ("key",)) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import fresh, materialise, rows_of, slices, text_of
+from citeloom.llm.common import forget, fresh, materialise, rows_of, slices, text_of
 from citeloom.llm.components import components
 from citeloom.llm.hashing import least, mixed, runs, word_hashes
 
@@ -117,11 +117,13 @@ def hot_anchors(docs: DataFrame) -> list[int]:
     seen = anchor_rows(docs.filter(F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(share)) == 0) if share > 1 else docs)
     counts = materialise(seen.groupBy("band").count().filter(F.col("count") >= HOT_LEAST), "hot")
     total = counts.agg(F.sum("count")).first()[0] or 0
-    return [r["band"] for r in counts.filter(F.col("count") >= max(HOT_LEAST, HOT_SHARE * total)).select("band").collect()]
+    out = [r["band"] for r in counts.filter(F.col("count") >= max(HOT_LEAST, HOT_SHARE * total)).select("band").collect()]
+    forget(counts)
+    return out
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """(doc, start, stop, ldoc, diagonal): words of doc that stand in ldoc too, diagonal words before."""
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is written, and (doc, start, stop, ldoc, diagonal): words of doc that stand in ldoc too, diagonal words before."""
     salt = F.when(F.col("band").isin(hot), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")) if (hot := hot_anchors(docs)) else F.lit(None).cast("int")
     rows = anchor_rows(docs).withColumn("salt", F.coalesce(salt, F.lit(-1))).repartition("band", "salt")
     rows = rows.withColumn("places", F.count("*").over(W.partitionBy("band", "salt"))).filter("places > 1 or salt >= 0")
@@ -140,7 +142,7 @@ def links(docs: DataFrame) -> DataFrame:
         over = F.min(F.struct("doc", "start")).over(W.partitionBy("band", "kind_", "mark_"))
         roots = rows.filter("own").withColumn("lead", over).filter("doc <> lead.doc or start <> lead.start")
         found = found.unionByName(roots.select("doc", "start", "stop", F.col("lead.doc").alias("ldoc"), (F.col("start") - F.col("lead.start")).alias("diagonal")))
-    return found.filter(f"doc <> ldoc or diagonal >= {WIDTH}")
+    return rows, found.filter(f"doc <> ldoc or diagonal >= {WIDTH}")
 
 
 RUN_SCHEMA = "doc long, ldoc long, start int, stop int, lstart int, lstop int, seeds binary"
@@ -338,8 +340,11 @@ def clusters(pairs: DataFrame) -> DataFrame:
 
 def passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc, tkey, first_word, n_words, n_pairs, kept, cluster) of docs(doc, text)."""
-    found = materialise(candidate_runs(links(docs)), "runs")
+    linked, found = links(docs)
+    found = materialise(candidate_runs(found), "runs")
+    forget(linked)
     pairs = materialise(verified_pairs(docs, found, width), "pairs")
+    forget(found)
     text = ["doc", "tkey"]
     places = joined(clusters(pairs), [*text, "kept"], "span")
     spans = places.groupBy(*text, "kept", "span").agg(F.max("stop").alias("stop"), F.count("*").alias("n_pairs"), F.min("cluster").alias("cluster"))

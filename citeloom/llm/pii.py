@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import fresh, materialise, text_of
+from citeloom.llm.common import forget, fresh, materialise, text_of
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Kinds in their order, with patterns that match what the plain ones do but
@@ -222,7 +222,9 @@ def term_hits(docs: DataFrame, seen: DataFrame, id_col: str = "doc_id", text_col
     against = F.when((apart > 0) & (prior < 1), apart * (F.log2(1 - share) - F.log2(1 - prior))).otherwise(0.0)
     evidence = F.col("together") * bits + against
     revealing = judged.filter((share >= MIN_SHARE) & (bits >= -MIN_PART * F.log2(prior)) & (evidence >= MIN_EVIDENCE)).select("term").distinct()
-    return materialise(hits.join(revealing, "term").select("id", "key", "term"), "revealing")
+    out = materialise(hits.join(revealing, "term").select("id", "key", "term"), "revealing")
+    forget(candidates, hits)
+    return out
 
 
 def revealing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

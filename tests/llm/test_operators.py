@@ -342,6 +342,51 @@ def test_quality(spark, odd):
     assert quality.scored(odd, quality.fit(docs, labels)).columns == [*odd.columns, "quality_score"]
 
 
+def test_quality_against_plain_compression(spark):
+    import zstandard
+
+    good, bad = [say(150) for _ in range(60)], [" ".join(f"{random.choice(WORDS).upper()}!!" for _ in range(100)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(good + bad + [None, "", "é" * 700])), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+
+    def size(text, dictionary):
+        raw, total = text.encode(), 0
+        for i in range(0, max(1, len(raw)), quality.BLOCK):
+            tool = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False)
+            total += len(tool.compress(raw[i : i + quality.BLOCK]))
+        return total
+
+    for r in quality.scored(docs, model).collect():
+        text = r.text or ""
+        g, b = size(text, model.good), size(text, model.bad)
+        alone = len(zstandard.ZstdCompressor(level=1, write_content_size=False).compress(text.encode()))
+        u, v = ((x - c) / d for x, c, d in zip(((b - g) / (g + b), np.log(alone / max(1, len(text.encode())))), model.centre, model.scale))
+        z = sum(w * f for w, f in zip(model.weights, (1, u, v, u * u, u * v, v * v)))
+        assert abs(r.quality_score - 1 / (1 + np.exp(-max(-30, min(30, z))))) < 1e-9
+    known = quality.scored(docs, model)
+    assert quality.scored(known, model).columns == known.columns
+
+
+def test_columns_of_the_same_names(spark):
+    rows = [(1, "a b c", 7, 8, 9, 10, 11), (2, "a b c", 7, 8, 9, 10, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, digest int, at int, stay int, quality_score int")
+    kept = exact.exact_dedup(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [rows[1]]
+    assert [tuple(r) for r in near.near_dedup(docs).collect()] == [rows[0]]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Fake:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Fake)
+
+
 def test_exact_dedup(spark, odd):
     rows = [(i, random.choice(["a", "b", "c", None, "", "A"])) for i in range(60)] + [(7, "b"), (7, "b"), (None, "a"), (None, "lone"), (None, "lone")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
