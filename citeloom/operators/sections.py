@@ -9,22 +9,26 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.identifiers import strip
+from citeloom.functions.identifiers import let, strip
 from citeloom.session import reach_workers
 
 DOI, PMCID, PMID = r"(?i)10\.\d{4,9}/[\w\.\-/:;()<>]+", r"(?i)PMC\d{4,}", r"(?i)\bpmid[:\s]*(\d{4,9})\b"
 #: Elements without readable content (fixed values).
-DROPPED = ("script", "style", "noscript", "iframe", "svg", "form", "button", "nav", "footer", "header", "aside", "head", "input", "select", "textarea", "canvas", "video", "audio", "object")
+DROPPED = ("script", "style", "noscript", "img", "iframe", "video", "audio", "canvas", "svg", "object", "embed", "button", "input", "select", "textarea", "form", "head", "meta", "link")
+#: Those of them that have no end tag.
+VOID = ("img", "embed", "input", "meta", "link")
 #: Section titles that are left out (fixed values).
 SKIPPED = r"(?i)^(author\s+contributions?|competing\s+interests?|conflict\s+of\s+interest|ethics?\s+(statement|declaration)s?|funding|declaration\s+of\s+competing)\b"
+#: Shapes of headings in page texts, and the closing sections (fixed values).
 NUMBERED = r"^\s*\d+(?:\.\d+)*\s+[A-Z][A-Za-z0-9 ,\-/]{2,80}\s*$"
 NAMED = r"(?i)^\s*(Abstract|Introduction|Methods?|Materials and Methods|Results?|Discussion|Conclusions?|References|Acknowledg(?:e?ments?)|Data Availability(?: Statement)?|Code Availability|Availability of Data and Materials?|Supplementary (?:Information|Materials?))\s*$"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 CUT_FROM = r"(?i)^(\d+(?:\.\d+)*\s+)?(references?|bibliography|acknowledg(?:e?ments?)|author\s+contributions?|competing\s+interests?|conflict\s+of\s+interest|ethics?\s+(statement|declaration)s?|funding)\s*$"
 
 
@@ -32,7 +36,7 @@ def strip_non_content(html: Column) -> Column:
     """HTML without comments and elements that hold nothing to read."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for tag in DROPPED:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>" if tag in VOID else rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     return out
 
 
@@ -49,7 +53,7 @@ def first_group(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def find_ids(raw: Column) -> dict[str, Column]:
-    """DOI, PMCID and PMID of a document: tagged ids, then meta tags, then any mention."""
+    """DOI, PMCID and PMID of a document: tagged ids, then the first mention anywhere, markup included."""
     tagged = lambda kind: first_group(raw, rf'(?is)<article-id[^>]*pub-id-type="{kind}"[^>]*>\s*([^<]*?)\s*</article-id>', 1)
     pmc = tagged("pmc(?:id)?")
     pmc = F.when(pmc.rlike("(?i)^PMC"), F.upper(pmc)).otherwise(F.concat(F.lit("PMC"), pmc))
@@ -60,47 +64,81 @@ def find_ids(raw: Column) -> dict[str, Column]:
     }
 
 
+def first_text(body: Column, *patterns: tuple[str, int]) -> Column:
+    """The text of the first pattern (and its group) that finds any; '' if none does."""
+    found = lambda b, p, g: let(plain(F.regexp_extract(b, p, g)), lambda x: F.when(x != "", x))
+    return let(body, lambda b: F.coalesce(*[found(b, p, g) for p, g in patterns], F.lit("")))
+
+
 def find_title(raw: Column) -> Column:
-    body = strip_non_content(raw)
-    return F.coalesce(F.nullif(plain(first_group(body, r"(?is)<article-title[^>]*>(.*?)</article-title>", 1)), F.lit("")), F.nullif(plain(first_group(body, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)), F.lit("")), F.lit(""))
+    return title_of(strip_non_content(raw))
+
+
+def title_of(body: Column) -> Column:
+    """The article's title, else a page title outside the head, else the first h1."""
+    return first_text(body, (r"(?is)<article-title\b[^>]*>(.*?)</article-title\s*>", 1), (r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), (r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
+
+
+def abstract_of(body: Column) -> Column:
+    """The abstract element, else the first element with abstract in its class."""
+    return first_text(body, (r"(?is)<abstract\b[^>]*>(.*?)</abstract\s*>", 1), (r"""(?is)<(\w+)\b[^>]*\bclass\s*=\s*["'][^"']*abstract[^"']*["'][^>]*>(.*?)</\1\s*>""", 2))
+
+
+def main_part(body: Column) -> Column:
+    """The main element of a page, else its article, else all of it."""
+    return F.coalesce(*[first_group(body, rf"(?is)<{t}\b[^>]*>(.*)</{t}\s*>", 1) for t in ("main", "article")], body)
 
 
-def html_blocks(html: Column) -> Column:
+def html_blocks(body: Column) -> Column:
     """(kind, text) of headings, paragraphs, list items, quotes and captions, in order."""
-    found = F.regexp_extract_all(strip_non_content(html), F.lit(r"(?is)<(h[1-4]|p|li|blockquote|figcaption)\b[^>]*>.*?</\1\s*>"), F.lit(0))
+    found = F.regexp_extract_all(main_part(body), F.lit(r"(?is)<(h[1-4]|p|li|blockquote|figcaption)\b[^>]*>.*?</\1\s*>"), F.lit(0))
     kind = lambda m: F.lower(F.regexp_extract(m, r"(?i)^<(h[1-4]|p|li|blockquote|figcaption)", 1))
     made = F.transform(found, lambda m: F.struct(kind(m).alias("kind"), plain(m).alias("text")))
-    return F.filter(made, lambda b: b["text"] != "")
+    # A heading without text still ends the section before it.
+    return F.filter(made, lambda b: (b["text"] != "") | b["kind"].rlike("^h[1-4]$"))
 
 
-def html_sections(html: Column) -> Column:
-    """Sections of an HTML page: a heading opens one, the blocks after it fill it.
+def html_sections(body: Column) -> Column:
+    """Sections of an HTML page without its non-content: a heading opens one, the blocks after it fill it.
 
-    Text before the first heading is a section without title; empty sections
-    are left out.
+    Text before the first heading is a section without title and number 0;
+    sections with neither title nor text are left out. Blocks inside blocks
+    belong to the outer one. Each section is a slice between two headings, so
+    the work is linear in the page.
     """
-    blocks = F.transform(html_blocks(html), lambda b: F.struct(b["kind"].rlike("^h[1-4]$").alias("head"), F.when(b["kind"] == "figcaption", F.concat(F.lit("[CAPTION] "), b["text"])).otherwise(b["text"]).alias("text")))
-    empty = F.array().cast("array<struct<title:string,parts:array<string>>>")
 
-    def step(acc, b):
-        last = F.try_element_at(acc, F.lit(-1))
-        opened = F.concat(acc, F.array(F.struct(b["text"].alias("title"), F.array().cast("array<string>").alias("parts"))))
-        started = F.concat(acc, F.array(F.struct(F.lit("").alias("title"), F.array(b["text"]).alias("parts"))))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["title"].alias("title"), F.concat(last["parts"], F.array(b["text"])).alias("parts"))))
-        return F.when(b["head"], opened).when(F.size(acc) == 0, started).otherwise(grown)
+    def cut(blocks: Column) -> Column:
+        heads = F.filter(F.transform(blocks, lambda b, i: F.when(b["kind"].rlike("^h[1-4]$"), i)), lambda i: i.isNotNull())
+        # -1 stands for what precedes the first heading.
+        return let(F.concat(F.array(F.lit(-1)), heads), lambda at: F.transform(at, lambda i, k: section(blocks, i, k, F.coalesce(F.try_element_at(at, k + 2), F.size(blocks)))))
 
-    cut = F.filter(F.aggregate(blocks, empty, step), lambda s: F.size(s["parts"]) > 0)
-    return F.transform(cut, lambda s, i: F.struct(s["title"].alias("section_title"), F.array_join(s["parts"], "\n").alias("section_text"), F.concat(F.lit("sec["), (i + 1).cast("string"), F.lit("]")).alias("section_path"), F.lit(None).cast("int").alias("page")))
+    def section(blocks: Column, i: Column, k: Column, end: Column) -> Column:
+        title = F.when(i >= 0, F.try_element_at(blocks, i + 1)["text"]).otherwise("")
+        said = F.transform(F.slice(blocks, i + 2, F.greatest(F.lit(0), end - i - 1)), lambda b: F.when(b["kind"] == "figcaption", F.concat(F.lit("[CAPTION] "), b["text"])).otherwise(b["text"]))
+        return F.struct(title.alias("section_title"), F.array_join(said, "\n").alias("section_text"), F.concat(F.lit("body/sec["), k.cast("string"), F.lit("]")).alias("section_path"), F.lit(None).cast("int").alias("page"))
 
+    return F.filter(let(html_blocks(body), cut), lambda s: (s["section_title"] != "") | (s["section_text"] != ""))
 
-def parse_html(raw: DataFrame, content: str = "content", default_id: str = "paper_id") -> DataFrame:
-    """Paper records of HTML documents (content, paper_id, source_path)."""
+
+def full_text(sections: Column, *before: Column) -> Column:
+    """What stands before, titles and texts, each on its own line."""
+    parts = F.flatten(F.transform(sections, lambda s: F.array(s["section_title"], s["section_text"])))
+    return F.array_join(F.filter(F.concat(F.array(*before) if before else F.array().cast("array<string>"), parts), lambda x: x != ""), "\n")
+
+
+def parse_html(raw: DataFrame, content: str = "content", default_id: str = "paper_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Paper records of HTML documents (content, paper_id, source_path), with the columns to keep."""
     c = F.coalesce(F.col(content), F.lit(""))
-    ids = find_ids(c)
-    made = raw.select(F.col(default_id).alias("_id"), F.col("source_path"), *[v.alias(k) for k, v in ids.items()], find_title(c).alias("title"), F.coalesce(F.nullif(plain(first_group(c, r'(?is)<(?:div|section|p)[^>]*class="[^"]*abstract[^"]*"[^>]*>(.*?)</(?:div|section|p)>', 1)), F.lit("")), F.lit("")).alias("abstract"), html_sections(c).alias("sections"))
-    full = F.array_join(F.transform("sections", lambda s: F.concat_ws("\n", F.nullif(s["section_title"], F.lit("")), s["section_text"])), "\n")
-    pid = F.coalesce(F.nullif("pmcid", F.lit("")), F.nullif("pmid", F.lit("")), F.nullif("paper_doi", F.lit("")), "_id")
-    return made.select(pid.alias("paper_id"), "paper_doi", "pmcid", "pmid", "source_path", "title", "abstract", full.alias("full_text"), "sections")
+    own, ids = F.col(default_id), find_ids(c)
+    body = F.col("body")
+    clean = raw.select(own.alias("paper_id"), "source_path", F.struct(*[v.alias(k) for k, v in ids.items()]).alias("ids"), strip_non_content(c).alias("body"), *keep)
+    made = clean.select("paper_id", "source_path", "ids", title_of(body).alias("title"), abstract_of(body).alias("abstract"), html_sections(body).alias("sections"), *keep)
+    return made.select(paper_id_of("ids.pmcid", "ids.pmid", "ids.paper_doi", "paper_id"), "ids.paper_doi", "ids.pmcid", "ids.pmid", "source_path", "title", "abstract", full_text(F.col("sections"), F.col("title"), F.col("abstract")).alias("full_text"), "sections", *keep)
+
+
+def paper_id_of(*columns: str) -> Column:
+    """The first of the columns that is set."""
+    return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns], F.lit("")).alias("paper_id")
 
 
 # -- page texts (PDF) --------------------------------------------------------
@@ -109,21 +147,22 @@ def parse_html(raw: DataFrame, content: str = "content", default_id: str = "pape
 def is_heading(line: Column) -> Column:
     """Numbered or well-known headings, or a short line of capitals without digits."""
     s = strip(line)
-    capitals = (F.upper(s) == s) & (F.lower(s) != s) & ~s.rlike(r"\d") & (F.length(s).between(4, 60))
+    capitals = (F.upper(s) == s) & (F.lower(s) != s) & ~s.rlike(r"\d") & F.length(s).between(4, 59)
     return F.coalesce((s != "") & (F.length(s) <= 100) & (s.rlike(NUMBERED) | s.rlike(NAMED) | capitals), F.lit(False))
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """(path, page, pos, line) of pages(path, page, text)."""
-    return pages.select("path", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    return pages.select("path", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_ENDS)).alias("pos", "line"))
 
 
 def page_sections(pages: DataFrame, cut_tail: bool = True) -> DataFrame:
     """(path, ordinal, section_title, section_text, page): headings open sections.
 
-    A running count of headings numbers the sections of a document; with
-    cut_tail everything from the first closing section (references,
-    acknowledgements, funding, ...) on is dropped.
+    A running count of headings numbers the sections of a document, 0 being
+    what precedes the first; page is that of the heading. Sections with neither
+    title nor text are left out. With cut_tail everything from the first closing
+    section (references, acknowledgements, funding, ...) on is dropped.
     """
     from pyspark.sql import Window as W
 
@@ -133,9 +172,38 @@ def page_sections(pages: DataFrame, cut_tail: bool = True) -> DataFrame:
     if cut_tail:
         end = F.min(F.when(F.col("head") & strip("line").rlike(CUT_FROM), F.col("ordinal"))).over(W.partitionBy("path"))
         lines = lines.withColumn("end", end).filter("end is null or ordinal < end")
-    body = F.filter(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("page", "pos", "line")))), lambda s: strip(s["line"]) != "")
-    grouped = lines.groupBy("path", "ordinal").agg(F.coalesce(F.max(F.when(F.col("head"), strip("line"))), F.lit("")).alias("section_title"), F.array_join(F.transform(body, lambda s: s["line"]), "\n").alias("section_text"), F.coalesce(F.min(F.when(F.col("head"), F.col("page"))), F.min("page")).alias("page"))
-    return grouped.filter("section_text <> ''")
+    body = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("page", "pos", "line"))))
+    grouped = lines.groupBy("path", "ordinal").agg(
+        F.coalesce(F.max(F.when(F.col("head"), strip("line"))), F.lit("")).alias("section_title"),
+        F.coalesce(strip(F.array_join(F.transform(body, lambda s: s["line"]), "\n")), F.lit("")).alias("section_text"),
+        F.min(F.when(F.col("head"), F.col("page"))).alias("page"),
+    )
+    return grouped.filter("section_title <> '' or section_text <> ''")
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """Paper records of page texts (path, page, text), as PDF readers give them.
+
+    The title is the first line with text of the first page, the abstract the
+    first section named so. The full text is made of the sections that stay; a
+    document without any has its raw text. Ids come from the raw text, the file
+    name's stem if there are none.
+    """
+    numbered = F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))))
+    raw = pages.groupBy("path").agg(numbered.alias("all"))
+    whole = F.array_join(F.transform("all", lambda p: p["text"]), "\n")
+    first = F.filter(F.split(F.col("all")[0]["text"], LINE_ENDS), lambda x: strip(x) != "")
+    grab = lambda c, pattern, group=0: F.regexp_extract(c, pattern, group)
+    raw = raw.select("path", whole.alias("raw"), F.coalesce(strip(F.try_element_at(first, F.lit(1))), F.lit("")).alias("title"))
+    raw = raw.select("path", "raw", "title", grab(F.col("raw"), DOI).alias("paper_doi"), F.upper(grab(F.col("raw"), PMCID)).alias("pmcid"), grab(F.col("raw"), PMID, 1).alias("pmid"))
+    section = F.struct("ordinal", "section_title", "section_text", F.concat(F.lit("body/sec["), F.col("ordinal").cast("string"), F.lit("]")).alias("section_path"), F.col("page").cast("int").alias("page"))
+    listed = page_sections(pages).groupBy("path").agg(F.array_sort(F.collect_list(section)).alias("listed"))
+    made = raw.join(listed, "path", "left").withColumn("sections", F.coalesce(F.transform("listed", lambda s: s.dropFields("ordinal")), F.array().cast(SECTIONS)))
+    abstract = F.try_element_at(F.filter("sections", lambda s: F.startswith(F.lower(s["section_title"]), F.lit("abstract"))), F.lit(1))["section_text"]
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    text = F.when(F.size("sections") > 0, strip(full_text(F.col("sections")))).otherwise(F.col("raw"))
+    made = made.withColumn("stem", stem)
+    return made.select(paper_id_of("pmcid", "pmid", "paper_doi", "stem"), "paper_doi", "pmcid", "pmid", F.col("path").alias("source_path"), "title", F.coalesce(abstract, F.lit("")).alias("abstract"), text.alias("full_text"), "sections")
 
 
 # -- JATS --------------------------------------------------------------------
@@ -162,60 +230,80 @@ def jats_record(text: str, default_id: str) -> dict | None:
     sections: list[dict] = []
 
     def add(title: str, body: str, path: str) -> None:
-        if body.strip():
-            sections.append({"section_title": title, "section_text": body, "section_path": path, "page": None})
+        sections.append({"section_title": title, "section_text": body, "section_path": path, "page": None})
 
-    def walk(node: ET.Element, path: str) -> None:
+    def walk(node: ET.Element, base: str) -> None:
         for i, sec in enumerate(node.findall("sec"), start=1):
-            title, here = _words(sec.find("title")), f"{path}/sec[{i}]"
+            title, here, own = _words(sec.find("title")), f"{base}/sec[{i}]", []
             if re.search(SKIPPED, title):
                 continue
-            own = [_words(c) for c in sec if c.tag in ("p", "list", "disp-quote")]
-            own += ["[CAPTION] " + _words(c) for c in sec.findall("./fig/caption") + sec.findall("./table-wrap/caption")]
-            add(title, "\n".join(x for x in own if x), here)
+            for child in sec:
+                if child.tag in SAID:
+                    own.append(_words(child))
+                elif child.tag in CAPTIONED and (caption := next(child.iter("caption"), None)) is not None:
+                    own.append("[CAPTION] " + _words(caption))
+            text = "\n".join(filter(None, own))
+            if title or text:
+                add(title, text, here)
             walk(sec, here)
 
-    for i, note in enumerate(root.findall("./front//notes"), start=1):
-        add(_words(note.find("title")) or _words(note.find("sec/title")), _words(note), f"front/notes[{i}]")
-    for body in root.iter("body"):
+    def notes(part: ET.Element, base: str) -> None:
+        for i, note in enumerate(part.iter("notes"), start=1):
+            title = next(note.iter("title"), None)
+            if body := "\n".join(_words(p) for p in note.iter("p")) or _words(note):
+                add(_words(title) if title is not None else (note.get("notes-type") or "").strip() or "Notes", body, f"{base}/notes[{i}]")
+
+    front, body, back = (next(root.iter(k), None) for k in ("front", "body", "back"))
+    if front is not None:
+        notes(front, "front")
+    if body is not None:
         walk(body, "body")
-    for back in root.iter("back"):
+        for node in body.iter():
+            if node.tag in CAPTIONED and (text := _words(next(node.iter("caption"), None))):
+                add(f"[{node.tag}]", text, node.tag)
+    if back is not None:
+        for parent in list(back.iter()):
+            for gone in parent.findall("ref-list"):
+                parent.remove(gone)
+        notes(back, "back")
         walk(back, "back")
-        for kind in ("notes", "fn"):
-            for i, note in enumerate(back.iter(kind), start=1):
-                title = _words(note.find("title"))
-                if not re.search(SKIPPED, title):
-                    add(title, _words(note), f"back/{kind}[{i}]")
+        for i, fn in enumerate(back.iter("fn"), start=1):
+            if text := _words(fn):
+                add("[footnote]", text, f"back/fn[{i}]")
     doi = ids.get("doi", "")
     pmid = ids.get("pmid", "")
     if pmcid and not pmcid.upper().startswith("PMC"):
         pmcid = "PMC" + pmcid
-    return {
-        "paper_id": pmcid or pmid or doi or default_id, "paper_doi": doi, "pmcid": pmcid, "pmid": pmid,
-        "title": _words(next(root.iter("article-title"), None)), "abstract": _words(next(root.iter("abstract"), None)),
-        "full_text": "\n".join("\n".join(x for x in (s["section_title"], s["section_text"]) if x) for s in sections), "sections": sections,
-    }
+    title, abstract = _words(next(root.iter("article-title"), None)), _words(next(root.iter("abstract"), None))
+    lines = [title, abstract, *[x for s in sections for x in (s["section_title"], s["section_text"])]]
+    return {"paper_id": pmcid or pmid or doi or default_id, "paper_doi": doi, "pmcid": pmcid, "pmid": pmid, "title": title, "abstract": abstract, "full_text": "\n".join(filter(None, lines)), "sections": sections}
 
 
-PAPER = "paper_id string, paper_doi string, pmcid string, pmid string, source_path string, title string, abstract string, full_text string, sections array<struct<section_title:string,section_text:string,section_path:string,page:int>>"
+SECTIONS = "array<struct<section_title:string,section_text:string,section_path:string,page:int>>"
+#: Elements of a section that are its text, and those whose captions are (fixed values).
+SAID, CAPTIONED = ("p", "list", "disp-quote", "boxed-text", "statement"), ("fig", "table-wrap", "supplementary-material")
+PAPER = "paper_id string, paper_doi string, pmcid string, pmid string, source_path string, title string, abstract string, full_text string, sections " + SECTIONS
 
 
 def parse_jats(raw: DataFrame, content: str = "content", default_id: str = "paper_id") -> DataFrame:
-    """Paper records of JATS documents (content, paper_id, source_path); others are left out."""
+    """Paper records of JATS documents (content, paper_id, source_path), and ``unparsed``.
+
+    Of a document that is not well-formed only paper_id and source_path are
+    set, and unparsed holds its content; it is null for all others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, pid, path in zip(*[batch.column(c).to_pylist() for c in ("content", "paper_id", "source_path")], strict=True):
-                if (made := jats_record(text or "", pid)) is not None:
-                    rows.append(made | {"source_path": path})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                made = jats_record(text or "", pid)
+                rows.append({"paper_id": pid, "unparsed": text or "", "source_path": path} if made is None else made | {"source_path": path})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     reach_workers(raw.sparkSession)
     section = pa.struct([("section_title", pa.string()), ("section_text", pa.string()), ("section_path", pa.string()), ("page", pa.int32())])
-    arrow = pa.schema([(n, pa.string()) for n in ("paper_id", "paper_doi", "pmcid", "pmid", "source_path", "title", "abstract", "full_text")] + [("sections", pa.list_(section))])
-    return raw.select(F.col(content).alias("content"), F.col(default_id).alias("paper_id"), "source_path").mapInArrow(run, PAPER)
+    arrow = pa.schema([(n, pa.string()) for n in ("paper_id", "paper_doi", "pmcid", "pmid", "source_path", "title", "abstract", "full_text")] + [("sections", pa.list_(section)), ("unparsed", pa.string())])
+    return raw.select(F.col(content).alias("content"), F.col(default_id).alias("paper_id"), "source_path").mapInArrow(run, PAPER + ", unparsed string")
 
 
 def looks_like_xml(content: Column) -> Column:
@@ -223,8 +311,53 @@ def looks_like_xml(content: Column) -> Column:
 
 
 def parse_documents(raw: DataFrame) -> DataFrame:
-    """Papers of (content, paper_id, source_path): JATS where it parses, else HTML."""
+    """Papers of (content, paper_id, source_path): JATS where it parses, else HTML.
+
+    Each document is parsed once: what the JATS walk can't read goes on to the
+    HTML expressions in the same pass.
+    """
     kind = looks_like_xml(F.coalesce("content", F.lit("")))
     xml = parse_jats(raw.filter(kind))
-    rest = raw.filter(~kind).unionByName(raw.filter(kind).join(xml.select("source_path").distinct(), "source_path", "left_anti").select(*raw.columns))
-    return xml.unionByName(parse_html(rest))
+    page = parse_html(xml.select(F.col("unparsed").alias("content"), "paper_id", "source_path", F.struct(*[F.col(c) for c in xml.columns]).alias("xml")), keep=("xml",))
+    both = page.select(*[F.when(F.col("xml.unparsed").isNull(), F.col(f"xml.{c}")).otherwise(F.col(c)).alias(c) for c in page.columns if c != "xml"])
+    return both.unionByName(parse_html(raw.filter(~kind)))
+
+
+def parse_files(files: DataFrame, read_pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """Papers of files (source_path, paper_id, bytes) by their suffix.
+
+    HTML and XML go to parse_documents(); a PDF's pages come from read_pages, an
+    injected reader (bytes to page texts), and a PDF it can't read has a record
+    without text. Without a reader PDF files raise an error, as do files of any
+    other kind: when the rows are read, not before.
+    """
+    known = F.regexp_extract(F.lower("source_path"), r"\.(html?|n?xml|pdf)$", 1)
+    kind = F.when(known == "", F.raise_error(F.concat(F.lit("unsupported file type: "), F.col("source_path")))).otherwise(known)
+    if read_pages is None:
+        kind = F.when(kind == "pdf", F.raise_error(F.concat(F.lit("no reader of PDF pages given: "), F.col("source_path")))).otherwise(kind)
+        return parse_documents(files.withColumn("kind", kind).filter("kind <> 'pdf'").select(decoded(F.col("bytes")).alias("content"), "paper_id", "source_path"))
+    files = files.withColumn("kind", kind)
+    papers = parse_documents(files.filter("kind <> 'pdf'").select(decoded(F.col("bytes")).alias("content"), "paper_id", "source_path"))
+    return papers.unionByName(parse_pages(pdf_pages(files.filter("kind = 'pdf'"), read_pages)))
+
+
+def decoded(data: Column) -> Column:
+    """Bytes as text; those that are not UTF-8 are left out."""
+    text = data.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+
+
+def pdf_pages(files: DataFrame, read_pages: Callable[[bytes], list[str]]) -> DataFrame:
+    """(path, page, text) of PDF files (source_path, bytes) by an injected reader; an unreadable file is one empty page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(*[batch.column(c).to_pylist() for c in ("source_path", "bytes")], strict=True):
+                try:
+                    texts = list(read_pages(data)) or [""]
+                except Exception:  # noqa: BLE001 - one broken file must not end the job
+                    texts = [""]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(texts)), pa.array(range(1, len(texts) + 1), pa.int32()), pa.array(texts, pa.string())], ["path", "page", "text"])
+
+    reach_workers(files.sparkSession)
+    return files.select("source_path", "bytes").mapInArrow(run, "path string, page int, text string")

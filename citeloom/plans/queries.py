@@ -390,7 +390,7 @@ def gt_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 V_PAPERS = """select doc_id, text as abstract, text as full_text, case when doc_id % 5 = 0 then 'Results' when doc_id % 5 = 1 then 'Data Availability' else 'Discussion' end as title,
-  case when doc_id % 3 = 0 then 'Data are in GSE' || cast(doc_id as string) || '.' || chr(10) || chr(10) || 'Nothing here.' || chr(10) || chr(10) || 'See also PRIDE.' else left(text, 300) end as body from {documents}"""
+  case when doc_id % 3 = 0 then 'Data are in GSE' || cast(doc_id as string) || '.' || chr(10) || chr(10) || 'Nothing here.' || chr(10) || chr(10) || 'See also PRIDE.' || chr(10) || chr(10) || text else text end as body from {documents}"""
 PAPERS_CTE = "p as (" + V_PAPERS.replace("{documents}", "documents") + ")"
 
 
@@ -404,7 +404,7 @@ _TRIM = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 _HEAD = f"regexp_matches(title, {q(candidates.HEADINGS)})"
 _FALL = f"case when coalesce({_TRIM('abstract')}, '') = '' then '' else '### Abstract' || chr(10) || {_TRIM('abstract')} || case when 23800 - length('### Abstract' || chr(10) || {_TRIM('abstract')}) > 0 then chr(10) || chr(10) || '### [fallback: tail of paper body]' || chr(10) || right({_TRIM('full_text')}, greatest(23800 - length('### Abstract' || chr(10) || {_TRIM('abstract')}), 0)) else '' end end"
 PASSAGES_SQL = f"""with {PAPERS_CTE}, t as (select doc_id, case
-  when doc_id % 3 = 0 then '### ' || title || chr(10) || 'Data are in GSE' || cast(doc_id as string) || '.' || chr(10) || chr(10) || '### ' || title || chr(10) || 'See also PRIDE.' || case when {_HEAD} then chr(10) || chr(10) || '### ' || title || chr(10) || body else '' end
+  when doc_id % 3 = 0 then '### ' || title || chr(10) || 'Data are in GSE' || cast(doc_id as string) || '.' || chr(10) || chr(10) || '### ' || title || chr(10) || 'See also PRIDE.' || case when {_HEAD} then chr(10) || chr(10) || '### ' || title || chr(10) || {_TRIM('body')} else '' end
   when {_HEAD} and {_TRIM('body')} <> '' then '### ' || title || chr(10) || {_TRIM('body')} else {_FALL} end as txt from p)
 select doc_id, case when length(txt) > 24000 then left(txt, 24000) || chr(10) || chr(10) || '[... truncated for prompt budget ...]' else txt end as candidate_passages from t"""
 
@@ -427,10 +427,11 @@ def passages_to_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strip_sql() -> str:
+    # Written out here, not taken from the operator: elements with an end tag, then those without.
     out = "regexp_replace(html, '<!--(.|\\n)*?-->', '', 'g')"
-    for tag in sections.DROPPED:
+    for tag in "script style noscript iframe video audio canvas svg object button select textarea form head".split():
         out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
-    return out
+    return f"regexp_replace({out}, '(?is)<(img|embed|input|meta|link)\\b[^>]*>', '', 'g')"
 
 
 def _plain_sql(x: str) -> str:
@@ -445,20 +446,43 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.sha2(sections.plain(sections.strip_non_content(F.col("html"))), 256).alias("digest"))
 
 
-@query(f"select page_id, {_plain_sql('regexp_extract(' + _strip_sql() + ', ' + q('(?is)<h1' + chr(92) + 'b[^>]*>(.*?)</h1>') + ', 1)')} as title from pages")
+def _element_sql(html: str, tag: str) -> str:
+    return f"regexp_extract({html}, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1)"
+
+
+@query(f"with s as (select page_id, {_strip_sql()} as h from pages) select page_id, coalesce(nullif({_plain_sql(_element_sql('h', 'article-title'))}, ''), nullif({_plain_sql(_element_sql('h', 'title'))}, ''), {_plain_sql(_element_sql('h', 'h1'))}) as title from s")
 def html_title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", sections.find_title(F.col("html")).alias("title"))
 
 
-@query()
+_BLOCK = "|".join(f"<{t}\\b[^>]*>.*?</{t}\\s*>" for t in ("h1", "h2", "h3", "h4", "p", "li", "blockquote", "figcaption"))
+HTML_SECTIONS_SQL = f"""with s as (select url, {_strip_sql()} as h from pages),
+m as (select url, h, coalesce(nullif(regexp_extract(h, '(?is)<main\\b[^>]*>(.*)</main\\s*>', 1), ''), nullif(regexp_extract(h, '(?is)<article\\b[^>]*>(.*)</article\\s*>', 1), ''), h) as body,
+  coalesce(nullif({_plain_sql(_element_sql('h', 'article-title'))}, ''), nullif({_plain_sql(_element_sql('h', 'title'))}, ''), {_plain_sql(_element_sql('h', 'h1'))}) as title from s),
+f as (select url, title, regexp_extract_all(body, '(?is){_BLOCK}') as found from m),
+b as (select url, title, i, {_plain_sql('found[i]')} as txt, regexp_matches(found[i], '(?i)^<h[1-4]') as head, regexp_matches(found[i], '(?i)^<figcaption') as cap from f, unnest(generate_series(1, len(found))) t(i)),
+n as (select *, sum(head::int) over (partition by url order by i) as k from b where head or txt <> ''),
+g as (select url, title, k, coalesce(max(txt) filter (head), '') as section_title, coalesce(string_agg(case when cap then '[CAPTION] ' || txt else txt end, chr(10) order by i) filter (not head), '') as section_text from n group by url, title, k)
+select f.url as source_path, f.title, g.section_title, g.section_text, 'body/sec[' || cast(g.k as string) || ']' as section_path from f left join g on f.url = g.url and (g.section_title <> '' or g.section_text <> '')"""
+
+
+@query(HTML_SECTIONS_SQL)
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("html").alias("content"), F.col("page_id").cast("string").alias("paper_id"), F.col("url").alias("source_path"))
     return sections.parse_html(raw).select("source_path", "title", F.explode_outer("sections").alias("s")).select("source_path", "title", "s.section_title", "s.section_text", "s.section_path")
 
 
-_LINES = "l as (select doc_id, i as pos, string_split(text, chr(10))[i] as line from documents, unnest(generate_series(1, len(string_split(text, chr(10))))) t(i))"
-_CAPS = "(upper(trim(line)) = trim(line) and lower(trim(line)) <> trim(line) and not regexp_matches(line, '\\d') and length(trim(line)) between 4 and 60)"
-_ISHEAD = f"(trim(line) <> '' and length(trim(line)) <= 100 and (regexp_matches(trim(line), {q(sections.NUMBERED)}) or regexp_matches(trim(line), {q(sections.NAMED)}) or {_CAPS}))"
+_ENDS = "'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'"
+_LINES = f"w as (select doc_id, regexp_split_to_array(coalesce(text, ''), {_ENDS}) as a from documents), l as (select doc_id, i as pos, a[i] as line from w, unnest(generate_series(1, len(a))) t(i))"
+# The rules of headings, written out here: numbered, named, or short capitals.
+_NUMBERED = r"^\s*[0-9]+(\.[0-9]+)*\s+[A-Z][-A-Za-z0-9 ,/]{2,80}\s*$"
+_NAMES = "abstract|introduction|methods?|materials and methods|results?|discussion|conclusions?|references|acknowledge?ments?|acknowledg|data availability|data availability statement|code availability|availability of data and materials?|supplementary information|supplementary materials?"
+_CAPS = "(upper(trim(line)) = trim(line) and lower(trim(line)) <> trim(line) and not regexp_matches(line, '[0-9]') and length(trim(line)) > 3 and length(trim(line)) < 60)"
+_ISHEAD = f"(trim(line) <> '' and length(trim(line)) <= 100 and (regexp_matches(trim(line), {q(_NUMBERED)}) or regexp_matches(trim(line), '(?i)^({_NAMES})$') or {_CAPS}))"
+_CLOSING = "(?i)^([0-9]+(\\.[0-9]+)*\\s+)?(references?|bibliography|acknowledge?ments?|acknowledg|author\\s+contributions?|competing\\s+interests?|conflict\\s+of\\s+interest|ethics?\\s+(statement|declaration)s?|funding)\\s*$"
+_PAGE_SECTIONS = f"""{_LINES}, h as (select *, {_ISHEAD} as head from l), o as (select *, sum(head::int) over (partition by doc_id order by pos) as ordinal from h),
+e as (select doc_id, min(ordinal) as last from o where head and regexp_matches(trim(line), '{_CLOSING}') group by 1),
+g as (select o.doc_id, ordinal, coalesce(max(trim(line)) filter (head), '') as section_title, coalesce({_TRIM("string_agg(line, chr(10) order by pos) filter (not head)")}, '') as section_text, max(case when head then 1 end) as page from o left join e on o.doc_id = e.doc_id where last is null or ordinal < last group by 1, 2)"""
 
 
 def v_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,11 +495,24 @@ def pdf_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("path").agg(F.count_if(sections.is_heading(F.col("line"))).alias("headings"), F.count("*").alias("lines"))
 
 
-@query()
+@query(f"with {_PAGE_SECTIONS} select cast(doc_id as string) as path, ordinal::bigint as ordinal, section_title, section_text, page::int as page from g where section_title <> '' or section_text <> ''")
 def pdf_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.page_sections(v_pages(spark, sf_dir))
 
 
+PDF_PAPERS_SQL = f"""with {_PAGE_SECTIONS}, t as (select doc_id, first(trim(line) order by pos) as title from l where trim(line) <> '' group by 1),
+k as (select doc_id, count(*) as n_sections, trim(string_agg(case when section_title = '' then section_text when section_text = '' then section_title else section_title || chr(10) || section_text end, chr(10) order by ordinal), chr(10) || chr(9) || ' ') as body, first(section_text order by ordinal) filter (starts_with(lower(section_title), 'abstract')) as abstract from g where section_title <> '' or section_text <> '' group by 1)
+select cast(d.doc_id as string) as source_path, coalesce(t.title, '') as title, coalesce(k.abstract, '') as abstract, coalesce(k.n_sections, 0)::int as n_sections, sha256(coalesce(k.body, d.text, '')) as text_sha256,
+  coalesce(regexp_extract(d.text, '(?i)10\\.[0-9]{{4,9}}/[-\\w./:;()<>]+'), '') as paper_doi, coalesce(upper(regexp_extract(d.text, '(?i)pmc[0-9]{{4,}}')), '') as pmcid, coalesce(regexp_extract(d.text, '(?i)\\bpmid[:\\s]*([0-9]{{4,9}})\\b', 1), '') as pmid
+from documents d left join t on d.doc_id = t.doc_id left join k on d.doc_id = k.doc_id"""
+
+
+@query(PDF_PAPERS_SQL)
+def pdf_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = sections.parse_pages(v_pages(spark, sf_dir))
+    return papers.select("source_path", "title", "abstract", F.size("sections").alias("n_sections"), F.sha2("full_text", 256).alias("text_sha256"), "paper_doi", "pmcid", "pmid")
+
+
 @query()
 def llm_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = v_papers(spark, sf_dir).select(F.col("doc_id").cast("string").alias("paper_id"), F.lit("").alias("paper_doi"), F.lit("").alias("pmcid"), F.lit("").alias("pmid"), "sections", "abstract", "full_text")

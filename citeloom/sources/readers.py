@@ -1,4 +1,4 @@
-"""Readers of papers, ground truth, predictions, URL lists and run metrics."""
+"""Readers of papers, ground truth, predictions and URL lists."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.identifiers import classify_url, is_na, normalize_doi, normalize_identifier, normalize_repository, present, slug, strip
 from citeloom.functions.registry import NA
+from citeloom.operators.sections import decoded
 
 PAPER_FILES = r"(?i)\.(html?|n?xml|pdf)$"
 #: Column names that ground-truth files use, by field, in order (fixed values).
@@ -35,9 +36,9 @@ def paper_files(spark: SparkSession, folder: str, least_bytes: int = 0) -> DataF
 
 
 def paper_texts(files: DataFrame) -> DataFrame:
-    """(content, paper_id, source_path) of the files that are not PDF; null where the bytes are not UTF-8."""
+    """(content, paper_id, source_path) of the files that are not PDF; bytes that are not UTF-8 are left out."""
     text = files.filter(~F.col("source_path").rlike(r"(?i)\.pdf$"))
-    return text.select(F.try_validate_utf8(F.col("bytes").cast("string")).alias("content"), "paper_id", "source_path")
+    return text.select(decoded(F.col("bytes")).alias("content"), "paper_id", "source_path")
 
 
 def has_papers(spark: SparkSession, folder: str) -> bool:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from citeloom.operators import candidates, extract, flatten, match, metrics, report, sections
@@ -77,7 +78,38 @@ def test_html_and_jats(spark):
 def test_page_sections(spark):
     pages = spark.createDataFrame([("a", 1, "A Title\nAbstract\nsome words\n1 Introduction\nbody"), ("a", 2, "more\nReferences\n[1] cut")], "path string, page int, text string")
     got = [(r.section_title, r.section_text, r.page) for r in sections.page_sections(pages).orderBy("ordinal").collect()]
-    assert got == [("", "A Title", 1), ("Abstract", "some words", 1), ("1 Introduction", "body\nmore", 1)]
+    assert got == [("", "A Title", None), ("Abstract", "some words", 1), ("1 Introduction", "body\nmore", 1)]
+
+
+def test_page_papers(spark, tmp_path):
+    pages = spark.createDataFrame([("in/a.pdf", 2, "more\nReferences\n[1] cut 10.1234/abc"), ("in/a.pdf", 1, "\n A Title \nAbstract\nsome words\n\nend\n1 Introduction\nsee PMID: 12345"), ("b.pdf", 1, None), ("c.pdf", 1, "References\nall cut")], "path string, page int, text string")
+    got = {r.source_path: r for r in sections.parse_pages(pages).collect()}
+    a = got["in/a.pdf"]
+    assert (a.paper_id, a.paper_doi, a.pmid, a.title, a.abstract) == ("12345", "10.1234/abc", "12345", "A Title", "some words\n\nend")
+    assert [(s.section_title, s.section_path, s.page) for s in a.sections] == [("", "body/sec[0]", None), ("Abstract", "body/sec[1]", 1), ("1 Introduction", "body/sec[2]", 1)]
+    assert a.full_text == "A Title\nAbstract\nsome words\n\nend\n1 Introduction\nsee PMID: 12345\nmore"
+    assert (got["b.pdf"].paper_id, got["b.pdf"].full_text, got["b.pdf"].title) == ("b", "", "") and got["c.pdf"].full_text == "References\nall cut"
+    (tmp_path / "x.pdf").write_bytes(b"first page|Abstract\nGSE1")
+    (tmp_path / "y.html").write_bytes(b"<p>caf\xc3\xa9 \xff ok</p>")
+    (tmp_path / "z.xml").write_text("<article><p>broken <b></p>")
+    files = readers.paper_files(spark, str(tmp_path))
+    papers = {r.source_path.rsplit("/", 1)[1]: r for r in sections.parse_files(files, lambda data: data.decode().split("|")).collect()}
+    assert papers["x.pdf"].abstract == "GSE1" and papers["y.html"].full_text == "café ok" and papers["z.xml"].full_text == "broken"
+    with pytest.raises(Exception, match="no reader"):
+        sections.parse_files(files).collect()
+    with pytest.raises(Exception, match="unsupported file type"):
+        sections.parse_files(spark.createDataFrame([("a.doc", "a", b"")], "source_path string, paper_id string, bytes binary")).collect()
+
+
+def test_html_parts(spark):
+    page = "<title>stray</title><header><p>kept</p></header><main class='x'><h2>Empty</h2><h2>Data</h2><aside><p>aside too</p></aside><span class='the abstract'>short</span></main><p>outside</p><meta name=a><input><img src=x>"
+    jats = '<article><front><notes notes-type="data"><sec><p>one</p><p>two</p></sec></notes></front><body><sec><title>R</title><boxed-text>b</boxed-text><fig><label>1</label><caption><p>C</p></caption></fig></sec></body><back><ref-list><ref>no</ref></ref-list><fn><p>foot</p></fn><sec><p>S</p></sec></back></article>'
+    raw = spark.createDataFrame([(page, "p", "p.html"), (jats, "j", "j.xml")], "content string, paper_id string, source_path string")
+    got = {r.source_path: r for r in sections.parse_documents(raw).collect()}
+    p, j = got["p.html"], got["j.xml"]
+    assert p.title == "stray" and p.abstract == "short"
+    assert [(s.section_title, s.section_text, s.section_path) for s in p.sections] == [("Empty", "", "body/sec[1]"), ("Data", "aside too", "body/sec[2]")]
+    assert [(s.section_title, s.section_text, s.section_path) for s in j.sections] == [("data", "one\ntwo", "front/notes[1]"), ("R", "b\n[CAPTION] C", "body/sec[1]"), ("[fig]", "C", "fig"), ("", "S", "back/sec[1]"), ("[footnote]", "foot", "back/fn[1]")]
 
 
 def test_extractors(spark):
