@@ -8,19 +8,32 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import forget, materialise
 
 
+SALTS = 32
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): edges with the least v of their u.
+
+    The edges of a node are spread over SALTS keys and meet in two levels, so
+    the centre of a large star is no hot key.
+    """
+    rows = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    first = rows.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    told = first.select("u", "salt").join(first.groupBy("u").agg(F.min("m").alias("m")), "u")
+    return rows.join(told, ["u", "salt"]).drop("salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is hung on the node's least neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    joined = both.join(least, "u").filter("v > u")
-    return joined.select(F.col("v").alias("u"), F.least("m", F.col("u")).alias("v")).distinct()
+    return _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", F.col("u")).alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are hung on the least of these."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hung = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    held = _with_least(edges)
+    hung = held.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.unionByName(held.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
