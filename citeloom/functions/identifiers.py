@@ -32,6 +32,21 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def first_of(items: Column, key) -> Column:
+    """Array elements whose key(element) no earlier element has, in order; by a sort, not by comparing all with all."""
+
+    def firsts(order: Column) -> Column:
+        fresh = lambda x, i: F.when(i == 0, True).otherwise(~F.try_element_at(order, i)["key"].eqNullSafe(x["key"]))
+        marked = F.transform(order, lambda x, i: F.when(fresh(x, i), x["at"]))
+        return F.array_sort(F.filter(marked, lambda at: at.isNotNull()))
+
+    def chosen(held: Column) -> Column:
+        keyed = F.array_sort(F.transform(held, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"))))
+        return F.transform(let(keyed, firsts), lambda at: F.element_at(held, at + 1))
+
+    return let(items, chosen)
+
+
 def strip(c: str | Column) -> Column:
     """Without blanks (of any script) at either end; null stays null."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")

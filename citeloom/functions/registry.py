@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from dataclasses import dataclass
 from itertools import chain
@@ -31,6 +33,21 @@ class Repository:
 _DOI_SHAPE = r"^10\.\d{4,9}/.+$"
 _DOI_URL = "https://doi.org/{id}"
 
+#: Names a JSON file with a list of entries (canonical, aliases, prefixes,
+#: identifier_pattern, synonym_group, url_template) that is used instead.
+REGISTRY_FILE = "CITELOOM_REGISTRY"
+
+
+def load_registry(path: str) -> tuple[Repository, ...]:
+    """The entries of a JSON file, in its order; only canonical is needed."""
+    with open(path, encoding="utf-8") as f:
+        entries = json.load(f)
+    entries = entries.get("repositories", []) if isinstance(entries, dict) else entries
+    return tuple(
+        Repository(e["canonical"], tuple(e.get("aliases") or ()), tuple(e.get("prefixes") or ()), e.get("identifier_pattern") or "", e.get("synonym_group") or e["canonical"].lower(), e.get("url_template") or "") for e in entries
+    )
+
+
 # Names, prefixes, identifier shapes, synonym groups and URL
 # templates of the public repositories, in registry order.
 REGISTRY = (
@@ -61,6 +78,8 @@ REGISTRY = (
     Repository("HumanProteinAtlas", ("Human Protein Atlas", "HPA"), (), "", "hpa", "https://www.proteinatlas.org/{id}"),
     Repository("DOI", ("DOI",), (), _DOI_SHAPE, "doi", _DOI_URL),
 )
+if os.environ.get(REGISTRY_FILE):
+    REGISTRY = load_registry(os.environ[REGISTRY_FILE])
 # Prefixes of identifiers that are written in upper case.
 UPPER_PREFIXES = (
     "GSE", "GSM", "GPL", "GDS", "PXD", "MSV", "JPST", "IPX", "PASS", "E-MTAB", "E-GEOD", "E-PROT", "E-MEXP", "SRP", "SRR", "SRX",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.identifiers import looks_relevant, strip
+from citeloom.functions.identifiers import first_of, looks_relevant, strip
 
 BUDGET = 24_000
 CUT_MARK = "\n\n[... truncated for prompt budget ...]"
@@ -21,7 +21,9 @@ def chunks(sections: Column, abstract: Column) -> Column:
 
     def paragraphs(s: Column) -> Column:
         label = F.when(blank(s["section_title"]) == "", "(paragraph)").otherwise(s["section_title"])
-        return F.transform(F.filter(F.split(blank(s["section_text"]), r"\n{2,}"), looks_relevant), lambda p: chunk(label, p))
+        # What no section says no paragraph of it does: most sections are tested once.
+        some = F.filter(F.split(blank(s["section_text"]), r"\n{2,}"), looks_relevant)
+        return F.transform(F.when(looks_relevant(s["section_text"]), some).otherwise(F.array().cast("array<string>")), lambda p: chunk(label, p))
 
     first = F.flatten(F.transform(sections, paragraphs))
     second = F.transform(F.filter(sections, lambda s: blank(s["section_title"]).rlike(HEADINGS)), lambda s: chunk(s["section_title"], s["section_text"]))
@@ -31,7 +33,7 @@ def chunks(sections: Column, abstract: Column) -> Column:
 
 def first_by_signature(items: Column, size: int = 200) -> Column:
     """Chunks whose first characters no earlier chunk has."""
-    return F.filter(items, lambda c, i: ~F.exists(F.slice(items, F.lit(1), i), lambda q: F.left(q["text"], F.lit(size)) == F.left(c["text"], F.lit(size))))
+    return first_of(items, lambda c: F.left(c["text"], F.lit(size)))
 
 
 def fallback(abstract: Column, full_text: Column, budget: int = BUDGET) -> Column:

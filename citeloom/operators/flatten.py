@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.identifiers import evidence_inconsistent, infer_known, is_na, let, normalize_identifier, normalize_repository, synonym_group, url_known, validate_identifier
+from citeloom.functions.identifiers import first_of, evidence_inconsistent, infer_known, is_na, let, normalize_identifier, normalize_repository, synonym_group, url_known, validate_identifier
 from citeloom.functions.registry import NA
 
 HEADER = ("paper_id", "paper_doi", "pmcid", "pmid")
@@ -44,7 +44,7 @@ def na_row() -> Column:
 
 def first_of_each(items: Column) -> Column:
     """Array elements whose key no earlier element has."""
-    return F.filter(items, lambda r, i: ~F.exists(F.slice(items, F.lit(1), i), lambda q: q["key"] == r["key"]))
+    return first_of(items, lambda r: r["key"])
 
 
 def flatten_references(raw: DataFrame, refs: str = "dataset_references") -> DataFrame:

@@ -17,25 +17,32 @@ def alias_index(rows: DataFrame, order: str = "row_id") -> DataFrame:
     Rows group by paper_key(); an alias that several groups hold goes to the
     group that appears last.
     """
-    keyed = rows.select(*ALIASES, order, paper_key().alias("paper"))
-    since = keyed.withColumn("since", F.min(order).over(W.partitionBy("paper")))
     pairs = F.array(*[F.concat(F.lit(f"{a}:"), F.lower(present(a))) for a in ALIASES])
-    return since.select("paper", "since", F.explode(pairs).alias("alias")).filter("alias is not null").groupBy("alias").agg(F.max_by("paper", "since").alias("paper"))
+    each = rows.select(paper_key().alias("paper"), order, F.explode(pairs).alias("alias")).filter("alias is not null")
+    # Rows collapse before they move: what is left of a paper are its distinct aliases.
+    held = each.groupBy("paper", "alias").agg(F.min(order).alias("since"))
+    held = held.withColumn("since", F.min("since").over(W.partitionBy("paper")))
+    return held.groupBy("alias").agg(F.max_by("paper", "since").alias("paper"))
 
 
-def resolve_papers(rows: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """rows with ``paper``: its key looked up in the first index, then the second."""
-    keyed = rows.withColumn("own_key", paper_key())
+def resolved(keyed: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """keyed with ``paper``: its own_key looked up in the first index, then the second, else as it is."""
     one = first.select(F.col("alias").alias("own_key"), F.col("paper").alias("p1"))
     two = second.select(F.col("alias").alias("own_key"), F.col("paper").alias("p2"))
     return keyed.join(one, "own_key", "left").join(two, "own_key", "left").withColumn("paper", F.coalesce("p1", "p2", "own_key")).drop("own_key", "p1", "p2")
 
 
-def match_keys(rows: DataFrame, with_repository: bool) -> DataFrame:
-    """Distinct (paper, ds[, repo_group]) of resolved rows."""
+def resolve_papers(rows: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """rows with ``paper``: its key looked up in the first index, then the second."""
+    return resolved(rows.withColumn("own_key", paper_key()), first, second)
+
+
+def match_keys(rows: DataFrame, first: DataFrame, second: DataFrame, with_repository: bool) -> DataFrame:
+    """Distinct (paper, ds[, repo_group]) of rows; they are made distinct before the look-ups, too."""
     ds = F.lower(F.coalesce("dataset_identifier", F.lit(""))).alias("ds")
     group = [synonym_group("repository").alias("repo_group")] if with_repository else []
-    return rows.select("paper", ds, *group).distinct()
+    keys = rows.select(paper_key().alias("own_key"), ds, *group).distinct()
+    return resolved(keys, first, second).select("paper", "ds", *(["repo_group"] if with_repository else [])).distinct()
 
 
 def match(predictions: DataFrame, truth: DataFrame, with_repository: bool = False) -> DataFrame:
@@ -44,8 +51,8 @@ def match(predictions: DataFrame, truth: DataFrame, with_repository: bool = Fals
     Both inputs carry the identity columns, dataset_identifier, repository and row_id.
     """
     gt, pred = alias_index(truth), alias_index(predictions)
-    p = match_keys(resolve_papers(predictions, gt, pred), with_repository)
-    t = match_keys(resolve_papers(truth, gt, pred), with_repository)
+    p = match_keys(predictions, gt, pred, with_repository)
+    t = match_keys(truth, gt, pred, with_repository)
     on = p.columns
     both = p.withColumn("in_p", F.lit(True)).join(t.withColumn("in_t", F.lit(True)), on, "full_outer")
     outcome = F.when(F.col("in_p") & F.col("in_t"), "TP").when(F.col("in_p"), "FP").otherwise("FN")
@@ -66,3 +73,30 @@ def prediction_status(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     met = p.join(t, ["paper", "ds"], "left")
     status = F.when(F.col("groups").isNull(), "FP").when(F.array_contains("groups", F.col("g")), "TP").otherwise("REPO-MISMATCH")
     return met.select("row_id", "paper", "ds", status.alias("status"))
+
+
+def truth_status(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """(row_id, paper, ds, status) of truth rows that name a dataset.
+
+    A prediction picks the first truth row of its paper and dataset that has
+    its repository's group, else the first of them at all. TP if a row is
+    picked, REPO-MISMATCH if only its paper and dataset are predicted, else FN.
+    """
+    gt, pred = alias_index(truth), alias_index(predictions)
+    ds = F.lower(F.coalesce("dataset_identifier", F.lit("")))
+    group = synonym_group("repository").alias("g")
+    p = match_keys(predictions, pred, gt, True).select("paper", "ds", F.col("repo_group").alias("g")).filter("ds not in ('', 'n/a')")
+    t = resolve_papers(truth, gt, pred).select("row_id", "paper", ds.alias("ds"), group).filter("ds not in ('', 'n/a')")
+    named = t.groupBy("paper", "ds", "g").agg(F.min("row_id").alias("same"))
+    any_ = t.groupBy("paper", "ds").agg(F.min("row_id").alias("any"))
+    picked = p.join(named, ["paper", "ds", "g"], "left").join(any_, ["paper", "ds"]).select(F.coalesce("same", "any").alias("row_id"), F.lit(True).alias("picked")).distinct()
+    met = t.join(picked, "row_id", "left").join(p.select("paper", "ds", F.lit(True).alias("met")).distinct(), ["paper", "ds"], "left")
+    status = F.when(F.col("picked"), "TP").when(F.col("met"), "REPO-MISMATCH").otherwise("FN")
+    return met.select("row_id", "paper", "ds", status.alias("status"))
+
+
+def status_tally(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """(side, status, n) of predictions and truth rows."""
+    sides = ((predictions, "prediction", prediction_status), (truth, "truth", truth_status))
+    both = [f(predictions, truth).select(F.lit(name).alias("side"), "status") for _, name, f in sides]
+    return both[0].unionByName(both[1]).groupBy("side", "status").agg(F.count("*").alias("n"))

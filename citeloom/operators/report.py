@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import html
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citeloom.functions.identifiers import display_model, metrics_file
+
 METRICS = ("precision", "recall", "f1")
 
 
@@ -71,3 +74,96 @@ def html_report(statuses: DataFrame, title: str) -> str:
     esc = lambda v: html.escape("" if v is None else str(v))
     rows = "".join(f"<tr><td>{esc(r['paper'])}</td><td>{esc(r['ds'])}</td><td>{esc(r['status'])}</td></tr>" for r in statuses.orderBy("paper", "ds").collect())
     return f"<html><head><title>{esc(title)}</title></head><body><h1>{esc(title)}</h1><table>{rows}</table></body></html>"
+
+
+# -- the report over metrics files ---------------------------------------------
+
+#: Orders and names in reports (fixed values).
+BENCHMARKS, METHODS = ("exp", "rev"), ("rtr", "fdr", "datagatherer_rtr", "datagatherer_fdr")
+SCOPES = (("pair_micro", "Pair"), ("triple_micro", "Triple"))
+_SCORES = "struct<precision:double,recall:double,f1:double,tp:bigint,fp:bigint,fn:bigint,n_papers:bigint>"
+_EXAMPLES = "struct<n:bigint,examples:array<array<string>>>"
+METRICS_FILE = (
+    f"label string, model string, benchmark string, pair_micro {_SCORES}, pair_macro {_SCORES}, triple_micro {_SCORES}, triple_macro {_SCORES}, "
+    "coverage struct<papers_with_predictions:bigint,papers_in_groundtruth:bigint,empty_papers:bigint,total_predictions:bigint,na_predictions:bigint,total_groundtruth:bigint>, "
+    f"failures struct<missed:{_EXAMPLES},hallucinated:{_EXAMPLES},incomplete:{_EXAMPLES}>"
+)
+
+
+def position(c: Column, order: tuple[str, ...]) -> Column:
+    """Where a value stands in a custom order; values not in it come after all others."""
+    return F.coalesce(F.nullif(F.array_position(F.lit(list(order)), c), F.lit(0)), F.lit(99))
+
+
+def load_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each metrics file (JSON) of a folder, as METRICS_FILE says.
+
+    What a file lacks of benchmark, model and label comes from its name. Files
+    that are no JSON objects of metrics are left out.
+    """
+    raw = spark.read.schema(METRICS_FILE + ", _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").option("pathGlobFilter", "*.json").json(folder)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)
+    named = raw.select("*", metrics_file(stem).alias("of")).filter("_broken is null and pair_micro is not null")
+    first = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"of.{d}"), F.lit("")).alias(c)
+    rest = [c for c in raw.columns if c not in ("label", "model", "benchmark", "_broken")]
+    return named.select(first("benchmark", "benchmark"), first("model", "model"), first("label", "method"), *rest)
+
+
+def six_scores(loaded: DataFrame) -> DataFrame:
+    """(benchmark, model, label, scope, metric, value, best): best of its benchmark and model, ties all best."""
+    scores = [F.struct(F.lit(s).alias("scope"), F.lit(m).alias("metric"), F.col(f"{s}.{m}").alias("value")) for s, _ in SCOPES for m in METRICS]
+    each = loaded.select("benchmark", "model", "label", F.explode(F.array(*scores)).alias("e")).select("benchmark", "model", "label", "e.*")
+    top = F.max("value").over(W.partitionBy("benchmark", "model", "scope", "metric"))
+    return each.withColumn("best", F.coalesce(F.col("value") == top, F.lit(False)))
+
+
+def report_order(loaded: DataFrame) -> DataFrame:
+    """Rows by benchmark, model and method, benchmarks and methods in their own order."""
+    return loaded.orderBy(position(F.col("benchmark"), BENCHMARKS), "benchmark", "model", position(F.col("label"), METHODS), "label")
+
+
+def shown(value: Any, places: int = 4) -> str:
+    """A cell: fixed places for fractions, a dash for nothing."""
+    return "-" if value is None else f"{value:.{places}f}" if isinstance(value, float) else str(value)
+
+
+def _detail(row) -> list[str]:
+    pair, triple = row["pair_micro"], row["triple_micro"]
+    lines = ["| Metric | Pair | Triple |", "|---|---|---|"]
+    lines += [f"| {k} | {shown(pair[k] if pair else None)} | {shown(triple[k] if triple else None)} |" for k in (*METRICS, "tp", "fp", "fn")]
+    macro = row["pair_macro"], row["triple_macro"]
+    lines += ["", f"Macro F1: pair **{shown(macro[0] and macro[0]['f1'])}** over {shown(macro[0] and macro[0]['n_papers'])} papers, triple **{shown(macro[1] and macro[1]['f1'])}**."]
+    if cov := row["coverage"]:
+        lines += ["", "Coverage:", *[f"- {name.replace('_', ' ')}: {shown(cov[name])}" for name in cov.asDict()]]
+    for bucket, found in (row["failures"].asDict() if row["failures"] else {}).items():
+        if found and found["n"]:
+            lines += ["", f"**{bucket}** ({found['n']} in all):", *[f"- {', '.join(x)}" for x in (found["examples"] or [])[:5]]]
+    return [*lines, ""]
+
+
+def generate_report(loaded: DataFrame, summaries: DataFrame | None = None) -> str:
+    """The Markdown report over runs: comparison, details, costs.
+
+    loaded: load_metrics(); summaries: (benchmark, model, method, elapsed_sec,
+    tokens, cost_usd). Both have a row for each run.
+    """
+    best = {(r["benchmark"], r["model"], r["label"], r["scope"], r["metric"]): r["best"] for r in six_scores(loaded).collect()}
+    runs = report_order(loaded.withColumn("shown_model", display_model("model"))).collect()
+    out = ["# Dataset references: results", "", "## Comparison", "", "Bold: the best of a benchmark and model.", ""]
+    out += ["| Benchmark | Model | Method | " + " | ".join(f"{title} {m}" for _, title in SCOPES for m in METRICS) + " |", "|" + "---|" * (3 + len(SCOPES) * len(METRICS))]
+    for r in runs:
+        cells = [r["benchmark"].upper(), r["shown_model"], r["label"]]
+        for scope, _ in SCOPES:
+            for m in METRICS:
+                text = shown(r[scope][m] if r[scope] else None)
+                cells.append(f"**{text}**" if best.get((r["benchmark"], r["model"], r["label"], scope, m)) else text)
+        out.append("| " + " | ".join(cells) + " |")
+    out += ["", "## Details", ""]
+    for r in runs:
+        out += [f"### {r['benchmark'].upper()}, {r['shown_model']}, {r['label']}", "", *_detail(r)]
+    if summaries is not None and (costs := report_order(summaries.withColumn("label", F.col("method")).withColumn("shown_model", display_model("model"))).collect()):
+        out += ["## Cost and time", "", "| Benchmark | Model | Method | Time (s) | Input tokens | Cost (USD) |", "|---|---|---|---|---|---|"]
+        for r in costs:
+            tokens = "-" if r["tokens"] is None else f"{int(r['tokens']):,}"
+            out.append(f"| {r['benchmark'].upper()} | {r['shown_model']} | {r['method']} | {shown(r['elapsed_sec'], 1)} | {tokens} | {shown(r['cost_usd'])} |")
+    return "\n".join(out) + "\n"

@@ -7,11 +7,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from citeloom.functions.prompts import FULL_TEXT, PASSAGES, with_prompt
 from citeloom.operators.candidates import select_passages
 from citeloom.operators.extract import Extractor, extract, extract_by_pattern
 from citeloom.operators.flatten import flatten_references
 from citeloom.operators.match import match
 from citeloom.operators.metrics import coverage, failure_buckets, macro_metrics, micro_metrics
+from citeloom.operators.report import top_failures
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -47,14 +49,14 @@ class Pipeline:
 
 
 def passages_pipeline(extractor: Extractor | None = None, folder: str | None = None) -> Pipeline:
-    """Papers to predictions, reading selected passages only."""
-    call = extract_by_pattern if extractor is None else lambda d: extract(d, extractor)
+    """Papers to predictions, reading selected passages only; an extractor gets the whole prompt of a paper."""
+    call = extract_by_pattern if extractor is None else lambda d: extract(with_prompt(d, PASSAGES), extractor, "prompt")
     return Pipeline([("passages", select_passages), ("extract", call), ("flatten", flatten_references)], folder, {"extract"})
 
 
 def full_text_pipeline(extractor: Extractor | None = None, folder: str | None = None) -> Pipeline:
     """Papers to predictions, reading whole texts."""
-    call = (lambda d: extract_by_pattern(d, "full_text")) if extractor is None else (lambda d: extract(d, extractor, "full_text"))
+    call = (lambda d: extract_by_pattern(d, "full_text")) if extractor is None else (lambda d: extract(with_prompt(d, FULL_TEXT), extractor, "prompt"))
     return Pipeline([("extract", call), ("flatten", flatten_references)], folder, {"extract"})
 
 
@@ -65,3 +67,19 @@ def evaluate(predictions: DataFrame, truth: DataFrame) -> dict[str, DataFrame]:
         "pair_micro": micro_metrics(pair), "pair_macro": macro_metrics(pair), "triple_micro": micro_metrics(triple), "triple_macro": macro_metrics(triple),
         "coverage": coverage(predictions, truth), "pair_failures": failure_buckets(pair), "triple_failures": failure_buckets(triple),
     }
+
+
+def metrics_record(predictions: DataFrame, truth: DataFrame, label: str = "", model: str = "", benchmark: str = "", examples: int = 5) -> dict:
+    """All metrics of a run as one JSON-able record, as report.load_metrics() reads it.
+
+    Failures are counted whole; of each kind the first examples in key order are named.
+    """
+    frames = evaluate(predictions, truth)
+    plain = lambda name: frames[name].first().asDict()
+    failures = frames["pair_failures"]
+    counted = {r["bucket"]: r["count"] for r in failures.groupBy("bucket").count().collect()}
+    named: dict[str, list] = {}
+    for r in top_failures(failures, examples).orderBy("bucket", "n").collect():
+        named.setdefault(r["bucket"], []).append([r["paper"], r["ds"]])
+    out = {"label": label, "model": model, "benchmark": benchmark} | {k: plain(k) for k in ("pair_micro", "pair_macro", "triple_micro", "triple_macro", "coverage")}
+    return out | {"failures": {k: {"n": counted[k], "examples": named[k]} for k in sorted(counted)}}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as fn
+from citeloom.functions import prompts
 from citeloom.functions.registry import ACCESSION, CANONICALS, MENTION, REGISTRY, UPPER_PREFIXES, prompt_block_frame
 from citeloom.operators import candidates, extract, flatten, match, metrics, report, sections
 from citeloom.sources import readers
@@ -300,11 +301,51 @@ def vis_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.prediction_status(*sides(spark, sf_dir))
 
 
+_STATUS_CTE = f"""{SIDES_CTE}, {side_index('pred')}, {side_index('truth')},
+p as (select distinct coalesce(o.paper, g.paper, k.paper) as paper, lower(k.dataset_identifier) as ds, {s_group('repository')} as grp from pred_k k left join pred_a o on o.alias = k.paper left join truth_a g on g.alias = k.paper where lower(k.dataset_identifier) not in ('', 'n/a')),
+t as (select row_id, coalesce(g.paper, o.paper, k.paper) as paper, lower(k.dataset_identifier) as ds, {s_group('repository')} as grp from truth_k k left join truth_a g on g.alias = k.paper left join pred_a o on o.alias = k.paper where lower(k.dataset_identifier) not in ('', 'n/a')),
+c as (select p.paper, p.ds, p.grp, coalesce(min(t.row_id) filter (t.grp = p.grp), min(t.row_id)) as row_id from p join t on t.paper = p.paper and t.ds = p.ds group by 1, 2, 3),
+ts as (select row_id, paper, ds, case when row_id in (select row_id from c) then 'TP' when exists (select 1 from p where p.paper = t.paper and p.ds = t.ds) then 'REPO-MISMATCH' else 'FN' end as status from t)"""
+
+
+@query(f"with {_STATUS_CTE} select row_id, paper, ds, status from ts")
+def truth_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.truth_status(*sides(spark, sf_dir))
+
+
+@query(f"""with {_STATUS_CTE}, q as (select k.row_id, coalesce(o.paper, g.paper, k.paper) as paper, lower(k.dataset_identifier) as ds, {s_group('repository')} as grp from pred_k k left join pred_a o on o.alias = k.paper left join truth_a g on g.alias = k.paper where lower(k.dataset_identifier) not in ('', 'n/a')),
+ps as (select case when exists (select 1 from t where t.paper = q.paper and t.ds = q.ds and t.grp = q.grp) then 'TP' when exists (select 1 from t where t.paper = q.paper and t.ds = q.ds) then 'REPO-MISMATCH' else 'FP' end as status from q)
+select 'prediction' as side, status, count(*) as n from ps group by 2 union all select 'truth', status, count(*) from ts group by 2""")
+def status_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.status_tally(*sides(spark, sf_dir))
+
+
+@query(f"with {matched_cte(False)}, b as (select case when outcome = 'FN' then 'missed' when regexp_matches(ds, '^[a-z]{{1,4}}$') then 'incomplete' else 'hallucinated' end as bucket, length(ds) % 2 as half from matched where outcome <> 'TP') select bucket, cast(count(*) filter (half = 0) as bigint) as left_n, cast(count(*) filter (half = 1) as bigint) as right_n from b group by 1")
+def failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failures = metrics.failure_buckets(match.match(*sides(spark, sf_dir)))
+    return metrics.failure_counts(failures.filter("length(ds) % 2 = 0"), failures.filter("length(ds) % 2 = 1"))
+
+
 @query("with c as (select cast(sum(length(text)) as bigint) as input_chars from documents), t as (select *, cast(floor(input_chars * 0.25) as bigint) as i from c), o as (select *, cast(floor(i * 0.1) as bigint) as w from t) select input_chars, i as approx_input_tokens, w as approx_output_tokens, round(i / 1000 * 0.00015 + w / 1000 * 0.0006, 6) as approx_cost_usd from o")
 def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.token_cost(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.length("text"))
 
 
+@query("""with c as (select count(*) as n_papers, sum(length(cast(doc_id as string)) + length(source) + length(lang)) as header, sum(length(coalesce(text, ''))) as body from documents),
+e as (select 'rtr' as strategy, n_papers, header + body + 3200 * n_papers as chars from c union all select 'fdr', n_papers, header + 2 * body + 3800 * n_papers from c)
+select strategy, n_papers, chars::bigint as input_chars, chars * 0.25::double as input_tokens, chars * 0.25::double * 0.1::double as output_tokens, round(chars * 0.25::double / 1000 * 0.00015::double + chars * 0.25::double * 0.1::double / 1000 * 0.0006::double, 6) as cost_usd from e""")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return metrics.token_estimate(d.select(F.col("doc_id").cast("string").alias("paper_id"), F.lit("").alias("paper_doi"), F.lit(None).cast("string").alias("pmcid"), F.col("source").alias("pmid"), F.col("lang").alias("title"), F.col("text").alias("candidate_passages"), F.concat("text", "text").alias("full_text")))
+
+
+@query("select doc_id, sha256('Paper ' || cast(doc_id as string) || ' of ' || coalesce(source, '') || ' <>' || chr(10) || coalesce(text, '') || chr(10) || 'X {{LEFT}}') as digest from documents")
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = prompts.with_prompt(d, "Paper {{ input.doc_id }} of {{input.source}} <{{ input.no_such }}>\n{{ input.text }}\n{{NAME}} {{LEFT}}", NAME="X")
+    return made.select("doc_id", F.sha2("prompt", 256).alias("digest"))
+
+
 @query("select event_type, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as std, count(value) as n from events group by event_type")
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value")
@@ -329,6 +370,16 @@ def matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.matrix(v_metrics(spark, sf_dir))
 
 
+_SIX = "precision recall f1".split()
+
+
+@query(f"with {METRICS_CTE}, w as (select benchmark, model, method as label, " + ", ".join(f"max(value) filter (metric = '{m}') as {m}" for m in _SIX) + " from v group by 1, 2, 3), e as (" + " union all ".join(f"select benchmark, model, label, '{scope}' as scope, '{m}' as metric, {sign}{m} as value from w" for scope, sign in (("pair_micro", ""), ("triple_micro", "-")) for m in _SIX) + ") select *, coalesce(value = max(value) over (partition by benchmark, model, scope, metric), false) as best from e")
+def six_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = report.matrix(v_metrics(spark, sf_dir))
+    scores = lambda sign: F.struct(*[(sign * F.col(m)).alias(m) for m in _SIX])
+    return report.six_scores(wide.select("benchmark", "model", F.col("method").alias("label"), scores(F.lit(1.0)).alias("pair_micro"), scores(F.lit(-1.0)).alias("triple_micro")))
+
+
 @query(f"with {METRICS_CTE}, w as (select benchmark, model, max(value) filter (method = 'm0') as m0, max(value) filter (method = 'm1') as m1 from v group by 1, 2) select benchmark, model, 'm0' as method, m0 as cost_usd from w where m0 is not null union all select benchmark, model, 'm1', m1 from w where m1 is not null")
 def cost_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = v_metrics(spark, sf_dir).groupBy("benchmark", "model").pivot("method", ["m0", "m1"]).agg(F.max("value"))
@@ -372,6 +423,11 @@ def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_urls(spark, sf_dir).select("row_id", fn.classify_url("url").alias("kind"), fn.pmcid_from_url("url").alias("pmcid"))
 
 
+@query(f"with {URLS_CTE} select case when regexp_matches(url, '(?i)PMC\\d{{4,}}') then 'pmc' when regexp_matches(url, '(?i)doi\\.org/') then 'doi' else 'other' end as kind, count(*) as n from u group by 1")
+def url_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v_urls(spark, sf_dir).groupBy(fn.classify_url("url").alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query(f"with {URLS_CTE} select coalesce(nullif(upper(regexp_extract(url, '(?i)PMC\\d{{4,}}', 0)), ''), regexp_extract(rtrim(url, '/'), '([^/]*)$', 1)) as paper_id, min_by(url, row_id) as url from u group by 1")
 def first_url_per_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.first_urls(v_urls(spark, sf_dir))
