@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import exact, near, packing, pii, quality
-from citeloom.llm.common import materialise, prepare, read_table, text_of
+from citeloom.llm.common import fresh, materialise, prepare, read_table, text_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Documents of a lower score are rejected.
@@ -23,7 +23,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drop the documents that the compression classifier rejects."""
     prepare(spark)
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, "text", "_score").filter(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    score = fresh(docs, "score")
+    return quality.scored(docs, model, "text", score).filter(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,8 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Replace personal data, and terms that reveal it, by the names of their kinds."""
     prepare(spark)
     found = pii.find(docs, "doc_id", "text")
-    clean = found.withColumn("text", F.when(F.size("spans") > 0, pii.sanitise(text_of("text"), F.col("spans"))).otherwise(F.col("text")))
+    spans = F.col(found.columns[-1])
+    clean = found.withColumn("text", F.when(F.size(spans) > 0, pii.sanitise(text_of("text"), spans)).otherwise(F.col("text")))
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
