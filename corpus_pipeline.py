@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import exact, near, packing, pii, quality
-from citeloom.llm.common import fresh, materialise, prepare, read_table, text_of
+from citeloom.llm.common import forget, fresh, materialise, prepare, read_table, text_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Documents of a lower score are rejected.
@@ -69,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
