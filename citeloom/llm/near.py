@@ -395,8 +395,7 @@ def similar_components(items: DataFrame, plan: Plan = Plan()) -> DataFrame:
     wanted = members.select(F.explode(F.array("id", "lead")).alias("id")).distinct()
     known = materialise(text_sets(items.join(wanted.hint("merge"), "id", "left_semi"), plan), "sets")
     judged = verified(likely(members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), briefs, plan), known, plan)
-    links = materialise(judged.filter("linked").select("a", "b"), "links")
-    labels = components(links)
+    labels = components(judged.filter("linked").select("a", "b"))
     # The leaders have no pair left; what they have brought together needs none.
     rest = labelled(members, labels)
     if not rest.isEmpty():
@@ -407,20 +406,24 @@ def similar_components(items: DataFrame, plan: Plan = Plan()) -> DataFrame:
         none = F.lit(None).cast("binary")
         pairs = materialise(bucket_pairs(placed.join(briefs, "id").withColumn("hashes", none), plan), "pairs")
         judged = materialise(verified(pairs, known, plan), "judged")
-        links = links.unionByName(judged.filter("linked").select("a", "b"))
-        labels = components(links)
+        labels = further(labels, judged.filter("linked").select("a", "b"))
         open_ = pairs.join(judged.filter("not linked"), ["a", "b"]).select("key", "i", "j").distinct()
         hidden = labelled(placed.drop("label").join(open_, ["key", "i", "j"], "left_semi"), labels, ("key", "i", "j"))
         if not hidden.isEmpty():
-            more = materialise(bucket_pairs(hidden.join(briefs, "id").join(known, "id"), plan), "more").select("a", "b")
-            if not more.isEmpty():
-                labels = components(links.unionByName(more))
+            labels = further(labels, materialise(bucket_pairs(hidden.join(briefs, "id").join(known, "id"), plan), "more").select("a", "b"))
         forget(placed, pairs, judged)
     forget(reps, met, known, rest)
     out = owned.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("id", "n", F.coalesce("component", "rep", "id").alias("component"))
 
 
+def further(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after more links (a, b); the components so far are stars to begin with."""
+    if links.isEmpty():
+        return labels
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def labelled(members: DataFrame, labels: DataFrame, unit: tuple[str, ...] = ("key",)) -> DataFrame:
     """members with the component of each (label), of units that hold several components."""
     named = labels.select(F.col("node").alias("id"), F.col("component").alias("label"))
