@@ -54,7 +54,9 @@ from citeloom.llm.hashing import least, mixed, runs, word_hashes
 WIDTH, SHINGLE, PERCENT = 25, 5, 80
 GRAM, RUN = 8, 17
 PARAGRAPH, OFFSETS, MARK_BITS = 20, (0, 6, 12), 21
-GAP, EDIT, AROUND = 64, 8, 32
+GAP, EDIT, AROUND, SKIP = 64, 8, 32, 3
+#: Skips (in one text, in the other) tried at an edit, the smallest first.
+SKIPS = sorted(((x, y) for x in range(SKIP + 1) for y in range(SKIP + 1) if x or y), key=lambda s: (max(s), sum(s)))
 SALTS, SAMPLE_DOCS, HOT_SHARE, HOT_LEAST = 64, 10_000, 1e-4, 64
 ROWS_AT_ONCE = 256
 NO_ID = -(2**63)
@@ -221,6 +223,23 @@ def stretches(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int, int]]) -
     return out
 
 
+def onward(a: np.ndarray, b: np.ndarray, i: int, j: int) -> list[tuple[int, int, int]]:
+    """Stretches of equal words that go on from (i, j), each over an edit of SKIP words at most."""
+    out = []
+    while True:
+        for x, y in SKIPS:
+            u, v = i + x, j + y
+            size = min(len(a) - u, len(b) - v)
+            if size >= SHINGLE and a[u] == b[v] and (a[u : u + SHINGLE] == b[v : v + SHINGLE]).all():
+                same = a[u : u + size] == b[v : v + size]
+                n = size if same.all() else int(np.argmin(same))
+                out.append((u, v, n))
+                i, j = u + n, v + n
+                break
+        else:
+            return out
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     if min(len(a), len(b)) < SHINGLE:
         return False
@@ -232,6 +251,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def similar_passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int, int]], width: int) -> list[tuple[int, int, int, int]]:
     """(start, stop in a, start, stop in b) of the passages along the seeds that are similar, the longest first tried."""
     parts = stretches(a, b, seeds)
+    if parts:  # beyond the seeds the diagonal may change at each edit
+        (i, j, _), (k, m, n) = parts[0], parts[-1]
+        before = onward(a[:i][::-1], b[:j][::-1], 0, 0)
+        parts = [(i - u - x, j - v - x, x) for u, v, x in reversed(before)] + parts + onward(a, b, k + n, m + n)
     out, todo = [], [(0, len(parts))]
     while todo:
         low, high = todo.pop()
