@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, chat, exact, fingerprint, near, packing, passages, pii, quality, transducer
+from citeloom.llm import bpe, chat, exact, fingerprint, infill, mixing, near, packing, passages, pii, quality, transducer, trie
 from citeloom.llm.common import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -86,6 +86,74 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mixing_plan(read_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), c AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), p AS (
+  SELECT doc_id, n, form, t, array_to_string(u[1:least(x, y)], '') AS pre, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS mid, array_to_string(u[greatest(x, y) + 1:], '') AS suf
+  FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos,
+    sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations
+), ids AS (SELECT DISTINCT conv_id FROM conversations
+), c AS (
+  SELECT conv_id, CASE WHEN conv_id % 20 <> 0 THEN conv_id - conv_id % 20 END AS donor, CASE WHEN conv_id % 20 = 0 OR conv_id IS NULL THEN 0 ELSE xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 END AS h
+  FROM ids
+), parts AS (
+  SELECT c.conv_id, 0 AS part, t.pos, d, words FROM c JOIN t ON t.conv_id = c.donor AND t.pos < c.h
+  UNION ALL SELECT c.conv_id, 1, t.pos, d, words FROM c JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.pos >= c.h
+), s AS (
+  SELECT conv_id, words, row_number() OVER w AS depth, md5(string_agg(d, ',') OVER w) AS k FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+), m AS (
+  SELECT conv_id, 0 AS depth, '' AS k, 0 AS words FROM ids UNION ALL SELECT conv_id, depth, k, words FROM s
+), up AS (
+  SELECT *, lag(k) OVER w AS up, (row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) AS ends FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+), n AS (
+  SELECT depth, k, max(up) AS up, min(conv_id) AS conv, count(*) AS n_convs, max(words) AS words, sha256(coalesce(string_agg(coalesce(conv_id::VARCHAR, 'null'), ',' ORDER BY conv_id NULLS LAST) FILTER (ends), '')) AS ends
+  FROM up GROUP BY depth, k
+), kids AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY depth, up
+), f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids ON kids.depth = n.depth AND kids.k = n.k
+), under AS (
+  SELECT m.depth, m.k, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.words) AS saved
+  FROM f JOIN m ON m.conv_id IS NOT DISTINCT FROM f.conv AND m.depth <= f.depth GROUP BY m.depth, m.k
+)
+SELECT f.conv AS conv_id, f.depth::BIGINT AS depth, p.conv AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN under u ON u.depth = f.depth AND u.k = f.k LEFT JOIN f p ON p.depth = f.depth - 1 AND p.k = f.up
+"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
@@ -97,5 +165,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
+    "op11_mixing": op11_mixing,
+    "op12_infill": op12_infill,
+    "op13_trie": op13_trie,
 }
-ORACLE_SQL = {"op5_chat": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op5_chat": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op12_infill": OP12_SQL, "op13_trie": OP13_SQL}
