@@ -1,8 +1,9 @@
 """Papers from HTML, JATS XML and page texts.
 
-HTML and page texts are cut into sections with built-in functions. JATS needs
-a recursive walk, which runs in Arrow batches with the standard library's XML
-parser; malformed documents fall back to the HTML path.
+Markup needs a tree, which is built and read in Arrow batches, one document at a
+time: JATS sections come out whole, of HTML the blocks in their order. All else
+is built-in functions: ids from the raw text, HTML and page sections cut at
+headings, full texts.
 """
 
 from __future__ import annotations
@@ -10,12 +11,16 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from html.entities import name2codepoint
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.identifiers import let, strip
+from citeloom.functions.registry import literal_map
+from citeloom.operators import markup
+from citeloom.operators.markup import words
 from citeloom.session import reach_workers
 
 DOI, PMCID, PMID = r"(?i)10\.\d{4,9}/[\w\.\-/:;()<>]+", r"(?i)PMC\d{4,}", r"(?i)\bpmid[:\s]*(\d{4,9})\b"
@@ -40,84 +45,59 @@ def strip_non_content(html: Column) -> Column:
     return out
 
 
-def plain(markup: Column) -> Column:
-    """Text of markup: tags to blanks, common entities decoded, blanks collapsed."""
-    out = F.regexp_replace(markup, r"<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return strip(F.regexp_replace(out, r"(?U)\s+", " "))
+def decode_entities(c: Column) -> Column:
+    """Text with numeric entities and HTML's named ones as characters; unknown names stay as they are."""
+    names = literal_map((name, chr(point)) for name, point in name2codepoint.items())
 
+    def number(digits: Column, base: int) -> Column:
+        point = F.conv(digits, base, 10).cast("long")
+        known = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
 
-def first_group(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-
-def find_ids(raw: Column) -> dict[str, Column]:
-    """DOI, PMCID and PMID of a document: tagged ids, then the first mention anywhere, markup included."""
-    tagged = lambda kind: first_group(raw, rf'(?is)<article-id[^>]*pub-id-type="{kind}"[^>]*>\s*([^<]*?)\s*</article-id>', 1)
-    pmc = tagged("pmc(?:id)?")
-    pmc = F.when(pmc.rlike("(?i)^PMC"), F.upper(pmc)).otherwise(F.concat(F.lit("PMC"), pmc))
-    return {
-        "paper_doi": F.coalesce(tagged("doi"), first_group(raw, DOI), F.lit("")),
-        "pmcid": F.coalesce(pmc, F.upper(first_group(raw, PMCID)), F.lit("")),
-        "pmid": F.coalesce(tagged("pmid"), first_group(raw, PMID, 1), F.lit("")),
-    }
-
-
-def first_text(body: Column, *patterns: tuple[str, int]) -> Column:
-    """The text of the first pattern (and its group) that finds any; '' if none does."""
-    found = lambda b, p, g: let(plain(F.regexp_extract(b, p, g)), lambda x: F.when(x != "", x))
-    return let(body, lambda b: F.coalesce(*[found(b, p, g) for p, g in patterns], F.lit("")))
-
-
-def find_title(raw: Column) -> Column:
-    return title_of(strip_non_content(raw))
-
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        char = F.when(name.rlike(r"^#\d"), number(F.substring(name, 2, 9), 10)).when(name.startswith("#"), number(F.substring(name, 3, 9), 16)).when(name != "", F.try_element_at(names, name))
+        return let(name, lambda n: F.when(char.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(char, F.substr(p, F.length(n) + 2))))
 
-def title_of(body: Column) -> Column:
-    """The article's title, else a page title outside the head, else the first h1."""
-    return first_text(body, (r"(?is)<article-title\b[^>]*>(.*?)</article-title\s*>", 1), (r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), (r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
+    parts = lambda a: F.array_join(F.transform(a, lambda p, i: F.when(i == 0, p).otherwise(piece(p))), "")
+    return F.when(F.contains(c, F.lit("&")), let(F.split(c, "&"), parts)).otherwise(c)
 
 
-def abstract_of(body: Column) -> Column:
-    """The abstract element, else the first element with abstract in its class."""
-    return first_text(body, (r"(?is)<abstract\b[^>]*>(.*?)</abstract\s*>", 1), (r"""(?is)<(\w+)\b[^>]*\bclass\s*=\s*["'][^"']*abstract[^"']*["'][^>]*>(.*?)</\1\s*>""", 2))
+def plain(html: Column) -> Column:
+    """Text of markup: tags to blanks, entities decoded, blanks collapsed."""
+    return strip(F.regexp_replace(decode_entities(F.regexp_replace(html, r"<[^>]*>", " ")), r"(?U)\s+", " "))
 
 
-def main_part(body: Column) -> Column:
-    """The main element of a page, else its article, else all of it."""
-    return F.coalesce(*[first_group(body, rf"(?is)<{t}\b[^>]*>(.*)</{t}\s*>", 1) for t in ("main", "article")], body)
+def first_group(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def html_blocks(body: Column) -> Column:
-    """(kind, text) of headings, paragraphs, list items, quotes and captions, in order."""
-    found = F.regexp_extract_all(main_part(body), F.lit(r"(?is)<(h[1-4]|p|li|blockquote|figcaption)\b[^>]*>.*?</\1\s*>"), F.lit(0))
-    kind = lambda m: F.lower(F.regexp_extract(m, r"(?i)^<(h[1-4]|p|li|blockquote|figcaption)", 1))
-    made = F.transform(found, lambda m: F.struct(kind(m).alias("kind"), plain(m).alias("text")))
-    # A heading without text still ends the section before it.
-    return F.filter(made, lambda b: (b["text"] != "") | b["kind"].rlike("^h[1-4]$"))
+def find_title(raw: Column) -> Column:
+    """The article's title, else a page title outside the head, else the first h1, by patterns, without a tree."""
+    body = strip_non_content(raw)
+    found = lambda b, tag: let(plain(F.regexp_extract(b, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)), lambda x: F.when(x != "", x))
+    return let(body, lambda b: F.coalesce(*[found(b, tag) for tag in ("article-title", "title", "h1")], F.lit("")))
 
 
-def html_sections(body: Column) -> Column:
-    """Sections of an HTML page without its non-content: a heading opens one, the blocks after it fill it.
+def html_sections(blocks: Column) -> Column:
+    """Sections of a page's blocks (kind, text): a heading opens one, the blocks after it fill it.
 
     Text before the first heading is a section without title and number 0;
-    sections with neither title nor text are left out. Blocks inside blocks
-    belong to the outer one. Each section is a slice between two headings, so
-    the work is linear in the page.
+    sections with neither title nor text are left out. Each section is a slice
+    between two headings, so the work is linear in the page.
     """
 
     def cut(blocks: Column) -> Column:
-        heads = F.filter(F.transform(blocks, lambda b, i: F.when(b["kind"].rlike("^h[1-4]$"), i)), lambda i: i.isNotNull())
+        heads = F.filter(F.transform(blocks, lambda b, i: F.when(b["kind"] == "head", i)), lambda i: i.isNotNull())
         # -1 stands for what precedes the first heading.
         return let(F.concat(F.array(F.lit(-1)), heads), lambda at: F.transform(at, lambda i, k: section(blocks, i, k, F.coalesce(F.try_element_at(at, k + 2), F.size(blocks)))))
 
     def section(blocks: Column, i: Column, k: Column, end: Column) -> Column:
         title = F.when(i >= 0, F.try_element_at(blocks, i + 1)["text"]).otherwise("")
-        said = F.transform(F.slice(blocks, i + 2, F.greatest(F.lit(0), end - i - 1)), lambda b: F.when(b["kind"] == "figcaption", F.concat(F.lit("[CAPTION] "), b["text"])).otherwise(b["text"]))
+        said = F.transform(F.slice(blocks, i + 2, F.greatest(F.lit(0), end - i - 1)), lambda b: F.when(b["kind"] == "caption", F.concat(F.lit("[CAPTION] "), b["text"])).otherwise(b["text"]))
         return F.struct(title.alias("section_title"), F.array_join(said, "\n").alias("section_text"), F.concat(F.lit("body/sec["), k.cast("string"), F.lit("]")).alias("section_path"), F.lit(None).cast("int").alias("page"))
 
-    return F.filter(let(html_blocks(body), cut), lambda s: (s["section_title"] != "") | (s["section_text"] != ""))
+    return F.filter(let(blocks, cut), lambda s: (s["section_title"] != "") | (s["section_text"] != ""))
 
 
 def full_text(sections: Column, *before: Column) -> Column:
@@ -126,16 +106,6 @@ def full_text(sections: Column, *before: Column) -> Column:
     return F.array_join(F.filter(F.concat(F.array(*before) if before else F.array().cast("array<string>"), parts), lambda x: x != ""), "\n")
 
 
-def parse_html(raw: DataFrame, content: str = "content", default_id: str = "paper_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Paper records of HTML documents (content, paper_id, source_path), with the columns to keep."""
-    c = F.coalesce(F.col(content), F.lit(""))
-    own, ids = F.col(default_id), find_ids(c)
-    body = F.col("body")
-    clean = raw.select(own.alias("paper_id"), "source_path", F.struct(*[v.alias(k) for k, v in ids.items()]).alias("ids"), strip_non_content(c).alias("body"), *keep)
-    made = clean.select("paper_id", "source_path", "ids", title_of(body).alias("title"), abstract_of(body).alias("abstract"), html_sections(body).alias("sections"), *keep)
-    return made.select(paper_id_of("ids.pmcid", "ids.pmid", "ids.paper_doi", "paper_id"), "ids.paper_doi", "ids.pmcid", "ids.pmid", "source_path", "title", "abstract", full_text(F.col("sections"), F.col("title"), F.col("abstract")).alias("full_text"), "sections", *keep)
-
-
 def paper_id_of(*columns: str) -> Column:
     """The first of the columns that is set."""
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns], F.lit("")).alias("paper_id")
@@ -206,52 +176,43 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return made.select(paper_id_of("pmcid", "pmid", "paper_doi", "stem"), "paper_doi", "pmcid", "pmid", F.col("path").alias("source_path"), "title", F.coalesce(abstract, F.lit("")).alias("abstract"), text.alias("full_text"), "sections")
 
 
-# -- JATS --------------------------------------------------------------------
-
+# -- markup ------------------------------------------------------------------
 
-def _words(node: ET.Element | None) -> str:
-    return "" if node is None else re.sub(r"\s+", " ", " ".join(node.itertext())).strip()
+SECTIONS = "array<struct<section_title:string,section_text:string,section_path:string,page:int>>"
+#: Elements of a section that are its text, and those whose captions are (fixed values).
+SAID, CAPTIONED = ("p", "list", "disp-quote", "boxed-text", "statement"), ("fig", "table-wrap", "supplementary-material")
+#: What the blocks of a page are, by element (fixed values).
+BLOCKS = {**dict.fromkeys(("h1", "h2", "h3", "h4"), "head"), **dict.fromkeys(("p", "li", "blockquote"), "text"), "figcaption": "caption"}
 
 
-def jats_record(text: str, default_id: str) -> dict | None:
-    """A paper record from one JATS document, or None if it isn't well-formed.
+def jats_sections(root: ET.Element) -> list[tuple[str, str, str]]:
+    """(title, text, path) of an article's sections.
 
     Sections are walked depth first; contributor, ethics and funding sections
     and the reference list are left out; captions are marked.
     """
-    try:
-        root = ET.fromstring(re.sub(r"<!DOCTYPE[^>\[]*(\[[^\]]*\])?[^>]*>", "", text, count=1).strip())
-    except ET.ParseError:
-        return None
-    for node in root.iter():
-        node.tag = node.tag.rsplit("}", 1)[-1] if isinstance(node.tag, str) else ""
-    ids = {n.get("pub-id-type"): _words(n) for n in reversed(list(root.iter("article-id")))}
-    pmcid = ids.get("pmcid") or ids.get("pmc") or ""
-    sections: list[dict] = []
-
-    def add(title: str, body: str, path: str) -> None:
-        sections.append({"section_title": title, "section_text": body, "section_path": path, "page": None})
+    sections: list[tuple[str, str, str]] = []
 
     def walk(node: ET.Element, base: str) -> None:
         for i, sec in enumerate(node.findall("sec"), start=1):
-            title, here, own = _words(sec.find("title")), f"{base}/sec[{i}]", []
+            title, here, own = words(sec.find("title")), f"{base}/sec[{i}]", []
             if re.search(SKIPPED, title):
                 continue
             for child in sec:
                 if child.tag in SAID:
-                    own.append(_words(child))
+                    own.append(words(child))
                 elif child.tag in CAPTIONED and (caption := next(child.iter("caption"), None)) is not None:
-                    own.append("[CAPTION] " + _words(caption))
+                    own.append("[CAPTION] " + words(caption))
             text = "\n".join(filter(None, own))
             if title or text:
-                add(title, text, here)
+                sections.append((title, text, here))
             walk(sec, here)
 
     def notes(part: ET.Element, base: str) -> None:
         for i, note in enumerate(part.iter("notes"), start=1):
             title = next(note.iter("title"), None)
-            if body := "\n".join(_words(p) for p in note.iter("p")) or _words(note):
-                add(_words(title) if title is not None else (note.get("notes-type") or "").strip() or "Notes", body, f"{base}/notes[{i}]")
+            if body := "\n".join(words(p) for p in note.iter("p")) or words(note):
+                sections.append((words(title) if title is not None else (note.get("notes-type") or "").strip() or "Notes", body, f"{base}/notes[{i}]"))
 
     front, body, back = (next(root.iter(k), None) for k in ("front", "body", "back"))
     if front is not None:
@@ -259,68 +220,78 @@ def jats_record(text: str, default_id: str) -> dict | None:
     if body is not None:
         walk(body, "body")
         for node in body.iter():
-            if node.tag in CAPTIONED and (text := _words(next(node.iter("caption"), None))):
-                add(f"[{node.tag}]", text, node.tag)
+            if node.tag in CAPTIONED and (text := words(next(node.iter("caption"), None))):
+                sections.append((f"[{node.tag}]", text, node.tag))
     if back is not None:
-        for parent in list(back.iter()):
-            for gone in parent.findall("ref-list"):
-                parent.remove(gone)
+        markup.without(back, frozenset(("ref-list",)))
         notes(back, "back")
         walk(back, "back")
         for i, fn in enumerate(back.iter("fn"), start=1):
-            if text := _words(fn):
-                add("[footnote]", text, f"back/fn[{i}]")
-    doi = ids.get("doi", "")
-    pmid = ids.get("pmid", "")
-    if pmcid and not pmcid.upper().startswith("PMC"):
-        pmcid = "PMC" + pmcid
-    title, abstract = _words(next(root.iter("article-title"), None)), _words(next(root.iter("abstract"), None))
-    lines = [title, abstract, *[x for s in sections for x in (s["section_title"], s["section_text"])]]
-    return {"paper_id": pmcid or pmid or doi or default_id, "paper_doi": doi, "pmcid": pmcid, "pmid": pmid, "title": title, "abstract": abstract, "full_text": "\n".join(filter(None, lines)), "sections": sections}
-
-
-SECTIONS = "array<struct<section_title:string,section_text:string,section_path:string,page:int>>"
-#: Elements of a section that are its text, and those whose captions are (fixed values).
-SAID, CAPTIONED = ("p", "list", "disp-quote", "boxed-text", "statement"), ("fig", "table-wrap", "supplementary-material")
-PAPER = "paper_id string, paper_doi string, pmcid string, pmid string, source_path string, title string, abstract string, full_text string, sections " + SECTIONS
+            if text := words(fn):
+                sections.append(("[footnote]", text, f"back/fn[{i}]"))
+    return sections
 
 
-def parse_jats(raw: DataFrame, content: str = "content", default_id: str = "paper_id") -> DataFrame:
-    """Paper records of JATS documents (content, paper_id, source_path), and ``unparsed``.
+def page_blocks(root: ET.Element) -> list[tuple[str, str]]:
+    """(kind, text) of the headings, paragraphs, list items, quotes and captions of a page's main part, in order.
 
-    Of a document that is not well-formed only paper_id and source_path are
-    set, and unparsed holds its content; it is null for all others.
+    A block inside a block comes after it, and its text is in both. A heading
+    without text still ends the section before it.
+    """
+    main = next((n for k in ("main", "article", "body") if (n := next(root.iter(k), None)) is not None), root)
+    made = ((BLOCKS[n.tag], words(n)) for n in main.iter() if n.tag in BLOCKS and n is not main)
+    return [(kind, text) for kind, text in made if text or kind == "head"]
+
+
+def document_parts(text: str) -> dict:
+    """What a tree tells of a document: tagged ids, title, abstract, and its sections (JATS) or its blocks (any other)."""
+    root = markup.without(markup.parsed(text), frozenset(DROPPED))
+    ids = {n.get("pub-id-type"): words(n) for n in reversed(list(root.iter("article-id")))}
+    first = lambda tag: next(root.iter(tag), None)
+    title = next((n for k in ("article-title", "title", "h1") if (n := first(k)) is not None), None)
+    abstract = first("abstract")
+    if abstract is None:
+        abstract = next((n for n in root.iter() if "abstract" in (n.get("class") or "").lower()), None)
+    article = first("article")
+    whole = article is not None and next(article.iter("body"), None) is not None
+    sections = [dict(zip(("section_title", "section_text", "section_path"), s, strict=True)) for s in jats_sections(root)] if whole else None
+    blocks = None if whole else [{"kind": k, "text": t} for k, t in page_blocks(root)]
+    return {"doi": ids.get("doi"), "pmc": ids.get("pmcid") or ids.get("pmc"), "pm": ids.get("pmid"), "title": words(title), "abstract": words(abstract), "sections": sections, "blocks": blocks}
+
+
+PARTS = f"doi string, pmc string, pm string, title string, abstract string, sections {SECTIONS}, blocks array<struct<kind:string,text:string>>"
+
+
+def parse_documents(raw: DataFrame, content: str = "content", default_id: str = "paper_id") -> DataFrame:
+    """Papers of markup documents (content, paper_id, source_path), JATS or HTML, of any quality.
+
+    An article with a body has JATS sections; any other document those of its
+    headings and blocks. Well-formed XML is read as such; what isn't, as HTML
+    if it has HTML's elements, else as XML as far as that goes. Ids are the
+    tagged ones, then the first mention anywhere, markup included. A null
+    document has empty fields and no section.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, pid, path in zip(*[batch.column(c).to_pylist() for c in ("content", "paper_id", "source_path")], strict=True):
-                made = jats_record(text or "", pid)
-                rows.append({"paper_id": pid, "unparsed": text or "", "source_path": path} if made is None else made | {"source_path": path})
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                made = pa.RecordBatch.from_pylist([document_parts(text) for text in part.column("content").to_pylist()], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns, *made.columns], [*part.schema.names, *arrow.names])
 
     reach_workers(raw.sparkSession)
     section = pa.struct([("section_title", pa.string()), ("section_text", pa.string()), ("section_path", pa.string()), ("page", pa.int32())])
-    arrow = pa.schema([(n, pa.string()) for n in ("paper_id", "paper_doi", "pmcid", "pmid", "source_path", "title", "abstract", "full_text")] + [("sections", pa.list_(section)), ("unparsed", pa.string())])
-    return raw.select(F.col(content).alias("content"), F.col(default_id).alias("paper_id"), "source_path").mapInArrow(run, PAPER + ", unparsed string")
-
-
-def looks_like_xml(content: Column) -> Column:
-    return content.rlike(r"^\s*<\?xml") | F.contains(F.left(content, F.lit(2000)), F.lit("<article"))
-
-
-def parse_documents(raw: DataFrame) -> DataFrame:
-    """Papers of (content, paper_id, source_path): JATS where it parses, else HTML.
-
-    Each document is parsed once: what the JATS walk can't read goes on to the
-    HTML expressions in the same pass.
-    """
-    kind = looks_like_xml(F.coalesce("content", F.lit("")))
-    xml = parse_jats(raw.filter(kind))
-    page = parse_html(xml.select(F.col("unparsed").alias("content"), "paper_id", "source_path", F.struct(*[F.col(c) for c in xml.columns]).alias("xml")), keep=("xml",))
-    both = page.select(*[F.when(F.col("xml.unparsed").isNull(), F.col(f"xml.{c}")).otherwise(F.col(c)).alias(c) for c in page.columns if c != "xml"])
-    return both.unionByName(parse_html(raw.filter(~kind)))
+    block = pa.struct([("kind", pa.string()), ("text", pa.string())])
+    arrow = pa.schema([(n, pa.string()) for n in ("doi", "pmc", "pm", "title", "abstract")] + [("sections", pa.list_(section)), ("blocks", pa.list_(block))])
+    c = F.coalesce(F.col(content), F.lit("")).alias("content")
+    said = raw.select(F.col(default_id).alias("own_id"), "source_path", c).mapInArrow(run, "own_id string, source_path string, content string, " + PARTS)
+    present_ = lambda c: F.nullif(F.col(c), F.lit(""))
+    pmc = F.when(F.upper("pmc").startswith("PMC"), F.col("pmc")).otherwise(F.concat(F.lit("PMC"), present_("pmc")))
+    ids = said.select(
+        "own_id", "source_path", "title", "abstract", F.coalesce(present_("doi"), first_group(F.col("content"), DOI), F.lit("")).alias("paper_doi"), F.coalesce(F.nullif(pmc, F.lit("")), F.upper(first_group(F.col("content"), PMCID)), F.lit("")).alias("pmcid"),
+        F.coalesce(present_("pm"), first_group(F.col("content"), PMID, 1), F.lit("")).alias("pmid"), F.coalesce("sections", html_sections(F.col("blocks"))).alias("sections"),
+    )
+    return ids.select(paper_id_of("pmcid", "pmid", "paper_doi", "own_id"), "paper_doi", "pmcid", "pmid", "source_path", "title", "abstract", full_text(F.col("sections"), F.col("title"), F.col("abstract")).alias("full_text"), "sections")
 
 
 def parse_files(files: DataFrame, read_pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:

@@ -492,7 +492,7 @@ def _strip_sql() -> str:
 
 def _plain_sql(x: str) -> str:
     out = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         out = f"replace({out}, '{entity}', {q(char)})"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
@@ -511,21 +511,35 @@ def html_title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", sections.find_title(F.col("html")).alias("title"))
 
 
-_BLOCK = "|".join(f"<{t}\\b[^>]*>.*?</{t}\\s*>" for t in ("h1", "h2", "h3", "h4", "p", "li", "blockquote", "figcaption"))
-HTML_SECTIONS_SQL = f"""with s as (select url, {_strip_sql()} as h from pages),
-m as (select url, h, coalesce(nullif(regexp_extract(h, '(?is)<main\\b[^>]*>(.*)</main\\s*>', 1), ''), nullif(regexp_extract(h, '(?is)<article\\b[^>]*>(.*)</article\\s*>', 1), ''), h) as body,
-  coalesce(nullif({_plain_sql(_element_sql('h', 'article-title'))}, ''), nullif({_plain_sql(_element_sql('h', 'title'))}, ''), {_plain_sql(_element_sql('h', 'h1'))}) as title from s),
-f as (select url, title, regexp_extract_all(body, '(?is){_BLOCK}') as found from m),
-b as (select url, title, i, {_plain_sql('found[i]')} as txt, regexp_matches(found[i], '(?i)^<h[1-4]') as head, regexp_matches(found[i], '(?i)^<figcaption') as cap from f, unnest(generate_series(1, len(found))) t(i)),
-n as (select *, sum(head::int) over (partition by url order by i) as k from b where head or txt <> ''),
-g as (select url, title, k, coalesce(max(txt) filter (head), '') as section_title, coalesce(string_agg(case when cap then '[CAPTION] ' || txt else txt end, chr(10) order by i) filter (not head), '') as section_text from n group by url, title, k)
-select f.url as source_path, f.title, g.section_title, g.section_text, 'body/sec[' || cast(g.k as string) || ']' as section_path from f left join g on f.url = g.url and (g.section_title <> '' or g.section_text <> '')"""
+# A paragraph or list item without an end tag ends where the next block begins; entities may lack their semicolon.
+_INLINE = "(?:[^<]|</?(?:a|b|br|i|em|strong|span|sub|sup|code|small|u)\\b[^>]*>)*"
+_BLOCK = "|".join([*(f"<{t}\\b[^>]*>.*?</{t}\\s*>" for t in ("h1", "h2", "h3", "h4")), *(f"<{t}\\b[^>]*>{_INLINE}" for t in ("p", "li", "blockquote", "figcaption"))])
+_LOOSE = lambda x: f"regexp_replace({_plain_sql(x)}, '&amp', '&', 'g')"
+_HTML_CTE = f"""s as (select url, html, {_strip_sql()} as h from pages),
+  m as (select url, html, h, coalesce(nullif(regexp_extract(h, '(?is)<main\\b[^>]*>(.*)</main\\s*>', 1), ''), nullif(regexp_extract(h, '(?is)<article\\b[^>]*>(.*)</article\\s*>', 1), ''), h) as body,
+    coalesce(nullif({_LOOSE(_element_sql('h', 'article-title'))}, ''), nullif({_LOOSE(_element_sql('h', 'title'))}, ''), {_LOOSE(_element_sql('h', 'h1'))}) as title from s),
+  f as (select url, html, title, regexp_extract_all(body, '(?is){_BLOCK}') as found from m),
+  b as (select url, title, i, {_LOOSE('found[i]')} as txt, regexp_matches(found[i], '(?i)^<h[1-4]') as head, regexp_matches(found[i], '(?i)^<figcaption') as cap from f, unnest(generate_series(1, len(found))) t(i)),
+  n as (select *, sum(head::int) over (partition by url order by i) as k from b where head or txt <> ''),
+  g as (select url, title, k, coalesce(max(txt) filter (head), '') as section_title, coalesce(string_agg(case when cap then '[CAPTION] ' || txt else txt end, chr(10) order by i) filter (not head), '') as section_text from n group by url, title, k)"""
 
 
-@query(HTML_SECTIONS_SQL)
+def v_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("html").alias("content"), F.col("page_id").cast("string").alias("paper_id"), F.col("url").alias("source_path"))
+
+
+@query(f"with {_HTML_CTE} select f.url as source_path, f.title, g.section_title, g.section_text, 'body/sec[' || cast(g.k as string) || ']' as section_path from f left join g on f.url = g.url and (g.section_title <> '' or g.section_text <> '')")
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("html").alias("content"), F.col("page_id").cast("string").alias("paper_id"), F.col("url").alias("source_path"))
-    return sections.parse_html(raw).select("source_path", "title", F.explode_outer("sections").alias("s")).select("source_path", "title", "s.section_title", "s.section_text", "s.section_path")
+    papers = sections.parse_documents(v_markup(spark, sf_dir)).select("source_path", "title", F.explode_outer("sections").alias("s"))
+    return papers.select("source_path", "title", "s.section_title", "s.section_text", "s.section_path")
+
+
+@query(f"""with {_HTML_CTE}, t as (select url, count(*) as n_sections, string_agg(case when section_title = '' then section_text when section_text = '' then section_title else section_title || chr(10) || section_text end, chr(10) order by k) as body from g where section_title <> '' or section_text <> '' group by url),
+  i as (select url, title, regexp_extract(html, '(?i)10\\.[0-9]{{4,9}}/[-\\w./:;()<>]+') as paper_doi, upper(regexp_extract(html, '(?i)pmc[0-9]{{4,}}')) as pmcid, regexp_extract(html, '(?i)\\bpmid[:\\s]*([0-9]{{4,9}})\\b', 1) as pmid from f)
+  select i.url as source_path, title, paper_doi, pmcid, pmid, coalesce(n_sections, 0)::int as n_sections, sha256(case when title = '' then coalesce(body, '') when coalesce(body, '') = '' then title else title || chr(10) || body end) as text_sha256 from i left join t on i.url = t.url""")
+def html_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = sections.parse_documents(v_markup(spark, sf_dir))
+    return papers.select("source_path", "title", "paper_doi", "pmcid", "pmid", F.size("sections").alias("n_sections"), F.sha2("full_text", 256).alias("text_sha256"))
 
 
 _ENDS = "'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'"

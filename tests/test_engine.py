@@ -102,7 +102,7 @@ def test_page_papers(spark, tmp_path):
 
 
 def test_html_parts(spark):
-    page = "<title>stray</title><header><p>kept</p></header><main class='x'><h2>Empty</h2><h2>Data</h2><aside><p>aside too</p></aside><span class='the abstract'>short</span></main><p>outside</p><meta name=a><input><img src=x>"
+    page = "<body><title>stray</title><header><p>kept</p></header><main class='x'><h2>Empty</h2><h2>Data</h2><aside><p>aside too</p></aside><span class='the abstract'>short</span></main><p>outside</p><meta name=a><input><img src=x>"
     jats = '<article><front><notes notes-type="data"><sec><p>one</p><p>two</p></sec></notes></front><body><sec><title>R</title><boxed-text>b</boxed-text><fig><label>1</label><caption><p>C</p></caption></fig></sec></body><back><ref-list><ref>no</ref></ref-list><fn><p>foot</p></fn><sec><p>S</p></sec></back></article>'
     raw = spark.createDataFrame([(page, "p", "p.html"), (jats, "j", "j.xml")], "content string, paper_id string, source_path string")
     got = {r.source_path: r for r in sections.parse_documents(raw).collect()}
