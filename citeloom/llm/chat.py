@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import materialise, text_of
+from citeloom.llm.common import forget, materialise, text_of
 
 BEGIN, END, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 CONTROL = (BEGIN, END, OPEN, CLOSE)
@@ -44,9 +44,10 @@ def tree_paths(messages: DataFrame) -> DataFrame:
     """Root-to-leaf paths of messages(tree, node, parent, score).
 
     Returns (tree, leaf, node, up, score): up counts steps from the leaf. A
-    message without a parent, or whose parent isn't in its tree, is a root. A
-    cycle has no leaf, so it gives no path. node must be unique in its tree.
-    Messages of a null tree are one tree.
+    message without a parent, or whose parent isn't in its tree, is a root.
+    Messages on a cycle and those that hang on one reach no root, so they give
+    no path. node must be unique in its tree. Messages of a null tree are one
+    tree.
     """
     return _walk(keyed(messages)).withColumn("tree", F.col("tree.tree"))
 
@@ -55,23 +56,43 @@ def _walk(messages: DataFrame) -> DataFrame:
     nodes = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("has"))
     links = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("has"), F.col("parent")).alias("parent"))
+    links = materialise(links, "links")
+    jumps, circling = _jumps(links)
+    if circling is not None:
+        cut = lambda df: materialise(df.join(circling, ["tree", "node"], "left_anti"), "rooted")
+        links, jumps = cut(links), [cut(j) for j in jumps]
     parents = links.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     leaves = links.join(parents, ["tree", "node"], "left_anti")
-    # jump: where 2^k steps up lead; walked: every node within 2^k - 1 steps of a leaf.
-    jump = materialise(links.filter("parent is not null").select("tree", "node", F.col("parent").alias("to")), "jump")
+    # walked: after k rounds every node within 2^k - 1 steps of a leaf.
     walked = materialise(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up")), "walked")
-    step = 1
-    while not jump.isEmpty():
-        further = walked.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
-        if further.isEmpty():
-            break
-        walked = materialise(walked.unionByName(further), "walked")
-        onward = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("next"))
-        jump = materialise(jump.join(onward, ["tree", "to"]).select("tree", "node", F.col("next").alias("to")), "jump")
-        step *= 2
+    for k, jump in enumerate(jumps):
+        further = walked.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))
+        before, walked = walked, materialise(walked.unionByName(further), "walked")
+        forget(before, jump)
     return walked.join(nodes.select("tree", "node", "score"), ["tree", "node"])
 
 
+def _jumps(links: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Jumps (tree, node, to) of 1, 2, 4, ... steps up links(tree, node, parent), and who walks in a circle, if any does.
+
+    Jumps that would lead beyond a root are left out, so in trees they run out
+    after log2(depth) rounds. Where some are left that are longer than any tree
+    has messages, their messages (tree, node) never reach a root.
+    """
+    jump, out, most = links.filter("parent is not null").select("tree", "node", F.col("parent").alias("to")), [], None
+    while True:
+        jump = materialise(jump, "jump")
+        if jump.isEmpty():
+            return out, None
+        out.append(jump)
+        if most is None:
+            most = links.groupBy("tree").count().agg(F.max("count")).first()[0]
+        if 2 ** (len(out) - 1) > most:
+            return out, jump.select("tree", "node")
+        onward = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("next"))
+        jump = jump.join(onward, ["tree", "to"]).select("tree", "node", F.col("next").alias("to"))
+
+
 def format_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     """Format the best paths of messages(tree, node, parent, role, text, score).
 

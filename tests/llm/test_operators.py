@@ -275,6 +275,34 @@ def test_chat(spark):
     assert chat.format_paths(chat.thread_messages(flat)).select(F.size(chat.read_turns(F.col("formatted")))).first()[0] == 3
 
 
+def test_messages_that_reach_no_root(spark):
+    common.prepare(spark)
+    paths = lambda rows: {(r.tree, r.leaf, r.node, r.up) for r in chat.tree_paths(spark.createDataFrame(rows, "tree string, node long, parent long, score double")).collect()}
+    tail = [("a", 1, 2, 0.0), ("a", 2, 1, 0.0), ("a", 3, 1, 0.0)]
+    assert paths(tail) == set()
+    # A cycle, a long tail on it, a message that is its own parent; beside them a tree, in another one and in the same.
+    rows = tail + [("a", n, n - 1, 0.0) for n in range(4, 40)] + [("b", 1, 1, 0.0), ("b", 2, 1, 0.0), ("b", 5, None, 0.0), ("b", 6, 5, 0.0), (None, 7, None, 0.0), (None, 8, 7, 0.0), (None, 9, 7, 0.0)]
+    assert paths(rows) == {("b", 6, 6, 0), ("b", 6, 5, 1), (None, 8, 8, 0), (None, 8, 7, 1), (None, 9, 9, 0), (None, 9, 7, 1)}
+
+
+def test_branches_are_ranked(spark):
+    # Every path of a bushy tree against a walk in memory, best first.
+    rng = random.Random(4)
+    parent = {n: rng.randrange(max(0, n - 9), n) if n else None for n in range(120)}
+    score = {n: float(rng.randint(0, 3)) for n in parent}
+    rows = [("t", n, p, "assistant" if n % 2 else "user", f"m{n}", score[n]) for n, p in parent.items()]
+    got = chat.format_paths(spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double"), best=None)
+    got = {r.leaf: (r["rank"], r.score, [t.text for t in r.turns]) for r in got.select("leaf", "rank", "score", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
+    want = {}
+    for leaf in set(parent) - set(parent.values()):
+        walk = [leaf]
+        while parent[walk[-1]] is not None:
+            walk.append(parent[walk[-1]])
+        want[leaf] = (sum(score[n] for n in walk), [f"m{n}" for n in reversed(walk)])
+    order = sorted(want, key=lambda n: (-want[n][0], n))
+    assert got == {n: (order.index(n) + 1, *want[n]) for n in want}
+
+
 def brute_near(rows, words):
     sets = {}
     for d, t in rows:
