@@ -20,7 +20,11 @@ it stands.
    and joined over edits as long as the passage keeps a Jaccard similarity of
    PERCENT (exact sets of SHINGLE-word shingles); passages have WIDTH words or
    more.
-5. The lesser place of a verified pair keeps the passage, in the other its
+5. A band's least place may share fewer than WIDTH words with the others and so
+   hide what these share among themselves. Windows of WIDTH words that hold a
+   linked paragraph and stick out of what was verified are compared once more:
+   places of one window are linked with the least of them, and verified.
+6. The lesser place of a verified pair keeps the passage, in the other its
    words go: the least place of a passage always stays. Passages joined by
    verified pairs form components, each a cluster of removals.
 
@@ -59,7 +63,7 @@ GAP, EDIT, AROUND, SKIP = 64, 8, 32, 3
 SKIPS = sorted(((x, y) for x in range(SKIP + 1) for y in range(SKIP + 1) if x or y), key=lambda s: (max(s), sum(s)))
 SALTS, SAMPLE_DOCS, HOT_SHARE, HOT_LEAST = 64, 10_000, 1e-4, 64
 ROWS_AT_ONCE = 256
-NO_ID = -(2**63)
+LEAST_ID = -(2**63)
 
 
 # -- candidates --------------------------------------------------------------
@@ -272,7 +276,22 @@ def similar_passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int, i
     return out
 
 
-PAIR_SCHEMA = "doc long, tkey long, start int, stop int, ldoc long, ltkey long, lstart int, lstop int"
+#: window: null for a verified pair, else the hash of WIDTH words of doc at start that no pair of the link covers.
+PAIR_SCHEMA = "doc long, tkey long, start int, stop int, ldoc long, ltkey long, lstart int, lstop int, window long"
+
+
+def uncovered(words: np.ndarray, seeds: list[tuple[int, int, int]], pairs: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """(start, hash) of windows of WIDTH words that hold a paragraph of a seed and aren't inside a pair's passage."""
+    if len(words) < WIDTH:
+        return []
+    starts = set()
+    for low, high, _ in seeds:
+        starts.update(range(max(0, low - WIDTH + PARAGRAPH), min(high - PARAGRAPH, len(words) - WIDTH) + 1))
+    open_ = sorted(w for w in starts if not any(i <= w and w + WIDTH <= k for i, k, _, _ in pairs))
+    if not open_:
+        return []
+    hashes = mixed(runs(words.astype(np.uint64), WIDTH)).view(np.int64)
+    return [(w, int(hashes[w])) for w in open_]
 
 
 def verified_pairs(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
@@ -313,13 +332,15 @@ def verified_pairs(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
                 a, low, llow = np.frombuffer(words, np.uint32), max(0, start - AROUND), max(0, lstart - AROUND)
                 b = theirs[llow : lstop + AROUND]
                 own_seeds = [(s - low, e - low, d + llow - low) for s, e, d in np.frombuffer(seeds, np.int32).reshape(-1, 3).tolist()]
-                for i, k, j, m in similar_passages(a, b, own_seeds, width):
+                alike = similar_passages(a, b, own_seeds, width)
+                out += [(doc, tkey, w + low, w + low + WIDTH, ldoc, ltkey, None, None, h) for w, h in uncovered(a, own_seeds, alike)]
+                for i, k, j, m in alike:
                     i, k, j, m = i + low, k + low, j + llow, m + llow
                     if doc == ldoc and m > i:  # it runs into itself: as much as doesn't
                         if k - i != m - j or i - j < width:
                             continue
                         k, m = i + (i - j), i
-                    out.append((doc, tkey, i, k, ldoc, ltkey, j, m))
+                    out.append((doc, tkey, i, k, ldoc, ltkey, j, m, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), pair_types, strict=True)], pair_names)
 
@@ -332,6 +353,19 @@ def verified_pairs(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
     return mine.hint("merge").join(theirs, "ldoc").mapInArrow(check, PAIR_SCHEMA).distinct()
 
 
+def hidden_links(open_: DataFrame) -> DataFrame:
+    """(doc, start, stop, ldoc, diagonal): places of open_(doc, start, window) linked with the least of their window.
+
+    Places of a window are spread over SALTS keys and meet in two levels.
+    """
+    rows = open_.select("doc", "start", "window", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")).distinct()
+    first = rows.groupBy("window", "salt").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count("*").alias("n"))
+    root = first.groupBy("window").agg(F.min("lead").alias("lead"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    met = rows.join(first.select("window", "salt").join(root, "window"), ["window", "salt"])
+    met = met.select("doc", "start", (F.col("start") + WIDTH).alias("stop"), F.col("lead.doc").alias("ldoc"), (F.col("start") - F.col("lead.start")).alias("diagonal"))
+    return met.filter(f"(doc <> ldoc or diagonal >= {WIDTH}) and (doc <> ldoc or diagonal <> 0)")
+
+
 # -- removals ----------------------------------------------------------------
 
 
@@ -366,8 +400,16 @@ def passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     linked, found = links(docs)
     found = materialise(candidate_runs(found), "runs")
     forget(linked)
-    pairs = materialise(verified_pairs(docs, found, width), "pairs")
+    judged = materialise(verified_pairs(docs, found, width), "judged")
     forget(found)
+    pairs = judged.filter("window is null").drop("window")
+    hidden = materialise(hidden_links(judged.filter("window is not null")), "hidden")
+    if not hidden.isEmpty():
+        more = materialise(candidate_runs(hidden), "runs")
+        pairs = pairs.unionByName(verified_pairs(docs, more, width).filter("window is null").drop("window")).distinct()
+        pairs = materialise(pairs, "pairs")
+        forget(judged, more)
+    forget(hidden)
     text = ["doc", "tkey"]
     places = joined(clusters(pairs), [*text, "kept"], "span")
     spans = places.groupBy(*text, "kept", "span").agg(F.max("stop").alias("stop"), F.count("*").alias("n_pairs"), F.min("cluster").alias("cluster"))
@@ -382,8 +424,15 @@ def passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return spans.select(*text, F.col("span").cast("long").alias("first_word"), (F.col("stop") - F.col("span")).cast("long").alias("n_words"), "n_pairs", "kept", "cluster")
 
 
-def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), text_of(docs[text_col]).alias("text"))
+def unused_id(docs: DataFrame, id_col: str, most: int = 1000) -> int:
+    """The least number that no row has as its id, which stands for null; the ids alone are read."""
+    ids = docs.select(docs[id_col].cast("long").alias("id")).filter(F.col("id") < LEAST_ID + most).distinct()
+    taken = {r["id"] for r in ids.limit(most).collect()}
+    return next(i for i in range(LEAST_ID, LEAST_ID + most + 1) if i not in taken)
+
+
+def _known(docs: DataFrame, id_col: str, text_col: str, none: int) -> DataFrame:
+    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(none)).alias("doc"), text_of(docs[text_col]).alias("text"))
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,8 +448,9 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
     """
     if width < WIDTH:
         raise ValueError(f"width must be {WIDTH} words or more")
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    out = passages(_known(docs, id_col, text_col), width)
+    none = unused_id(docs, id_col)
+    real = lambda c: F.when(F.col(c) != none, F.col(c))
+    out = passages(_known(docs, id_col, text_col, none), width)
     return out.select(real("doc").alias(id_col), "first_word", "n_words", F.when(F.col("kept"), real("doc")).otherwise(real("cluster.doc")).alias("keep_id"), "kept", "n_pairs")
 
 
@@ -411,9 +461,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     are as they were.
     """
     doc, key, spans = (fresh(docs, n) for n in ("doc", "tkey", "spans"))
-    gone = passages(_known(docs, id_col, text_col), width).filter("not kept").groupBy(F.col("doc").alias(doc), F.col("tkey").alias(key))
+    none = unused_id(docs, id_col)
+    gone = passages(_known(docs, id_col, text_col, none), width).filter("not kept").groupBy(F.col("doc").alias(doc), F.col("tkey").alias(key))
     gone = gone.agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias(spans))
-    rows = docs.withColumn(doc, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))).withColumn(key, F.xxhash64(text_of(docs[text_col])))
+    rows = docs.withColumn(doc, F.coalesce(docs[id_col].cast("long"), F.lit(none))).withColumn(key, F.xxhash64(text_of(docs[text_col])))
     met = rows.join(gone, [doc, key], "left")
     tokens = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda t: t != "")
     # The spans lie apart and in order, so what stays are the slices between them.

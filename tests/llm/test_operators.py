@@ -187,7 +187,7 @@ def test_hot_passages_and_odd_columns(spark, monkeypatch):
     passage = say(60)
     rows = [(i, f"{say(random.randint(0, 40))} {passage} {say(random.randint(0, 40))}", i, "x", 1) for i in range(150)] + [(None, f"{passage} tail", 0, "x", 1), (None, say(200), 0, "x", 1), (151, None, 0, "x", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, doc int, spans string, tkey int")
-    assert passages.hot_anchors(passages._known(docs, "doc_id", "text"))
+    assert passages.hot_anchors(passages._known(docs, "doc_id", "text", passages.LEAST_ID))
     got = passages.repeats(docs).collect()
     least = min(range(150))
     # A null id stands before all others.
@@ -198,6 +198,30 @@ def test_hot_passages_and_odd_columns(spark, monkeypatch):
     assert clean.filter(F.col("text").contains(" ".join(passage.split()[10:20]))).count() == 1
 
 
+def test_passages_behind_lesser_fragments(spark):
+    # Two documents share 30 words, lesser ones hold 24 of them at each place; a third shares 25 with one of the fragments.
+    rng, filler = random.Random(2), iter(range(10**9))
+    fresh = lambda n: [f"y{next(filler)}" for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(20):
+        shared = fresh(30)
+        for at in range(7):
+            rows.append((100 * k + at, " ".join(fresh(rng.randint(3, 30)) + shared[at : at + 24] + fresh(rng.randint(3, 30)))))
+        rows += [(100 * k + d, " ".join(fresh(rng.randint(0, 40)) + shared + fresh(rng.randint(0, 40)))) for d in (50, 60)]
+        rows.append((100 * k + 55, " ".join(fresh(9) + shared[3:27] + fresh(20))))
+        pairs.append((100 * k + 50, 100 * k + 60))
+    got = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.keep_id, r.doc_id) for r in got if not r.kept and r.n_words >= 30} == set(pairs)
+    assert {r.doc_id for r in got} == {d for p in pairs for d in p}
+
+
+def test_the_least_id_is_not_null(spark):
+    passage = say(40)
+    rows = [(passages.LEAST_ID, passage + " one"), (None, "two " + passage), (None, "three"), (5, passage)]
+    got = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.keep_id, r.kept) for r in got} == {(passages.LEAST_ID, passages.LEAST_ID, True), (None, passages.LEAST_ID, False), (5, passages.LEAST_ID, False)}
+
+
 def brute_syncmers(text, k, s):
     hashes = {}
     inner = lambda t: int(hashing.mixed(hashing.runs(np.array([ord(c) for c in t], np.uint64), len(t)))[0])
