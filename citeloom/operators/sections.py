@@ -262,8 +262,8 @@ def document_parts(text: str) -> dict:
 PARTS = f"doi string, pmc string, pm string, title string, abstract string, sections {SECTIONS}, blocks array<struct<kind:string,text:string>>"
 
 
-def parse_documents(raw: DataFrame, content: str = "content", default_id: str = "paper_id") -> DataFrame:
-    """Papers of markup documents (content, paper_id, source_path), JATS or HTML, of any quality.
+def parse_documents(raw: DataFrame, content: str = "content", default_id: str = "paper_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Papers of markup documents (content, paper_id, source_path), JATS or HTML, of any quality, with the columns to keep.
 
     An article with a body has JATS sections; any other document those of its
     headings and blocks. Well-formed XML is read as such; what isn't, as HTML
@@ -284,14 +284,16 @@ def parse_documents(raw: DataFrame, content: str = "content", default_id: str =
     block = pa.struct([("kind", pa.string()), ("text", pa.string())])
     arrow = pa.schema([(n, pa.string()) for n in ("doi", "pmc", "pm", "title", "abstract")] + [("sections", pa.list_(section)), ("blocks", pa.list_(block))])
     c = F.coalesce(F.col(content), F.lit("")).alias("content")
-    said = raw.select(F.col(default_id).alias("own_id"), "source_path", c).mapInArrow(run, "own_id string, source_path string, content string, " + PARTS)
+    given = raw.select(F.col(default_id).alias("own_id"), "source_path", c, *keep)
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields)
+    said = given.mapInArrow(run, kept + PARTS)
     present_ = lambda c: F.nullif(F.col(c), F.lit(""))
     pmc = F.when(F.upper("pmc").startswith("PMC"), F.col("pmc")).otherwise(F.concat(F.lit("PMC"), present_("pmc")))
     ids = said.select(
         "own_id", "source_path", "title", "abstract", F.coalesce(present_("doi"), first_group(F.col("content"), DOI), F.lit("")).alias("paper_doi"), F.coalesce(F.nullif(pmc, F.lit("")), F.upper(first_group(F.col("content"), PMCID)), F.lit("")).alias("pmcid"),
-        F.coalesce(present_("pm"), first_group(F.col("content"), PMID, 1), F.lit("")).alias("pmid"), F.coalesce("sections", html_sections(F.col("blocks"))).alias("sections"),
+        F.coalesce(present_("pm"), first_group(F.col("content"), PMID, 1), F.lit("")).alias("pmid"), F.coalesce("sections", html_sections(F.col("blocks"))).alias("sections"), *keep,
     )
-    return ids.select(paper_id_of("pmcid", "pmid", "paper_doi", "own_id"), "paper_doi", "pmcid", "pmid", "source_path", "title", "abstract", full_text(F.col("sections"), F.col("title"), F.col("abstract")).alias("full_text"), "sections")
+    return ids.select(paper_id_of("pmcid", "pmid", "paper_doi", "own_id"), "paper_doi", "pmcid", "pmid", "source_path", "title", "abstract", full_text(F.col("sections"), F.col("title"), F.col("abstract")).alias("full_text"), "sections", *keep)
 
 
 def parse_files(files: DataFrame, read_pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from citeloom.functions import identifiers as fn
 from citeloom.functions import prompts
 from citeloom.functions.registry import ACCESSION, CANONICALS, MENTION, REGISTRY, UPPER_PREFIXES, prompt_block_frame
 from citeloom.operators import candidates, extract, flatten, match, metrics, report, sections
-from citeloom.sources import readers
+from citeloom.sources import fetch, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -542,6 +542,16 @@ def html_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers.select("source_path", "title", "paper_doi", "pmcid", "pmid", F.size("sections").alias("n_sections"), F.sha2("full_text", 256).alias("text_sha256"))
 
 
+@query("select url, case when page_id % 2 = 0 then 'cache' else 'transport' end as origin, sha256(case when page_id % 2 = 0 then html else '<html><body><p>' || url || '</p></body></html>' end) as digest from pages")
+def fetch_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    known = pages.filter("page_id % 2 = 0").select("url", F.col("html").alias("content"), F.lit("text/html").alias("content_type"))
+    # In place of a network: a transport that answers with the address.
+    transport = lambda url: fetch.Response(200, f"<html><body><p>{url}</p></body></html>")
+    got = fetch.with_known(pages.select("url"), known, lambda lacking: fetch.fetch(lacking, transport, fetch.Policy(rate=1e9)))
+    return got.select("url", F.when(F.col("calls") == 0, "cache").otherwise("transport").alias("origin"), F.sha2("content", 256).alias("digest"))
+
+
 _ENDS = "'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'"
 _LINES = f"w as (select doc_id, regexp_split_to_array(coalesce(text, ''), {_ENDS}) as a from documents), l as (select doc_id, i as pos, a[i] as line from w, unnest(generate_series(1, len(a))) t(i))"
 # The rules of headings, written out here: numbered, named, or short capitals.

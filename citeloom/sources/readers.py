@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.identifiers import classify_url, is_na, normalize_doi, normalize_identifier, normalize_repository, present, slug, strip
 from citeloom.functions.registry import NA
 from citeloom.operators.sections import decoded
+from citeloom.sources import fetch as paced
 
 PAPER_FILES = r"(?i)\.(html?|n?xml|pdf)$"
 #: Column names that ground-truth files use, by field, in order (fixed values).
@@ -149,27 +150,10 @@ def sample_truth(truth: DataFrame, link: str, n: int, seed: int = 42) -> DataFra
 
 
 def fetch(urls: DataFrame, client: Callable[[str], str], tries: int = 5, at_once: int = 3) -> DataFrame:
-    """(source_url, content, error) of URLs by an injected client; failures are rows.
-
-    at_once bounds the tasks that call it.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for url in frame["url"]:
-                error = None
-                for _ in range(tries):
-                    try:
-                        out.append((url, client(url), None))
-                        break
-                    except Exception as e:  # noqa: BLE001 - told in the row
-                        error = str(e)
-                else:
-                    out.append((url, None, error))
-            yield pd.DataFrame(out, columns=["source_url", "content", "error"])
-
-    return urls.select("url").repartition(at_once).mapInPandas(run, "source_url string, content string, error string")
+    """(source_url, content, error) of URLs by an injected client that returns texts; paced and repeated as paced.fetch() says."""
+    transport = lambda url: paced.Response(200, client(url))
+    got = paced.fetch(urls.select("url", F.col("url").alias("asked")), transport, paced.Policy(tasks=at_once, tries=tries))
+    return got.select(F.col("url").alias("source_url"), "content", "error")
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
