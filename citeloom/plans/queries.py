@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as fn
-from citeloom.functions import prompts
+from citeloom.functions import lookup, prompts
 from citeloom.functions.registry import ACCESSION, CANONICALS, MENTION, REGISTRY, UPPER_PREFIXES, prompt_block_frame
 from citeloom.operators import candidates, extract, flatten, match, metrics, report, sections
 from citeloom.sources import fetch, readers
@@ -211,6 +211,12 @@ for _name, _spark, _sql in (
     ORACLE[_name] = f"with {REFS_CTE}, a as (select paper_no, pos, evidence, {s_ident(I)} as i, {s_repo(R)} as r from refs), b as (select *, {s_infer('i', 'r')} as c from a) select paper_no, pos, " + _sql.format(infer="c", url=s_url("i", "c"), valid=s_valid("i", "c"), bad=s_inconsistent("i", "evidence")) + " from b"
 
 
+@query(f"with {REFS_CTE}, a as (select paper_no, pos, {s_ident(I)} as i, {s_repo(R)} as r from refs), b as (select *, {s_infer('i', 'r')} as c from a) select paper_no, pos, r as name, c as repository, {s_url('i', 'c')} as url from b")
+def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = v_refs(spark, sf_dir).select("paper_no", "pos", lookup.look_up_repository(R).alias("name"), lookup.look_up(I, R).alias("f"))
+    return found.select("paper_no", "pos", "name", "f.repository", "f.url")
+
+
 @query(f"with {FLAT_CTE} select cast(paper_no as string) as paper_id, pmcid, pmid, paper_doi, dataset_identifier, repository, url, evidence, '' as confidence, '' as notes from flat")
 def flatten_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.flatten_references(nested(spark, sf_dir))
