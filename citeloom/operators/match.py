@@ -1,14 +1,34 @@
-"""Entity resolution of papers and the match of predictions with ground truth."""
+"""Entity resolution of papers and the match of predictions with ground truth.
+
+Both sides go through the same look-up: an index of both sides' aliases in one
+table. Each input is scanned twice, for the index and for the rows. match()
+looks up distinct keys, where nothing is hot but papers without any id, which
+no index has and which are dealt out by their datasets. The status functions
+keep rows; there, rows meet what is said of their key by (key, part), so those
+of one key are spread over PARTS tasks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.functions.identifiers import paper_key, present, synonym_group
+from citeloom.session import stored
 
 ALIASES = ("pmcid", "pmid", "paper_doi", "paper_id")
+PARTS = 32
+PREDICTION, TRUTH = "prediction", "truth"
+#: The key of a paper without any id.
+NO_ID = "paper_id:"
+
+
+def alias_rows(rows: DataFrame, order: str) -> DataFrame:
+    pairs = F.array(*[F.concat(F.lit(f"{a}:"), F.lower(present(a))) for a in ALIASES])
+    return rows.select(paper_key().alias("paper"), F.col(order).alias("since"), F.explode(pairs).alias("alias")).filter("alias is not null")
 
 
 def alias_index(rows: DataFrame, order: str = "row_id") -> DataFrame:
@@ -17,46 +37,105 @@ def alias_index(rows: DataFrame, order: str = "row_id") -> DataFrame:
     Rows group by paper_key(); an alias that several groups hold goes to the
     group that appears last.
     """
-    pairs = F.array(*[F.concat(F.lit(f"{a}:"), F.lower(present(a))) for a in ALIASES])
-    each = rows.select(paper_key().alias("paper"), order, F.explode(pairs).alias("alias")).filter("alias is not null")
+    both = index_of(alias_rows(rows, order).withColumn("side", F.lit(TRUTH)))
+    return both.select("alias", F.col("truth").alias("paper")).filter("paper is not null")
+
+
+def index_of(aliases: DataFrame) -> DataFrame:
+    """(alias, prediction, truth): the paper of an alias on each side, of aliases(side, paper, since, alias)."""
     # Rows collapse before they move: what is left of a paper are its distinct aliases.
-    held = each.groupBy("paper", "alias").agg(F.min(order).alias("since"))
-    held = held.withColumn("since", F.min("since").over(W.partitionBy("paper")))
-    return held.groupBy("alias").agg(F.max_by("paper", "since").alias("paper"))
+    held = aliases.groupBy("side", "paper", "alias").agg(F.min("since").alias("since"))
+    held = held.withColumn("since", F.min("since").over(W.partitionBy("side", "paper")))
+    last = lambda side: F.max_by(F.when(F.col("side") == side, F.col("paper")), F.when(F.col("side") == side, F.struct("since", "paper"))).alias(side)
+    return held.groupBy("alias").agg(last(PREDICTION), last(TRUTH))
+
 
+def both_indexes(predictions: DataFrame, truth: DataFrame, order: str = "row_id") -> DataFrame:
+    """index_of() both sides."""
+    sides = ((predictions, PREDICTION), (truth, TRUTH))
+    return index_of(reduce(DataFrame.unionByName, [alias_rows(df, order).withColumn("side", F.lit(side)) for df, side in sides]))
 
-def resolved(keyed: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """keyed with ``paper``: its own_key looked up in the first index, then the second, else as it is."""
-    one = first.select(F.col("alias").alias("own_key"), F.col("paper").alias("p1"))
-    two = second.select(F.col("alias").alias("own_key"), F.col("paper").alias("p2"))
-    return keyed.join(one, "own_key", "left").join(two, "own_key", "left").withColumn("paper", F.coalesce("p1", "p2", "own_key")).drop("own_key", "p1", "p2")
+
+def with_papers(keyed: DataFrame, index: DataFrame) -> DataFrame:
+    """keyed(own_key, ...) with ``prediction`` and ``truth``: the papers that the index has for own_key, null if none."""
+    rows = keyed.withColumn("part", F.pmod(F.hash(*[F.col(c) for c in keyed.columns if c != "own_key"]), F.lit(PARTS)))
+    keys = rows.groupBy("own_key", "part").agg(F.lit(1).alias("one"))
+    told = keys.select("own_key", "part").join(index.withColumnRenamed("alias", "own_key"), "own_key")
+    return rows.join(told, ["own_key", "part"], "left").drop("part")
+
+
+def paper_of(own_first: bool) -> Column:
+    """The paper that a row resolves to, the two sides' papers in the order asked for."""
+    order = (PREDICTION, TRUTH) if own_first else (TRUTH, PREDICTION)
+    return F.coalesce(*order, "own_key")
 
 
 def resolve_papers(rows: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """rows with ``paper``: its key looked up in the first index, then the second."""
-    return resolved(rows.withColumn("own_key", paper_key()), first, second)
+    """rows with ``paper``: its key looked up in the first index (alias, paper), then the second."""
+    both = first.select("alias", F.col("paper").alias(TRUTH)).join(second.select("alias", F.col("paper").alias(PREDICTION)), "alias", "full_outer")
+    return with_papers(rows.withColumn("own_key", paper_key()), both).withColumn("paper", paper_of(False)).drop("own_key", PREDICTION, TRUTH)
 
 
-def match_keys(rows: DataFrame, first: DataFrame, second: DataFrame, with_repository: bool) -> DataFrame:
-    """Distinct (paper, ds[, repo_group]) of rows; they are made distinct before the look-ups, too."""
-    ds = F.lower(F.coalesce("dataset_identifier", F.lit(""))).alias("ds")
-    group = [synonym_group("repository").alias("repo_group")] if with_repository else []
-    keys = rows.select(paper_key().alias("own_key"), ds, *group).distinct()
-    return resolved(keys, first, second).select("paper", "ds", *(["repo_group"] if with_repository else [])).distinct()
+def dataset() -> Column:
+    return F.lower(F.coalesce("dataset_identifier", F.lit(""))).alias("ds")
 
 
 def match(predictions: DataFrame, truth: DataFrame, with_repository: bool = False) -> DataFrame:
-    """(paper, ds[, repo_group], outcome): TP, FP or FN, one outer join on the keys.
+    """(paper, ds[, repo_group], outcome): TP, FP or FN, of the keys that either side has.
 
     Both inputs carry the identity columns, dataset_identifier, repository and row_id.
     """
-    gt, pred = alias_index(truth), alias_index(predictions)
-    p = match_keys(predictions, gt, pred, with_repository)
-    t = match_keys(truth, gt, pred, with_repository)
-    on = p.columns
-    both = p.withColumn("in_p", F.lit(True)).join(t.withColumn("in_t", F.lit(True)), on, "full_outer")
+    group = [synonym_group("repository").alias("repo_group")] if with_repository else []
+    on = ["paper", "ds", *(["repo_group"] if with_repository else [])]
+    keys = [df.select(F.lit(side).alias("side"), paper_key().alias("own_key"), dataset(), *group) for df, side in ((predictions, PREDICTION), (truth, TRUTH))]
+    # Distinct before the look-up, so what moves are keys and not rows.
+    distinct = keys[0].unionByName(keys[1]).distinct()
+    alias = F.when(F.col("own_key") == NO_ID, F.concat(F.lit("-"), F.col("ds"))).otherwise(F.col("own_key"))
+    met = distinct.withColumn("alias", alias).join(both_indexes(predictions, truth), "alias", "left").withColumn("paper", paper_of(False))
+    seen = met.groupBy(*on).agg(F.bool_or(F.col("side") == PREDICTION).alias("in_p"), F.bool_or(F.col("side") == TRUTH).alias("in_t"))
     outcome = F.when(F.col("in_p") & F.col("in_t"), "TP").when(F.col("in_p"), "FP").otherwise("FN")
-    return both.select(*on, outcome.alias("outcome"))
+    return seen.select(*on, outcome.alias("outcome"))
+
+
+def resolved_rows(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """(side, row_id, paper, ds, g) of the rows that name a dataset, written.
+
+    g is the repository's group. A row's own side goes before the other in the look-up.
+    """
+    sides = ((predictions, PREDICTION), (truth, TRUTH))
+    rows = [df.select(F.lit(side).alias("side"), "row_id", paper_key().alias("own_key"), dataset(), synonym_group("repository").alias("g")).filter("ds not in ('', 'n/a')") for df, side in sides]
+    keyed = stored(rows[0].unionByName(rows[1]), "keyed")
+    met = with_papers(keyed, both_indexes(predictions, truth))
+    paper = F.when(F.col("side") == PREDICTION, paper_of(True)).otherwise(paper_of(False))
+    return stored(met.select("side", "row_id", paper.alias("paper"), "ds", "g"), "resolved")
+
+
+def group_tallies(rows: DataFrame) -> DataFrame:
+    """(paper, ds, part, p_groups, t_groups, first_of): what each dataset of a paper has on either side, for each part of its rows.
+
+    p_groups and t_groups are the repository groups, t_groups with the first truth row of each.
+    """
+    # Rows first become one for each group, which are few.
+    held = rows.groupBy("paper", "ds", "side", "g").agg(F.min("row_id").alias("first"))
+    of = lambda side, value: F.collect_set(F.when(F.col("side") == side, value))
+    return held.groupBy("paper", "ds").agg(of(PREDICTION, F.col("g")).alias("p_groups"), of(TRUTH, F.struct("g", "first")).alias("t_firsts"), F.min(F.when(F.col("side") == TRUTH, F.col("first"))).alias("any"))
+
+
+def assignments(rows: DataFrame) -> DataFrame:
+    """(paper, ds, g, same, picked): what predictions of group g pick among the truth rows of their paper and dataset.
+
+    The first row of their group (same), else the first at all; nothing where there is none.
+    """
+    each = group_tallies(rows).select("paper", "ds", "any", "t_firsts", F.explode("p_groups").alias("g"))
+    own = F.try_element_at(F.filter("t_firsts", lambda t: t["g"] == F.col("g")), F.lit(1))["first"]
+    return each.select("paper", "ds", "g", own.isNotNull().alias("same"), F.coalesce(own, "any").alias("picked"))
+
+
+def spread_join(rows: DataFrame, told: DataFrame, on: list[str]) -> DataFrame:
+    """rows with what told (unique by ``on``) says, null if nothing; rows of one key are spread over PARTS tasks."""
+    rows = rows.withColumn("part", F.pmod(F.hash("row_id"), F.lit(PARTS)))
+    keys = rows.groupBy(*on, "part").agg(F.lit(1).alias("one")).drop("one")
+    return rows.join(keys.join(told, on), [*on, "part"], "left").drop("part")
 
 
 def prediction_status(predictions: DataFrame, truth: DataFrame) -> DataFrame:
@@ -65,14 +144,14 @@ def prediction_status(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     TP if a truth row has the pair and the repository's group, REPO-MISMATCH if
     only the pair, else FP. Here a prediction's own index goes before the truth's.
     """
-    gt, pred = alias_index(truth), alias_index(predictions)
-    ds = F.lower(F.coalesce("dataset_identifier", F.lit("")))
-    p = resolve_papers(predictions, pred, gt).select("row_id", "paper", ds.alias("ds"), synonym_group("repository").alias("g")).filter("ds not in ('', 'n/a')")
-    t = resolve_papers(truth, gt, pred).select("paper", ds.alias("ds"), synonym_group("repository").alias("tg")).filter("ds not in ('', 'n/a')")
-    t = t.groupBy("paper", "ds").agg(F.collect_set("tg").alias("groups"))
-    met = p.join(t, ["paper", "ds"], "left")
-    status = F.when(F.col("groups").isNull(), "FP").when(F.array_contains("groups", F.col("g")), "TP").otherwise("REPO-MISMATCH")
-    return met.select("row_id", "paper", "ds", status.alias("status"))
+    return prediction_rows(resolved_rows(predictions, truth)).select("row_id", "paper", "ds", "status")
+
+
+def prediction_rows(rows: DataFrame) -> DataFrame:
+    """(row_id, paper, ds, status, picked) of the predictions among resolved rows."""
+    met = spread_join(rows.filter(F.col("side") == PREDICTION).drop("side"), assignments(rows), ["paper", "ds", "g"])
+    status = F.when(F.col("picked").isNull(), "FP").when(F.col("same"), "TP").otherwise("REPO-MISMATCH")
+    return met.select("row_id", "paper", "ds", status.alias("status"), "picked")
 
 
 def truth_status(predictions: DataFrame, truth: DataFrame) -> DataFrame:
@@ -82,21 +161,20 @@ def truth_status(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     its repository's group, else the first of them at all. TP if a row is
     picked, REPO-MISMATCH if only its paper and dataset are predicted, else FN.
     """
-    gt, pred = alias_index(truth), alias_index(predictions)
-    ds = F.lower(F.coalesce("dataset_identifier", F.lit("")))
-    group = synonym_group("repository").alias("g")
-    p = match_keys(predictions, pred, gt, True).select("paper", "ds", F.col("repo_group").alias("g")).filter("ds not in ('', 'n/a')")
-    t = resolve_papers(truth, gt, pred).select("row_id", "paper", ds.alias("ds"), group).filter("ds not in ('', 'n/a')")
-    named = t.groupBy("paper", "ds", "g").agg(F.min("row_id").alias("same"))
-    any_ = t.groupBy("paper", "ds").agg(F.min("row_id").alias("any"))
-    picked = p.join(named, ["paper", "ds", "g"], "left").join(any_, ["paper", "ds"]).select(F.coalesce("same", "any").alias("row_id"), F.lit(True).alias("picked")).distinct()
-    met = t.join(picked, "row_id", "left").join(p.select("paper", "ds", F.lit(True).alias("met")).distinct(), ["paper", "ds"], "left")
-    status = F.when(F.col("picked"), "TP").when(F.col("met"), "REPO-MISMATCH").otherwise("FN")
+    return truth_rows(resolved_rows(predictions, truth))
+
+
+def truth_rows(rows: DataFrame) -> DataFrame:
+    """truth_status() of resolved rows."""
+    told = assignments(rows).groupBy("paper", "ds").agg(F.collect_set("picked").alias("picks"))
+    met = spread_join(rows.filter(F.col("side") == TRUTH).drop("side"), told, ["paper", "ds"])
+    status = F.when(F.array_contains("picks", F.col("row_id")), "TP").when(F.col("picks").isNotNull(), "REPO-MISMATCH").otherwise("FN")
     return met.select("row_id", "paper", "ds", status.alias("status"))
 
 
 def status_tally(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """(side, status, n) of predictions and truth rows."""
-    sides = ((predictions, "prediction", prediction_status), (truth, "truth", truth_status))
-    both = [f(predictions, truth).select(F.lit(name).alias("side"), "status") for _, name, f in sides]
+    rows = resolved_rows(predictions, truth)
+    sides = ((PREDICTION, prediction_rows(rows)), (TRUTH, truth_rows(rows)))
+    both = [df.select(F.lit(side).alias("side"), "status") for side, df in sides]
     return both[0].unionByName(both[1]).groupBy("side", "status").agg(F.count("*").alias("n"))
