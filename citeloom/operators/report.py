@@ -1,8 +1,7 @@
-"""Reports over run metrics: matrices, details, costs, comparisons, Markdown and HTML."""
+"""Reports over run metrics: matrices, details, costs, comparisons, Markdown."""
 
 from __future__ import annotations
 
-import html
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,13 +68,6 @@ def markdown_table(df: DataFrame, bold: dict[str, str] | None = None) -> str:
     return "\n".join(lines)
 
 
-def html_report(statuses: DataFrame, title: str) -> str:
-    """Prediction statuses of one model as a small HTML page."""
-    esc = lambda v: html.escape("" if v is None else str(v))
-    rows = "".join(f"<tr><td>{esc(r['paper'])}</td><td>{esc(r['ds'])}</td><td>{esc(r['status'])}</td></tr>" for r in statuses.orderBy("paper", "ds").collect())
-    return f"<html><head><title>{esc(title)}</title></head><body><h1>{esc(title)}</h1><table>{rows}</table></body></html>"
-
-
 # -- the report over metrics files ---------------------------------------------
 
 #: Orders and names in reports (fixed values).

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import identifiers as fn
 from citeloom.functions import lookup, prompts
 from citeloom.functions.registry import ACCESSION, CANONICALS, MENTION, REGISTRY, UPPER_PREFIXES, prompt_block_frame
-from citeloom.operators import candidates, extract, flatten, match, metrics, report, sections
+from citeloom.operators import candidates, extract, flatten, match, metrics, report, sections, visual
 from citeloom.sources import fetch, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -326,6 +326,13 @@ def status_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.status_tally(*sides(spark, sf_dir))
 
 
+@query(f"""with {_STATUS_CTE}, q as (select k.row_id, coalesce(o.paper, g.paper, k.paper) as paper, lower(k.dataset_identifier) as ds, {s_group('repository')} as grp, k.dataset_identifier, k.repository from pred_k k left join pred_a o on o.alias = k.paper left join truth_a g on g.alias = k.paper where lower(k.dataset_identifier) not in ('', 'n/a'))
+select 'prediction' as side, q.row_id, q.dataset_identifier as identifier, q.repository, c.row_id as picked from q left join c on c.paper = q.paper and c.ds = q.ds and c.grp = q.grp
+union all select 'truth', t.row_id, k.dataset_identifier, k.repository, null from t join truth_k k on k.row_id = t.row_id""")
+def visual_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visual.visual_rows(*sides(spark, sf_dir)).select("side", "row_id", "identifier", "repository", "picked")
+
+
 @query(f"with {matched_cte(False)}, b as (select case when outcome = 'FN' then 'missed' when regexp_matches(ds, '^[a-z]{{1,4}}$') then 'incomplete' else 'hallucinated' end as bucket, length(ds) % 2 as half from matched where outcome <> 'TP') select bucket, cast(count(*) filter (half = 0) as bigint) as left_n, cast(count(*) filter (half = 1) as bigint) as right_n from b group by 1")
 def failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     failures = metrics.failure_buckets(match.match(*sides(spark, sf_dir)))
