@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import identifiers as fn
 from citeloom.functions import lookup, prompts
 from citeloom.functions.registry import ACCESSION, CANONICALS, MENTION, REGISTRY, UPPER_PREFIXES, prompt_block_frame
-from citeloom.operators import candidates, extract, flatten, match, metrics, report, sections, visual
+from citeloom.operators import candidates, extract, flatten, match, metrics, repeats, report, sections, visual
 from citeloom.sources import fetch, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +365,17 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.run_statistics(runs, ["event_type"]).select("event_type", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
 
 
+V_RUNS = "select 'b' || cast(user_id % 2 as string) as benchmark, 'm' as model, event_type as method, cast(user_id % 7 as int) as run, cast(event_id % 3 as int) as attempt, 'f1' as metric, case when user_id % 7 = 3 then cast('nan' as double) else round(value, 2) end as value from {events} where user_id % 7 < 6 or event_type < 'm'"
+
+
+@query(f"with v as ({V_RUNS.replace('{events}', 'events')}), l as (select *, max(attempt) over (partition by benchmark, model, method, run) as last from v), d as (select benchmark, model, method, run, metric, max(value) as value from l where attempt = last group by 1, 2, 3, 4, 5), g as (select benchmark, model, method, metric, count(*) as n_runs, avg(value) filter (not isnan(value)) as mean, stddev_samp(value) filter (not isnan(value)) as std, string_agg(case when isnan(value) then 'NaN' else cast(value::decimal(20, 2) as string) end, ' ' order by run) as run_values from d group by 1, 2, 3, 4) select benchmark, model, method, metric, n_runs, round(mean, 4) as mean, round(std, 4) as std, run_values from g")
+def repeat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = spark.sql(V_RUNS, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    shown = F.array_join(F.transform("values", lambda v: F.when(F.isnan(v), "NaN").otherwise(v.cast("decimal(20,2)").cast("string"))), " ")
+    plain = lambda c: F.round(F.nanvl(F.col(c), F.lit(None).cast("double")), 4).alias(c)
+    return repeats.repeat_summary(log).select("benchmark", "model", "method", "metric", "n_runs", plain("mean"), plain("std"), shown.alias("run_values"))
+
+
 V_METRICS = "select 'b' || cast(c_nationkey % 3 as string) as benchmark, c_mktsegment as model, 'm' || cast(c_custkey % 4 as string) as method, case c_custkey % 3 when 0 then 'precision' when 1 then 'recall' else 'f1' end as metric, round(max(c_acctbal) / 10000, 4) as value from {customer} group by 1, 2, 3, 4"
 METRICS_CTE = "v as (" + V_METRICS.replace("{customer}", "customer") + ")"
 
