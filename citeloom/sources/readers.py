@@ -62,6 +62,39 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unknown kind of file: {path}")
 
 
+RESCUED = "_rescued"
+
+
+def read_ragged(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a CSV, TSV or JSON lines file whose records may not fit, all columns strings.
+
+    No record is lost. A line of too few or too many cells is a row, with nulls
+    for what it lacks, and has its raw text in the column RESCUED, null for all
+    others. A JSON line may have any fields of any type, nested ones as JSON. A
+    line that is no record at all is a reject only. rejects (raw, reason) lists
+    every record that did not fit: short, bare (one cell only), long, or broken.
+    """
+    low = path.lower()
+    if low.endswith((".csv", ".tsv")):
+        sep = "\t" if low.endswith(".tsv") else ","
+        given = spark.read.option("header", True).option("escape", '"').option("sep", sep).csv(path)
+        names = [c.lstrip("\ufeff") for c in given.columns]
+        quoted = ", ".join(f"`{c}` string" for c in [*names, RESCUED])
+        rows = spark.read.schema(quoted).option("header", True).option("enforceSchema", True).option("escape", '"').option("sep", sep).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", RESCUED).csv(path)
+        extra = F.from_csv(F.col(RESCUED), ", ".join(f"c{i} string" for i in range(len(names) + 1)), {"sep": sep, "escape": '"'})[f"c{len(names)}"]
+        reason = F.when(extra.isNotNull(), "long").when(F.col(f"`{names[0]}`").eqNullSafe(F.col(RESCUED)), "bare").otherwise("short")
+        return rows, rows.filter(F.col(RESCUED).isNotNull()).select(F.col(RESCUED).alias("raw"), reason.alias("reason"))
+    if low.endswith((".jsonl", ".ndjson")):
+        lines = spark.read.text(path).filter(strip("value") != "").select("value", F.try_parse_json("value").alias("v"))
+        whole = F.schema_of_variant("v").startswith("OBJECT")
+        fields = lines.filter(whole).select(F.explode(F.map_keys(F.from_json("value", "map<string,string>"))).alias("k")).distinct().orderBy("k")
+        names = [r["k"] for r in fields.collect()]
+        values = F.from_json("value", "map<string,string>")
+        rows = lines.filter(whole).withColumn("m", values).select(*[F.col("m")[n].alias(n) for n in names], F.lit(None).cast("string").alias(RESCUED))
+        return rows, lines.filter(~F.coalesce(whole, F.lit(False))).select(F.col("value").alias("raw"), F.lit("broken").alias("reason"))
+    raise ValueError(f"unknown kind of file: {path}")
+
+
 def pick(df: DataFrame, field: str) -> Column:
     """The first of the field's columns that is set, stripped; '' if none is."""
     have = [c for c in COLUMNS[field] if c in df.columns]
