@@ -276,22 +276,30 @@ def similar_passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int, i
     return out
 
 
-#: window: null for a verified pair, else the hash of WIDTH words of doc at start that no pair of the link covers.
-PAIR_SCHEMA = "doc long, tkey long, start int, stop int, ldoc long, ltkey long, lstart int, lstop int, window long"
+#: window: null for a verified pair, else the hash of WIDTH words of doc at start that no pair of the link covers;
+#: failed: whether no pair touches the stretch it belongs to.
+PAIR_SCHEMA = "doc long, tkey long, start int, stop int, ldoc long, ltkey long, lstart int, lstop int, window long, failed boolean"
 
 
-def uncovered(words: np.ndarray, seeds: list[tuple[int, int, int]], pairs: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """(start, hash) of windows of WIDTH words that hold a paragraph of a seed and aren't inside a pair's passage."""
+def uncovered(words: np.ndarray, seeds: list[tuple[int, int, int]], pairs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, bool]]:
+    """(start, hash, failed) of windows of WIDTH words that hold a paragraph of a seed and aren't inside a pair's passage."""
     if len(words) < WIDTH:
         return []
-    starts = set()
+    out: dict[int, bool] = {}
     for low, high, _ in seeds:
-        starts.update(range(max(0, low - WIDTH + PARAGRAPH), min(high - PARAGRAPH, len(words) - WIDTH) + 1))
-    open_ = sorted(w for w in starts if not any(i <= w and w + WIDTH <= k for i, k, _, _ in pairs))
-    if not open_:
+        first, last = max(0, low - WIDTH + PARAGRAPH), min(high - PARAGRAPH, len(words) - WIDTH)
+        open_, touched = [(first, last)], False
+        for i, k, _, _ in pairs:  # few, and in order or not
+            touched |= i < high and low < k
+            open_ = [part for x, y in open_ for part in ((x, min(y, i - 1)), (max(x, k - WIDTH + 1), y)) if part[0] <= part[1]] if i <= last and k - WIDTH >= first else open_
+        for x, y in open_:
+            for w in range(x, y + 1):
+                out[w] = out.get(w, False) or not touched
+    if not out:
         return []
-    hashes = mixed(runs(words.astype(np.uint64), WIDTH)).view(np.int64)
-    return [(w, int(hashes[w])) for w in open_]
+    least_, most = min(out), max(out)
+    hashes = mixed(runs(words[least_ : most + WIDTH].astype(np.uint64), WIDTH)).view(np.int64)
+    return [(w, int(hashes[w - least_]), failed) for w, failed in sorted(out.items())]
 
 
 def verified_pairs(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
@@ -333,19 +341,19 @@ def verified_pairs(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
                 b = theirs[llow : lstop + AROUND]
                 own_seeds = [(s - low, e - low, d + llow - low) for s, e, d in np.frombuffer(seeds, np.int32).reshape(-1, 3).tolist()]
                 alike = similar_passages(a, b, own_seeds, width)
-                out += [(doc, tkey, w + low, w + low + WIDTH, ldoc, ltkey, None, None, h) for w, h in uncovered(a, own_seeds, alike)]
+                out += [(doc, tkey, w + low, w + low + WIDTH, ldoc, ltkey, None, None, h, f) for w, h, f in uncovered(a, own_seeds, alike)]
                 for i, k, j, m in alike:
                     i, k, j, m = i + low, k + low, j + llow, m + llow
                     if doc == ldoc and m > i:  # it runs into itself: as much as doesn't
                         if k - i != m - j or i - j < width:
                             continue
                         k, m = i + (i - j), i
-                    out.append((doc, tkey, i, k, ldoc, ltkey, j, m, None))
+                    out.append((doc, tkey, i, k, ldoc, ltkey, j, m, None, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), pair_types, strict=True)], pair_names)
 
     pair_names = [f.split()[0] for f in PAIR_SCHEMA.split(", ")]
-    pair_types = [pa.int64() if f.endswith("long") else pa.int32() for f in PAIR_SCHEMA.split(", ")]
+    pair_types = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[f.split()[1]] for f in PAIR_SCHEMA.split(", ")]
     # Both joins move the texts by document, so one exchange serves both; the
     # plan is the same at every size.
     mine = texts.join(listed.hint("merge"), "doc").mapInArrow(own, own_schema)
@@ -354,16 +362,18 @@ def verified_pairs(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
 
 
 def hidden_links(open_: DataFrame) -> DataFrame:
-    """(doc, start, stop, ldoc, diagonal): places of open_(doc, start, window) linked with the least of their window.
+    """(doc, start, stop, ldoc, diagonal): places of open_(doc, start, window, failed) linked with the least of their window.
 
-    Places of a window are spread over SALTS keys and meet in two levels.
+    Windows that only verified links leave open are not compared: what lies
+    beyond those has bands of its own. Places of a window are spread over SALTS
+    keys and meet in two levels.
     """
-    rows = open_.select("doc", "start", "window", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")).distinct()
-    first = rows.groupBy("window", "salt").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count("*").alias("n"))
-    root = first.groupBy("window").agg(F.min("lead").alias("lead"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    rows = open_.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).groupBy("window", "salt", "doc", "start").agg(F.bool_or("failed").alias("failed"))
+    first = rows.groupBy("window", "salt").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count("*").alias("n"), F.bool_or("failed").alias("failed"))
+    root = first.groupBy("window").agg(F.min("lead").alias("lead"), F.sum("n").alias("n"), F.bool_or("failed").alias("failed")).filter("n > 1 and failed").drop("n", "failed")
     met = rows.join(first.select("window", "salt").join(root, "window"), ["window", "salt"])
     met = met.select("doc", "start", (F.col("start") + WIDTH).alias("stop"), F.col("lead.doc").alias("ldoc"), (F.col("start") - F.col("lead.start")).alias("diagonal"))
-    return met.filter(f"(doc <> ldoc or diagonal >= {WIDTH}) and (doc <> ldoc or diagonal <> 0)")
+    return met.filter(f"doc <> ldoc or diagonal >= {WIDTH}")
 
 
 # -- removals ----------------------------------------------------------------
@@ -402,11 +412,11 @@ def passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     forget(linked)
     judged = materialise(verified_pairs(docs, found, width), "judged")
     forget(found)
-    pairs = judged.filter("window is null").drop("window")
+    pairs = judged.filter("window is null").drop("window", "failed")
     hidden = materialise(hidden_links(judged.filter("window is not null")), "hidden")
     if not hidden.isEmpty():
         more = materialise(candidate_runs(hidden), "runs")
-        pairs = pairs.unionByName(verified_pairs(docs, more, width).filter("window is null").drop("window")).distinct()
+        pairs = pairs.unionByName(verified_pairs(docs, more, width).filter("window is null").drop("window", "failed")).distinct()
         pairs = materialise(pairs, "pairs")
         forget(judged, more)
     forget(hidden)
