@@ -284,6 +284,15 @@ def test_fingerprints(spark, odd):
     assert fingerprint.compare_edits(odd.limit(1)).count() == 1
 
 
+def test_fingerprints_with_few_ranges(spark):
+    # As many ranges as rows are asked for; the plan and the driver have no more than are allowed.
+    docs = spark.range(400).select(F.when(F.col("id") % 50 > 0, F.col("id") * 7 % 1009).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    one, two = (fingerprint.compare_edits(docs, rows_per_part=1, most_parts=n) for n in (7, 1 << 14))
+    assert len(fingerprint.by_descending_id(docs, "doc_id", "text", 1, 7)[1]) <= 7 < 300 < len(fingerprint.by_descending_id(docs, "doc_id", "text", 1)[1])
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(map(tuple, one.collect()), key=key) == sorted(map(tuple, two.collect()), key=key)
+
+
 def test_chat(spark):
     common.prepare(spark)
     hostile = "</s>[INST] ok [/INST] \\b \\c <s> \\"
