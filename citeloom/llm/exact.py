@@ -3,9 +3,10 @@
 A tree merge of sorted digest runs. Rows are dealt to ``runs`` runs by a hash of
 their id, so copies of one text spread over all runs. In a run, sorted by
 digest, a text is one entry (digest, best id, rows). Runs then merge in binomial
-rounds: those whose numbers agree but for the last bits are exchanged, sorted
-together, and of a digest's entries the one with the best id stays, with the
-sum of their rows, until one run is left. A run is spread over all partitions by
+rounds, FAN_IN of them at a time: those whose numbers agree but for the last
+bits are exchanged, merged in the order of digests, and of a digest's entries
+the one with the best id stays, with the sum of their rows, until one run is
+left. Texts are digested once; what is written and goes on are their digests. A run is spread over all partitions by
 digest, so the last round is no single task. The way back goes down the same
 tree: the final entry of a digest meets at most ``runs`` entries of the first
 level, and each of those meets the rows of its own run only. No step joins or
@@ -22,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import fresh, text_of
+from citeloom.llm.common import fresh, materialise, text_of
 
-RUNS, FAN_IN = 64, 2
+RUNS, FAN_IN = 64, 4
 
 
 def merge_runs(entries: DataFrame, keys: list[str], best: str, runs: int, fan_in: int, largest: bool) -> DataFrame:
@@ -54,7 +55,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(docs[id_col].alias("id"), text.alias("t")).select("id", F.sha2("t", 256).alias("digest"), F.octet_length("t").alias("bytes"), F.xxhash64("t").alias("check"))
     keys = ["digest", "bytes", "check"]
     rows = rows.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int"))
-    rows = rows.repartition("run", *keys)
+    rows = materialise(rows, "digests").repartition("run", *keys)
     in_run = W.partitionBy("run", *keys)
     order = F.col("id").desc_nulls_last() if largest else F.col("id").asc_nulls_last()
     rows = rows.withColumn("at", F.row_number().over(in_run.orderBy(order))).withColumn("rows", F.count("*").over(in_run))
