@@ -119,18 +119,23 @@ def shown(value: Any, places: int = 4) -> str:
     return "-" if value is None else f"{value:.{places}f}" if isinstance(value, float) else str(value)
 
 
-def _detail(row) -> list[str]:
-    pair, triple = row["pair_micro"], row["triple_micro"]
-    lines = ["| Metric | Pair | Triple |", "|---|---|---|"]
-    lines += [f"| {k} | {shown(pair[k] if pair else None)} | {shown(triple[k] if triple else None)} |" for k in (*METRICS, "tp", "fp", "fn")]
-    macro = row["pair_macro"], row["triple_macro"]
-    lines += ["", f"Macro F1: pair **{shown(macro[0] and macro[0]['f1'])}** over {shown(macro[0] and macro[0]['n_papers'])} papers, triple **{shown(macro[1] and macro[1]['f1'])}**."]
-    if cov := row["coverage"]:
-        lines += ["", "Coverage:", *[f"- {name.replace('_', ' ')}: {shown(cov[name])}" for name in cov.asDict()]]
-    for bucket, found in (row["failures"].asDict() if row["failures"] else {}).items():
-        if found and found["n"]:
-            lines += ["", f"**{bucket}** ({found['n']} in all):", *[f"- {', '.join(x)}" for x in (found["examples"] or [])[:5]]]
-    return [*lines, ""]
+#: What a run's details list, by part of its record (fixed values).
+COUNTS = ("tp", "fp", "fn")
+DETAILS = {
+    "pair_micro": (*METRICS, *COUNTS), "triple_micro": (*METRICS, *COUNTS), "pair_macro": (*METRICS, "n_papers"), "triple_macro": (*METRICS, "n_papers"),
+    "coverage": ("papers_with_predictions", "papers_in_groundtruth", "empty_papers", "total_predictions", "na_predictions", "total_groundtruth"),
+}
+BUCKETS = ("missed", "hallucinated", "incomplete")
+
+
+def detail_rows(loaded: DataFrame) -> DataFrame:
+    """(benchmark, model, label, pos, part, item, value): a record's numbers and first failures as one long frame; what it lacks has no row."""
+    text = lambda c, kind: F.when(c.isNotNull(), F.format_string("%.4f", c) if kind == "double" else c.cast("string"))
+    items = [(part, name, text(F.col(f"{part}.{name}"), "double" if name in METRICS else "bigint")) for part, names in DETAILS.items() for name in names]
+    items += [("failures", b, F.nullif(F.col(f"failures.{b}.n").cast("string"), F.lit("0"))) for b in BUCKETS]
+    items += [(f"first {b}", str(k + 1), F.array_join(F.try_element_at(F.col(f"failures.{b}.examples"), F.lit(k + 1)), ", ")) for b in BUCKETS for k in range(5)]
+    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(part).alias("part"), F.lit(item).alias("item"), value.alias("value")) for i, (part, item, value) in enumerate(items)])
+    return loaded.select("benchmark", "model", "label", F.explode(rows).alias("r")).select("benchmark", "model", "label", "r.*").filter("value is not null")
 
 
 def generate_report(loaded: DataFrame, summaries: DataFrame | None = None) -> str:
@@ -150,9 +155,13 @@ def generate_report(loaded: DataFrame, summaries: DataFrame | None = None) -> st
                 text = shown(r[scope][m] if r[scope] else None)
                 cells.append(f"**{text}**" if best.get((r["benchmark"], r["model"], r["label"], scope, m)) else text)
         out.append("| " + " | ".join(cells) + " |")
+    own: dict[tuple, list] = {}
+    for r in detail_rows(loaded).orderBy("pos").collect():
+        own.setdefault((r["benchmark"], r["model"], r["label"]), []).append(f"| {r['part']} | {r['item']} | {r['value']} |")
     out += ["", "## Details", ""]
     for r in runs:
-        out += [f"### {r['benchmark'].upper()}, {r['shown_model']}, {r['label']}", "", *_detail(r)]
+        listed = own.get((r["benchmark"], r["model"], r["label"]), [])
+        out += [f"### {r['benchmark'].upper()}, {r['shown_model']}, {r['label']}", "", "| Part | Item | Value |", "|---|---|---|", *listed, ""]
     if summaries is not None and (costs := report_order(summaries.withColumn("label", F.col("method")).withColumn("shown_model", display_model("model"))).collect()):
         out += ["## Cost and time", "", "| Benchmark | Model | Method | Time (s) | Input tokens | Cost (USD) |", "|---|---|---|---|---|---|"]
         for r in costs:

@@ -78,3 +78,12 @@ def test_registry_of_a_file(tmp_path):
     code = "from citeloom.functions import registry; print(registry.CANONICALS, registry.ACCESSION)"
     out = subprocess.run([sys.executable, "-c", code], env=os.environ | {registry.REGISTRY_FILE: str(path)}, capture_output=True, text=True).stdout
     assert "('MyStore',)" in out and "MS\\-" in out
+
+
+def test_details_are_one_long_frame(spark, tmp_path):
+    record = {"pair_micro": {"precision": 1.0, "recall": 0.5, "f1": 0.6667, "tp": 1, "fp": 0, "fn": 1}, "coverage": {"empty_papers": 2}, "failures": {"missed": {"n": 7, "examples": [["p", "gse1"], ["q", "gse2"]]}, "incomplete": {"n": 0, "examples": []}}}
+    (tmp_path / "exp_m_rtr.json").write_text(json.dumps(record))
+    loaded = report.load_metrics(spark, str(tmp_path))
+    rows = [(r.part, r.item, r.value) for r in report.detail_rows(loaded).orderBy("pos").collect()]
+    assert rows == [("pair_micro", "precision", "1.0000"), ("pair_micro", "recall", "0.5000"), ("pair_micro", "f1", "0.6667"), ("pair_micro", "tp", "1"), ("pair_micro", "fp", "0"), ("pair_micro", "fn", "1"), ("coverage", "empty_papers", "2"), ("failures", "missed", "7"), ("first missed", "1", "p, gse1"), ("first missed", "2", "q, gse2")]
+    assert "| first missed | 2 | q, gse2 |" in report.generate_report(loaded)
