@@ -1,4 +1,4 @@
-"""Command line: python -m citeloom prepare | fetch | predict | evaluate | compare | report | visualize | repeats | run.
+"""Command line: python -m citeloom prepare | fetch | predict | evaluate | compare | report | costs | visualize | repeats | run.
 
 --pdf-reader and --transport name callables as module:name: a reader takes a
 PDF's bytes and returns its pages' texts, a transport takes a URL and returns a
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import json
 import time
 from collections.abc import Callable
 
@@ -110,6 +111,12 @@ def write_report(spark: SparkSession, folder: str, out: str, summaries: list[dic
     return text
 
 
+def load_runs(spark: SparkSession, path: str) -> list[dict]:
+    """The run summaries that run() wrote."""
+    text = spark.read.option("wholetext", True).text(path).first()["value"]
+    return json.loads(text).get("runs", [])
+
+
 def visualize(spark: SparkSession, predictions: str, truth: str, out: str, benchmark: str = "exp", model: str = "", method: str = "") -> list[str]:
     """Pages of both sides of one run."""
     rows = visual.visual_rows(load_predictions(spark, predictions), load_truth(spark, truth))
@@ -189,6 +196,7 @@ def main(argv: list[str] | None = None) -> int:
     command("evaluate", "predictions", "groundtruth", "output", label="", model="", benchmark="")
     command("compare", "left", "right")
     command("report", "metrics", "output")
+    command("costs", "runs")
     command("visualize", "predictions", "groundtruth", "output", benchmark="exp", model="", method="")
     command("repeats", "metrics", "log", "run", "output")
     command("run", "groundtruth", "output", input="", urls="", transport="", benchmark="exp", model="offline", strategies="rtr,fdr", skip="", **{"pdf-reader": ""}).add_argument("--skip-pdf", action="store_true")
@@ -206,6 +214,8 @@ def main(argv: list[str] | None = None) -> int:
         print(compare(spark, a.left, a.right))
     elif a.command == "report":
         print(write_report(spark, a.metrics, a.output))
+    elif a.command == "costs":
+        print(report.cost_text(load_runs(spark, a.runs)))
     elif a.command == "visualize":
         print("\n".join(visualize(spark, a.predictions, a.groundtruth, a.output, a.benchmark, a.model, a.method)))
     elif a.command == "repeats":

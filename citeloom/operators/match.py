@@ -76,6 +76,16 @@ def resolve_papers(rows: DataFrame, first: DataFrame, second: DataFrame) -> Data
     return with_papers(rows.withColumn("own_key", paper_key()), both).withColumn("paper", paper_of(False)).drop("own_key", PREDICTION, TRUTH)
 
 
+def group_by_paper(rows: DataFrame, columns: list[str], block_bits: int = 10, order: str = "row_id") -> DataFrame:
+    """(paper, part, n, rows): the rows of each paper as a list in order, in parts of at most 2**block_bits numbers.
+
+    A part is a range of row numbers, so no list grows with what one paper has.
+    """
+    item = F.struct(order, *[c for c in columns if c != order])
+    parts = rows.groupBy(paper_key().alias("paper"), F.shiftright(order, block_bits).alias("part"))
+    return parts.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(item)).alias("rows"))
+
+
 def dataset() -> Column:
     return F.lower(F.coalesce("dataset_identifier", F.lit(""))).alias("ds")
 

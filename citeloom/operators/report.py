@@ -168,3 +168,20 @@ def generate_report(loaded: DataFrame, summaries: DataFrame | None = None) -> st
             tokens = "-" if r["tokens"] is None else f"{int(r['tokens']):,}"
             out.append(f"| {r['benchmark'].upper()} | {r['shown_model']} | {r['method']} | {shown(r['elapsed_sec'], 1)} | {tokens} | {shown(r['cost_usd'])} |")
     return "\n".join(out) + "\n"
+
+
+def aligned(rows: list[tuple[str, ...]]) -> str:
+    """Rows as text in columns, a rule below the first."""
+    widths = [max(map(len, column)) for column in zip(*rows, strict=True)]
+    lines = ["  ".join(cell.ljust(w) for cell, w in zip(row, widths, strict=True)).rstrip() for row in rows]
+    return "\n".join([lines[0], "  ".join("-" * w for w in widths), *lines[1:]])
+
+
+def cost_text(summaries: list[dict[str, Any]]) -> str:
+    """Time, tokens and cost of each run, for a console: what was counted or reported goes before what was estimated."""
+    first = lambda cost, *names: next((str(cost[n]) for n in names if cost.get(n)), "-")
+    rows = [("Benchmark", "Model", "Method", "Time(s)", "Input tokens", "Cost($)")]
+    for s in summaries:
+        cost = s.get("cost") or {}
+        rows.append((*(str(s.get(k) or "-") for k in ("benchmark", "model", "method", "elapsed_sec")), first(cost, "input_tokens_total", "input_tokens", "approx_input_tokens"), first(cost, "reported_cost_usd", "cost_usd", "approx_cost_usd")))
+    return aligned(rows) if len(rows) > 1 else ""

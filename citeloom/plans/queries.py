@@ -249,6 +249,12 @@ def resolve_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.resolve_papers(p, match.alias_index(t), match.alias_index(p)).select("row_id", "paper")
 
 
+@query(f"with {SIDES_CTE}, k as (select *, {KEY_SQL} as paper, row_id >> 3 as part from pred) select paper, part, count(*) as n, string_agg(coalesce(dataset_identifier, ''), '|' order by row_id) as listed from k group by paper, part")
+def grouped_by_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = match.group_by_paper(sides(spark, sf_dir)[0], ["dataset_identifier"], 3)
+    return grouped.select("paper", "part", "n", F.array_join(F.transform("rows", lambda r: F.coalesce(r["dataset_identifier"], F.lit(""))), "|").alias("listed"))
+
+
 def _outcome(kind: str) -> None:
     QUERIES[f"match_pairs_{kind.lower()}"] = lambda spark, sf_dir: match.match(*sides(spark, sf_dir)).filter(F.col("outcome") == kind).select("paper", "ds")
     ORACLE[f"match_pairs_{kind.lower()}"] = f"with {matched_cte(False)} select paper, ds from matched where outcome = '{kind}'"

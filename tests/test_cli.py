@@ -27,6 +27,9 @@ def test_pdf_files_are_read_or_refused(spark, folder, capsys):
     runs = json.loads((folder / "out/runs.json").read_text())["runs"]
     assert [(r["model"], r["n_papers"], r["n_predictions"]) for r in runs] == [("m", 2, 2), ("n/2", 2, 2)] and "| EXP | 2 | rtr | **1.0000**" in text
     assert list((folder / "out/visual/exp_n-2_rtr").glob("benchmark=exp/model=n-2/part-*.html")) and (folder / "out/visual/exp_m_rtr/index.html").exists()
+    assert app.main(["costs", "--runs", f"{out}/runs.json"]) == 0
+    shown = capsys.readouterr().out.splitlines()
+    assert shown[0].split() == ["Benchmark", "Model", "Method", "Time(s)", "Input", "tokens", "Cost($)"] and [x.split()[:3] for x in shown[2:]] == [["exp", "m", "rtr"], ["exp", "n/2", "rtr"]]
     # What is skipped isn't made again; what isn't there can't be skipped.
     (folder / "truth.csv").write_text("pmcid,accession,database\nPMC1,GSE1,GEO\n")
     again = app.run(spark, "nowhere", truth, out, model="m", strategies=("rtr",), skip=("prepare", "predict", "visualize", "status"))

@@ -96,3 +96,11 @@ def test_rows_of_one_key_are_spread(spark):
     assert "own_key" in text and "part" in text
     parts = keyed.withColumn("part", F.pmod(F.hash("row_id"), F.lit(match.PARTS))).groupBy("part").count().agg(F.max("count")).first()[0]
     assert parts < 2 * 6400 / match.PARTS
+
+
+def test_papers_in_parts(spark):
+    _, truth, _, rows = sides(spark, 60, hot=50)
+    got = match.group_by_paper(truth, ["dataset_identifier"], 4).collect()
+    assert sum(r.n for r in got) == len(rows) and max(r.n for r in got) <= 16
+    assert sorted((x.row_id, x.dataset_identifier) for r in got for x in r.rows) == sorted((r[0], r[5]) for r in rows)
+    assert all([x.row_id for x in r.rows] == sorted(x.row_id for x in r.rows) for r in got)
