@@ -435,9 +435,11 @@ def _bullets() -> str:
     return ", ".join(f"({i}, {q(c)}, {q('  - ' + c + ': ' + (', '.join(x + '####' for x in p) or 'DOI or repository-specific identifier'))})" for i, (c, p) in ((next(k for k, r in enumerate(REGISTRY) if r.canonical == c), (c, p)) for c, p in own.items()))
 
 
-@query(f"select pos::int as pos, canonical, bullet from (values {_bullets()}) t(pos, canonical, bullet)")
+@query(f"with {REFS_CTE}, a as (select {s_ident(I)} as i, {s_repo(R)} as r from refs), n as (select {s_infer('i', 'r')} as canonical, count(*) as n from a group by 1), b as (select * from (values {_bullets()}) t(pos, canonical, bullet)) select b.pos::int as pos, b.canonical, b.bullet, coalesce(n.n, 0) as n_references from b left join n on n.canonical = b.canonical")
 def prompt_repo_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompt_block_frame(spark)
+    """The prompt's list of repositories, each with the references that the data have of it."""
+    named = v_refs(spark, sf_dir).select(fn.infer_repository(I, R).alias("canonical")).groupBy("canonical").agg(F.count("*").alias("n_references"))
+    return prompt_block_frame(spark).join(named, "canonical", "left").select("pos", "canonical", "bullet", F.coalesce("n_references", F.lit(0)).alias("n_references"))
 
 
 V_URLS = "select o_orderkey as row_id, case o_orderkey % 4 when 0 then 'https://pmc.ncbi.nlm.nih.gov/articles/PMC' || cast(1000000 + o_custkey as string) || '/' when 1 then 'https://doi.org/10.1234/p' || cast(o_custkey as string) when 2 then 'http://pubmed/pubmed/' || cast(o_custkey as string) else 'https://example.org/a/' || cast(o_custkey as string) || '.html' end as url from {orders}"
