@@ -15,11 +15,12 @@ from functools import cache
 import ahocorasick
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.identifiers import col, normalize_identifier, strip
 from citeloom.functions.registry import NA, REGISTRY, Repository
+from citeloom.session import reach_workers
 
 FOUND = "struct<repository:string,url:string>"
 
@@ -92,8 +93,14 @@ def by_value(values: pa.Array, of: Callable[[str], str]) -> list[str]:
     return [known[i] for i in coded.indices.to_pylist()]
 
 
+def _reach() -> None:
+    if (spark := SparkSession.getActiveSession()) is not None:
+        reach_workers(spark)
+
+
 def look_up_repository(c: str | Column) -> Column:
     """What normalize_repository() says, by the automaton."""
+    _reach()
 
     @F.pandas_udf("string")
     def named(s: pd.Series) -> pd.Series:
@@ -104,6 +111,7 @@ def look_up_repository(c: str | Column) -> Column:
 
 def look_up(identifier: str | Column, repository: str | Column) -> Column:
     """(repository, url): what infer_repository() and build_dataset_url() say, by one pass over a batch."""
+    _reach()
 
     @F.pandas_udf(FOUND)
     def found(ids: pd.Series, names: pd.Series) -> pd.DataFrame:
