@@ -168,9 +168,9 @@ def run(
             if "evaluate" not in skip:
                 evaluate(spark, predictions, truth, f"{out}/metrics/{at}.json", label=strategy, model=name, benchmark=benchmark)
             if "status" not in skip:
-                rows = match.resolved_rows(load_predictions(spark, predictions), load_truth(spark, truth))
-                match.prediction_rows(rows).select("row_id", "paper", "ds", "status").write.mode("overwrite").parquet(f"{out}/status/{at}/predictions")
-                match.truth_rows(rows).write.mode("overwrite").parquet(f"{out}/status/{at}/truth")
+                rows = match.judged(match.resolved_rows(load_predictions(spark, predictions), load_truth(spark, truth)))
+                for side, folder in ((match.PREDICTION, "predictions"), (match.TRUTH, "truth")):
+                    rows.filter(F.col("side") == side).select("row_id", "paper", "ds", "status").write.mode("overwrite").parquet(f"{out}/status/{at}/{folder}")
             if "visualize" not in skip:
                 visualize(spark, predictions, truth, f"{out}/visual/{at}", benchmark, name, strategy)
     if summaries:

@@ -28,15 +28,11 @@ ROW = "paper string, side string, row_id long, label string, identifier string,
 
 def visual_rows(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """(ROW) of all rows that name a dataset: what the inputs say of them, their status, and the truth row a prediction picked."""
-    rows = match.resolved_rows(predictions, truth)
-    sides = ((predictions, match.PREDICTION, match.prediction_rows(rows)), (truth, match.TRUTH, match.truth_rows(rows).withColumn("picked", F.lit(None).cast("long"))))
-
-    def shown(df: DataFrame, side: str, judged: DataFrame) -> DataFrame:
-        text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
-        said = df.select("row_id", F.coalesce(present("paper_id"), present("pmcid"), F.lit("")).alias("label"), text("dataset_identifier").alias("identifier"), text("repository").alias("repository"), text("url").alias("url"))
-        return judged.join(said, "row_id").select("paper", F.lit(side).alias("side"), F.col("row_id").cast("long").alias("row_id"), "label", "identifier", "repository", "url", "status", F.col("picked").cast("long").alias("picked"))
-
-    return shown(*sides[0]).unionByName(shown(*sides[1]))
+    text = lambda c: lambda df: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
+    label = lambda df: F.coalesce(present("paper_id"), present("pmcid"), F.lit(""))
+    # What is shown goes along with the rows, so nothing is joined back.
+    rows = match.resolved_rows(predictions, truth, {"label": label, "identifier": text("dataset_identifier"), "repository": text("repository"), "url": text("url")})
+    return match.judged(rows).select("paper", "side", F.col("row_id").cast("long").alias("row_id"), "label", "identifier", "repository", "url", "status", F.col("picked").cast("long").alias("picked"))
 
 
 def escaped(c: Column) -> Column:

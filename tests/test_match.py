@@ -104,3 +104,22 @@ def test_papers_in_parts(spark):
     assert sum(r.n for r in got) == len(rows) and max(r.n for r in got) <= 16
     assert sorted((x.row_id, x.dataset_identifier) for r in got for x in r.rows) == sorted((r[0], r[5]) for r in rows)
     assert all([x.row_id for x in r.rows] == sorted(x.row_id for x in r.rows) for r in got)
+
+
+def test_both_ways_of_judging_agree(spark, monkeypatch):
+    predictions, truth, a, b = sides(spark, 300, hot=60)
+    extra = {"said": lambda df: F.col("dataset_identifier")}
+    rows = match.resolved_rows(predictions, truth, extra)
+    shown = lambda df: sorted(map(tuple, df.select("side", "row_id", "paper", "ds", "g", "said", "status", "picked").collect()), key=str)
+    few = shown(match.judged(rows))
+    plan = match.judged(rows)._jdf.queryExecution().executedPlan().toString()
+    # Rows move once, to their paper and dataset.
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    monkeypatch.setattr(match, "crowded", lambda *_: True)
+    assert shown(match.judged(match.resolved_rows(predictions, truth, extra))) == few and len(few) > 300
+
+
+def test_crowded_keys_are_noticed(spark, monkeypatch):
+    monkeypatch.setattr(match, "MOST_ROWS", 100)
+    rows = spark.range(4000).withColumn("k", F.when(F.col("id") < 200, -1).otherwise(F.col("id")))
+    assert match.crowded(rows, "k") and not match.crowded(rows, "id") and not match.crowded(rows.limit(0), "k")
