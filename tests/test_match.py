@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from citeloom.functions.identifiers import synonym_group
-from citeloom.operators import match
+from citeloom.operators import match, metrics
 
 SIDE = "row_id long, paper_id string, pmcid string, pmid string, paper_doi string, dataset_identifier string, repository string"
 
@@ -123,3 +123,18 @@ def test_crowded_keys_are_noticed(spark, monkeypatch):
     monkeypatch.setattr(match, "MOST_ROWS", 100)
     rows = spark.range(4000).withColumn("k", F.when(F.col("id") < 200, -1).otherwise(F.col("id")))
     assert match.crowded(rows, "k") and not match.crowded(rows, "id") and not match.crowded(rows.limit(0), "k")
+
+
+def test_failures_are_told_in_one_pass(spark):
+    predictions, truth, *_ = sides(spark, 200)
+    for triples in (False, True):
+        matched = match.match(predictions, truth, triples)
+        rows = matched.collect()
+        missed = {(r.paper, r.ds) for r in rows if r.outcome == "FN"}
+        letters = lambda ds: 0 < len(ds) <= 4 and ds.isalpha()
+        wrong = lambda r: "wrong_repository" if (r.paper, r.ds) in missed else "hallucinated"
+        name = lambda r: "missed" if r.outcome == "FN" else wrong(r) if triples else "incomplete" if letters(r.ds) else "hallucinated"
+        failures = metrics.failure_buckets(matched)
+        assert sorted(map(tuple, failures.collect())) == sorted((r.paper, r.ds, name(r)) for r in rows if r.outcome != "TP")
+        # The match is computed once.
+        assert failures._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
