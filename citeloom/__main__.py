@@ -113,7 +113,7 @@ def write_report(spark: SparkSession, folder: str, out: str, summaries: list[dic
 
 def load_runs(spark: SparkSession, path: str) -> list[dict]:
     """The run summaries that run() wrote."""
-    text = spark.read.option("wholetext", True).text(path).first()["value"]
+    text = spark.read.text(path, wholetext=True).first()["value"]
     return json.loads(text).get("runs", [])
 
 
