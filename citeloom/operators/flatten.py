@@ -14,27 +14,37 @@ EVIDENCE_CHARS = 500
 ITEMS = "array<struct<dataset_identifier:string,repository:string,evidence:string,confidence:string,notes:string>>"
 
 
-def normalized(item: Column) -> Column:
-    """One reference as a prediction struct with its de-duplication key and verdict."""
-    text = lambda n: F.coalesce(item[n], F.lit(""))
+def text(item: Column, name: str) -> Column:
+    return F.coalesce(item[name], F.lit(""))
+
+
+def given(item: Column) -> Column:
+    """The identifier of a reference, normalized."""
+    return F.when(is_na(item["dataset_identifier"]), F.lit(NA)).otherwise(normalize_identifier(item["dataset_identifier"]))
+
+
+def named(item: Column) -> Column:
+    """The repository that a reference names, normalized; "" if none."""
+    return F.when(is_na(item["repository"]), F.lit("")).otherwise(normalize_repository(item["repository"]))
 
-    def made(given: Column, canon: Column) -> Column:
-        missing = given == NA
-        repo = F.when(missing, F.when(canon == "", NA).otherwise(canon)).otherwise(infer_known(given, canon))
-        return let(repo, lambda r: whole(given, missing, r))
 
-    def whole(given: Column, missing: Column, repo: Column) -> Column:
-        evidence = F.left(text("evidence"), F.lit(EVIDENCE_CHARS))
-        good = missing | (validate_identifier(given, repo) & ~evidence_inconsistent(given, evidence))
-        return F.struct(
-            given.alias("dataset_identifier"), repo.alias("repository"), F.when(missing, "").otherwise(url_known(given, repo)).alias("url"), evidence.alias("evidence"),
-            F.when(missing, "").otherwise(text("confidence")).alias("confidence"), text("notes").alias("notes"),
-            F.concat(F.lower(given), F.lit("\x01"), synonym_group(F.when(missing & (repo == NA), F.lit("")).otherwise(repo))).alias("key"), good.alias("good"),
-        )
+def inferred(given: Column, named: Column) -> Column:
+    return F.when(given == NA, F.when(named == "", NA).otherwise(named)).otherwise(infer_known(given, named))
 
-    given = F.when(is_na(item["dataset_identifier"]), F.lit(NA)).otherwise(normalize_identifier(item["dataset_identifier"]))
-    canon = F.when(is_na(item["repository"]), F.lit("")).otherwise(normalize_repository(item["repository"]))
-    return let(given, lambda g: let(canon, lambda c: made(g, c)))
+
+def made_of(item: Column, given: Column, repo: Column) -> Column:
+    missing, evidence = given == NA, F.left(text(item, "evidence"), F.lit(EVIDENCE_CHARS))
+    good = missing | (validate_identifier(given, repo) & ~evidence_inconsistent(given, evidence))
+    return F.struct(
+        given.alias("dataset_identifier"), repo.alias("repository"), F.when(missing, "").otherwise(url_known(given, repo)).alias("url"), evidence.alias("evidence"),
+        F.when(missing, "").otherwise(text(item, "confidence")).alias("confidence"), text(item, "notes").alias("notes"),
+        F.concat(F.lower(given), F.lit("\x01"), synonym_group(F.when(missing & (repo == NA), F.lit("")).otherwise(repo))).alias("key"), good.alias("good"),
+    )
+
+
+def normalized(item: Column) -> Column:
+    """One reference as a prediction struct with its de-duplication key and verdict."""
+    return let(given(item), lambda g: let(let(named(item), lambda n: inferred(g, n)), lambda r: made_of(item, g, r)))
 
 
 def na_row() -> Column:
@@ -66,13 +76,18 @@ def flatten_by_window(rows: DataFrame, order: str = "pos") -> DataFrame:
     """The same over rows (header, item columns, order), for very long lists.
 
     First occurrences come from row_number() over (paper, key), which Spark
-    limits before it shuffles. Papers without any good row get their N/A row.
+    limits before it shuffles. Each reference is normalized once. Along with it
+    goes an N/A row without a key; of a paper's N/A rows the first stays, those
+    of good references first, and is dropped if it is one of these.
     """
     from pyspark.sql import Window as W
 
     item = F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in ITEM])
-    made = rows.select(*HEADER, order, normalized(item).alias("r"))
-    ranked = made.filter("r.good").withColumn("n", F.row_number().over(W.partitionBy(*HEADER, "r.key").orderBy(order))).filter("n = 1").select(*HEADER, "r.*").drop("key", "good")
-    papers = rows.select(*HEADER).distinct()
-    lacking = papers.join(ranked.select(*HEADER).distinct(), list(HEADER), "left_anti").select(*HEADER, na_row().alias("r")).select(*HEADER, "r.*").drop("key", "good")
-    return ranked.unionByName(lacking)
+    # In steps, so that each value is computed once, in generated code.
+    steps = rows.select(*HEADER, order, item.alias("item")).withColumn("given", given(F.col("item"))).withColumn("named", named(F.col("item"))).withColumn("repo", inferred(F.col("given"), F.col("named")))
+    made = steps.select(*HEADER, order, made_of(F.col("item"), F.col("given"), F.col("repo")).alias("r"))
+    none = na_row().withField("key", F.lit(None).cast("string")).withField("good", F.col("r.good"))
+    each = made.select(*HEADER, order, F.explode(F.when(F.col("r.good"), F.array("r", none)).otherwise(F.array(none))).alias("r"))
+    first = F.row_number().over(W.partitionBy(*HEADER, "r.key").orderBy(F.col("r.good").desc(), order))
+    kept = each.withColumn("n", first).filter("n = 1 and (r.key is not null or not r.good)")
+    return kept.select(*HEADER, "r.*").drop("key", "good")

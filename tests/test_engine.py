@@ -170,3 +170,14 @@ def test_reports(spark):
     runs = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", float("nan")), ("b", 2.0)], "k string, value double")
     got = {r.k: (r["mean"], r["std"], r.n) for r in metrics.run_statistics(runs, ["k"]).collect()}
     assert got["a"][0] == 2.0 and got["a"][2] == 2 and got["b"][1] != got["b"][1]
+
+
+def test_flatten_by_window_normalizes_once(spark):
+    refs = [(n, "", "", "", pos, *item) for n, items in (("a", [("GSE1", "GEO"), ("gse1", "NCBI GEO"), ("n/a", "")]), ("b", [("GSEx", "GEO"), ("bad", "GEO")]), ("c", [("GSEx", "GEO"), ("PXD2", "")]), ("d", [("na", "PRIDE")])) for pos, item in enumerate(items)]
+    rows = spark.createDataFrame(refs, "paper_id string, paper_doi string, pmcid string, pmid string, pos int, dataset_identifier string, repository string")
+    flat = flatten.flatten_by_window(rows)
+    got = sorted((r.paper_id, r.dataset_identifier, r.repository) for r in flat.collect())
+    assert got == [("a", "GSE1", "GEO"), ("a", "N/A", "N/A"), ("b", "N/A", "N/A"), ("c", "PXD2", "PRIDE"), ("d", "N/A", "PRIDE")]
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    # One pass over the input, whose rows are normalized once: no join, no union.
+    assert "Join" not in plan and "Union" not in plan and plan.count("LogicalRDD") == 1

@@ -80,3 +80,16 @@ def test_factored_mentions_find_what_the_list_finds(spark):
     assert df.filter("a <> b").count() == 0 and 0 < df.filter("a").count() < 4000
     # A place is tried by its first letters: far fewer alternatives stand side by side.
     assert len(MENTION_TEST) < len(MENTION) * 0.9
+
+
+def test_one_pattern_finds_the_prefix(spark):
+    df = spark.createDataFrame([("gse1",), ("GDS2",), ("phs3",), ("e-mtab-4",), ("10.17632/x",), ("egad5",), ("none",), ("",)], "t string").select(fn.prefix_repository(F.col("t")).alias("r"))
+    assert [r.r for r in df.collect()] == ["GEO", "GEO", "dbGaP", "ArrayExpress", "MendeleyData", "EGA", None, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 0
+
+
+def test_blanks_of_any_script(spark):
+    every = "".join(map(chr, range(1, 0x3100)))
+    df = spark.createDataFrame([(every,), (fn.BLANKS + "a b" + fn.BLANKS,)], "t string")
+    got = df.select(F.regexp_replace("t", fn.BLANK, "").alias("a"), F.regexp_replace("t", r"(?U)\s", "").alias("b"), fn.strip("t").alias("s")).collect()
+    assert all(r.a == r.b for r in got) and got[1].s == "a b"
