@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.identifiers import first_of, evidence_inconsistent, infer_known, is_na, let, normalize_identifier, normalize_repository, synonym_group, url_known, validate_identifier
+from citeloom.functions.identifiers import first_of, evidence_inconsistent, infer_known, is_na, let, normalize_identifier, normalize_repository, synonym_group, url_known, validate_identifier, with_normalized
 from citeloom.functions.registry import NA
 
 HEADER = ("paper_id", "paper_doi", "pmcid", "pmid")
@@ -38,7 +38,7 @@ def made_of(item: Column, given: Column, repo: Column) -> Column:
     return F.struct(
         given.alias("dataset_identifier"), repo.alias("repository"), F.when(missing, "").otherwise(url_known(given, repo)).alias("url"), evidence.alias("evidence"),
         F.when(missing, "").otherwise(text(item, "confidence")).alias("confidence"), text(item, "notes").alias("notes"),
-        F.concat(F.lower(given), F.lit("\x01"), synonym_group(F.when(missing & (repo == NA), F.lit("")).otherwise(repo))).alias("key"), good.alias("good"),
+        F.concat(F.lower(given), F.lit("\x01"), F.when(missing & (repo == NA), F.lit("")).otherwise(synonym_group(repo))).alias("key"), good.alias("good"),
     )
 
 
@@ -84,7 +84,7 @@ def flatten_by_window(rows: DataFrame, order: str = "pos") -> DataFrame:
 
     item = F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in ITEM])
     # In steps, so that each value is computed once, in generated code.
-    steps = rows.select(*HEADER, order, item.alias("item")).withColumn("given", given(F.col("item"))).withColumn("named", named(F.col("item"))).withColumn("repo", inferred(F.col("given"), F.col("named")))
+    steps = with_normalized(rows.select(*HEADER, order, item.alias("item")), "item.dataset_identifier", "item.repository", "given", "named", "").withColumn("repo", inferred(F.col("given"), F.col("named")))
     made = steps.select(*HEADER, order, made_of(F.col("item"), F.col("given"), F.col("repo")).alias("r"))
     none = na_row().withField("key", F.lit(None).cast("string")).withField("good", F.col("r.good"))
     each = made.select(*HEADER, order, F.explode(F.when(F.col("r.good"), F.array("r", none)).otherwise(F.array(none))).alias("r"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers as fn
-from citeloom.functions.registry import ACCESSION, MENTION, MENTION_TEST, REGISTRY, prompt_block, prompt_block_frame
+from citeloom.functions.registry import ACCESSION, MENTION, MENTION_TEST, REGISTRY, look_up, prompt_block, prompt_block_frame
 
 
 def column(spark, make, rows, schema):
@@ -93,3 +93,29 @@ def test_blanks_of_any_script(spark):
     df = spark.createDataFrame([(every,), (fn.BLANKS + "a b" + fn.BLANKS,)], "t string")
     got = df.select(F.regexp_replace("t", fn.BLANK, "").alias("a"), F.regexp_replace("t", r"(?U)\s", "").alias("b"), fn.strip("t").alias("s")).collect()
     assert all(r.a == r.b for r in got) and got[1].s == "a b"
+
+
+def test_ends_are_looked_at_first(spark):
+    ends = ["", "a", "~", "!", "\x7f", "\xa0", "\u2003", "é", "\U0001f600", " ", "\t", "\x00", "\x1f"]
+    df = spark.createDataFrame([(a + m + b,) for a in ends for m in ("", "x y", "é") for b in ends] + [(None,)], "t string")
+    same = df.select(fn.stripped("t").eqNullSafe(fn.strip("t")).alias("a"), fn.present("t").eqNullSafe(F.nullif(fn.strip("t"), F.lit(""))).alias("b"))
+    assert same.filter("not (a and b)").count() == 0
+
+
+def test_look_up_by_length(spark):
+    pairs = [("a", "1"), ("b", "2"), ("a", "3"), ("éé", "4"), ("abcd", "5"), ("", "6")]
+    df = spark.createDataFrame([(k,) for k in ("a", "b", "c", "éé", "éa", "abcd", "abcde", "", None)], "k string")
+    assert [r.v for r in df.select(look_up(pairs, F.col("k")).alias("v")).collect()] == ["1", "2", None, "4", None, "5", None, "6", None]
+    assert df.select(look_up([], F.col("k")).alias("v")).filter("v is not null").count() == 0
+
+
+def test_normalized_in_steps(spark):
+    r = random.Random(2)
+    ids = ["GSE1", " gse2. ", "(PXD3)", "10.6019/PXD4", "https://doi.org/10.5281/zenodo.5", "doi:10.1/x", "n/a", "N/A ", "", None, " ", "phs1.v1", "(na)", "\xa0e-mtab-1\u2003", "'", "DOI: 10.1/ y"]
+    names = ["GEO", " ncbi geo ", "zenodo.org record", "Renal", "none", "", None, "\tNowhere", "PRIDE Archive", "é"]
+    rows = spark.createDataFrame([(r.choice(ids), r.choice(names)) for _ in range(400)], "i string, n string")
+    made = fn.with_normalized(rows, "i", "n", "given", "named", "none")
+    want = made.select(F.when(fn.is_na("i"), "N/A").otherwise(fn.normalize_identifier("i")).eqNullSafe(F.col("given")).alias("a"), F.when(fn.is_na("n"), "none").otherwise(fn.normalize_repository("n")).eqNullSafe(F.col("named")).alias("b"))
+    assert want.filter("not (a and b)").count() == 0 and made.columns == ["i", "n", "given", "named"]
+    # Generated code does all of it.
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
